@@ -25,14 +25,14 @@ MISSING_FIELDS = [
 ]
 
 
-def list_lake(spark: SparkSession, path: str, csv_only: bool = True) -> DataFrame:
+def list_lake(spark: SparkSession, path: str, csv_only: bool = True, table_from: str = "file") -> DataFrame:
     """The files of a lake: ``(table_id, path, n_bytes)``; contents are not read."""
-    reader = spark.read.format("binaryFile")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if csv_only:
         reader = reader.option("pathGlobFilter", CSV_FILES)
     files = reader.load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("table_id"), "path", F.col("length").alias("n_bytes"))
-    return files if csv_only else files.filter(F.col("table_id") != ".DS_Store")
+        _table_name(F.col("path"), table_from).alias("table_id"), "path", F.col("length").alias("n_bytes"))
+    return files if csv_only else files.filter(~F.col("path").endswith("/.DS_Store"))
 
 
 def sniff_delimiter(first_line: Column, precedence: str = "ingest") -> Column:
@@ -58,15 +58,24 @@ def split_fields(line: Column, delimiter: Column) -> Column:
     )
 
 
-def sniff_lake(spark: SparkSession, path: str, precedence: str = "ingest") -> DataFrame:
+def _table_name(file_path: Column, table_from: str) -> Column:
+    """The file name, or the name of its folder for tables written as part files (``key=name`` is cut to name)."""
+    if table_from not in ("file", "folder"):
+        raise ValueError(f"unknown table naming: {table_from}")
+    folder = F.element_at(F.split(file_path, "/"), -2)
+    return F.element_at(F.split(file_path, "/"), -1) if table_from == "file" else F.element_at(F.split(folder, "="), -1)
+
+
+def sniff_lake(spark: SparkSession, path: str, precedence: str = "ingest", table_from: str = "file") -> DataFrame:
     """One pass over the lake: ``(table_id, path, encoding, delimiter, header)`` per file.
 
     Files are read as splittable text, and each map task reduces its lines to
     one row per file, so the shuffle is as small as the list of files.
     """
     lines = (
-        spark.read.option("pathGlobFilter", CSV_FILES).text(path)
-        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("table_id"),
+        spark.read.option("pathGlobFilter", CSV_FILES).option("recursiveFileLookup", "true").text(path)
+        .select("value", F.col("_metadata.file_path").alias("path"),
+                _table_name(F.col("_metadata.file_path"), table_from).alias("table_id"),
                 F.col("_metadata.file_block_start").alias("block"))
         .withColumn("at", F.monotonically_increasing_id())
     )
@@ -122,14 +131,15 @@ def _read_group(spark: SparkSession, spec, paths: list[str]) -> DataFrame:
 
 
 def read_lake(spark: SparkSession, path: str, manifest: DataFrame | None = None,
-              precedence: str = "ingest") -> DataFrame:
+              precedence: str = "ingest", table_from: str = "file") -> DataFrame:
     """All delimited files under ``path`` as ``cells``.
 
     Files are grouped by delimiter, encoding, width and options; each group is
     one native CSV scan.  Rows are numbered inside the split they come from
-    (a bounded group) and shifted by the rows of the file's earlier splits.
+    (a bounded group) and shifted by the rows of the table's earlier splits.
+    A table is a file, or (``table_from="folder"``) a folder of part files.
     """
-    sniffed = sniff_lake(spark, path, precedence)
+    sniffed = sniff_lake(spark, path, precedence, table_from)
     if manifest is None:
         files = sniffed.withColumns({"multiline": F.lit(False), "null_text": F.lit(None).cast("string"),
                                      "ignore_trailing": F.lit(False)})
@@ -149,7 +159,8 @@ def read_lake(spark: SparkSession, path: str, manifest: DataFrame | None = None,
     rows = reduce(DataFrame.unionByName, [_read_group(spark, g, g.paths) for g in groups])
 
     sizes = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    table = _table_name(F.col("path"), table_from) if table_from == "folder" else F.col("path")
+    earlier = Window.partitionBy(table).orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     in_split = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))
     numbered = rows.withColumn("pos", in_split - 1).join(starts, ["path", "block"])

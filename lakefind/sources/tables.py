@@ -96,7 +96,7 @@ def to_table_record(cells: DataFrame, n: int = 30, blank_unnamed: bool = False)
     tables = rows.groupBy("table_id").agg(
         F.min_by("header", F.col("item.row_idx")).alias("header"), F.sort_array(F.collect_list("item")).alias("items"))
     record = F.struct(
-        F.lit("0").alias("id"),
+        F.col("table_id").alias("id"),
         F.struct(F.lit(None).cast("string").alias("caption"), "header",
                  F.transform("items", lambda i: i["row"]).alias("data")).alias("table"))
     return tables.select("table_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
