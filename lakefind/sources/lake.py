@@ -82,7 +82,7 @@ def sniff_lake(spark: SparkSession, path: str, precedence: str = "ingest", table
     first = F.when(F.col("block") == 0, F.col("at"))
     files = lines.groupBy("table_id", "path").agg(
         F.min_by("value", first).alias("raw"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    line = F.when(F.col("utf8"), F.col("raw")).otherwise(F.decode(F.col("raw").cast("binary"), F.lit("ISO-8859-1")))
+    line = F.when(F.col("utf8"), F.col("raw")).otherwise(F.decode(F.col("raw").cast("binary"), "ISO-8859-1"))
     return (
         files.withColumn("line", F.regexp_replace(F.rtrim(line, F.lit("\r")), "^﻿", ""))
         .withColumn("delimiter", sniff_delimiter(F.col("line"), precedence))
@@ -127,7 +127,10 @@ def _read_group(spark: SparkSession, spec, paths: list[str]) -> DataFrame:
     unquoted = F.regexp_replace("_bad", '"([^"]|"")*"', "")
     delimiter = spec.delimiter or "\u0000"
     n_fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit(""))) + 1
-    return rows.filter(F.col("_bad").isNull() | (n_fields <= spec.n_cols)).drop("_bad")
+    # The first field is named so that counting rows reads a data column too: Spark refuses a scan
+    # of the raw record alone.
+    parsed = F.length(F.coalesce(F.col("fields")[0], F.lit(""))) >= 0
+    return rows.filter(parsed & (F.col("_bad").isNull() | (n_fields <= spec.n_cols))).drop("_bad")
 
 
 def read_lake(spark: SparkSession, path: str, manifest: DataFrame | None = None,
