@@ -7,7 +7,7 @@ themselves are never rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,11 +31,12 @@ PAIR_COLS = ["query_table", "query_col", "cand_table", "cand_col", "score"]
 class Block:
     """One block of column vectors, ordered by id so that ties break by id."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, unit: bool = True):
         names, cols = table.column("table_id").to_numpy(), table.column("col_idx").to_numpy()
         order = np.lexsort((cols, names))
         self.names, self.cols = names[order], cols[order]
-        self.vec = normalized(matrix(table.column("vec")))[order] if len(order) else np.zeros((0, 1))
+        vec = matrix(table.column("vec")) if len(order) else np.zeros((0, 1))
+        self.vec = (normalized(vec) if unit else vec)[order]
 
     def __len__(self) -> int:
         return len(self.cols)
@@ -80,14 +81,14 @@ def _arrow(pairs: pd.DataFrame) -> pa.Table:
     return pa.Table.from_pandas(pairs[PAIR_COLS], schema=schema, preserve_index=False)
 
 
-def _scan_topk(queries: Block, lake: DataFrame, k: int, skip_table: bool) -> DataFrame:
+def _scan_topk(queries: Block, lake: DataFrame, k: int, skip_table: bool, unit: bool) -> DataFrame:
     """Every task holds the (small) query block and streams its share of the lake; no shuffle of the lake."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = []
         for batch in batches:
             if batch.num_rows:
-                best.append(_block_topk(queries, Block(pa.Table.from_batches([batch])), k, skip_table))
+                best.append(_block_topk(queries, Block(pa.Table.from_batches([batch]), unit), k, skip_table))
                 best = [_merge(best, k)]
         if best:
             yield from _arrow(best[0]).to_batches()
@@ -95,9 +96,9 @@ def _scan_topk(queries: Block, lake: DataFrame, k: int, skip_table: bool) -> Dat
     return lake.mapInArrow(scan, PAIR)
 
 
-def grid_topk(queries: DataFrame, lake: DataFrame, k: int, keys: list[str], skip_table: bool = False,
-              block: int = BLOCK) -> DataFrame:
-    """Top ``k`` per query and block pair, for queries and vectors that share ``keys``.
+def grid_apply(queries: DataFrame, lake: DataFrame, keys: list[str],
+               fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
+    """Run ``fn(query block, lake block)`` for all blocks of queries and vectors that share ``keys``.
 
     Each key is cut into a grid of at most ``block`` x ``block`` vectors, so a
     key that holds a third of the lake is many tasks and nothing is dropped.
@@ -110,25 +111,33 @@ def grid_topk(queries: DataFrame, lake: DataFrame, k: int, keys: list[str], skip
 
     def laid_out(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
         return (
-            df.select(*keys, "table_id", "col_idx", "vec").join(sizes, keys)
+            df.join(sizes, keys)
             .withColumn(own, F.pmod(me, F.col(n_own)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
             # fresh column ids, because a lake is often searched with its own columns
-            .select(*[F.col(c).alias(c) for c in (*ids, "table_id", "col_idx", "vec")])
+            .select(*[F.col(c).alias(c) for c in (*ids, *[c for c in df.columns if c not in keys])])
         )
 
-    def pair_up(q: pa.Table, lake_block: pa.Table) -> pa.Table:
-        if not q.num_rows or not lake_block.num_rows:
-            return _arrow(pd.DataFrame(columns=PAIR_COLS))
-        return _arrow(_block_topk(Block(q), Block(lake_block), k, skip_table))
-
     return (
         laid_out(queries, "_qb", "_nq", "_lb", "_nl").groupBy(*ids)
         .cogroup(laid_out(lake, "_lb", "_nl", "_qb", "_nq").groupBy(*ids))
-        .applyInArrow(pair_up, PAIR)
+        .applyInArrow(fn, schema)
     )
 
 
+def grid_topk(queries: DataFrame, lake: DataFrame, k: int, keys: list[str], skip_table: bool = False,
+              unit: bool = True, block: int = BLOCK) -> DataFrame:
+    """Top ``k`` per query and block pair, for queries and vectors that share ``keys``."""
+
+    def pair_up(q: pa.Table, lake_block: pa.Table) -> pa.Table:
+        if not q.num_rows or not lake_block.num_rows:
+            return _arrow(pd.DataFrame(columns=PAIR_COLS))
+        return _arrow(_block_topk(Block(q, unit), Block(lake_block, unit), k, skip_table))
+
+    cols = [*keys, "table_id", "col_idx", "vec"]
+    return grid_apply(queries.select(*cols), lake.select(*cols), keys, pair_up, PAIR, block)
+
+
 def merge_topk(parts: DataFrame, k: int) -> DataFrame:
     """The best ``k`` per query over partial results, with their rank."""
     order = [F.desc("score"), F.col("cand_table"), F.col("cand_col")]
@@ -139,13 +148,22 @@ def _vectors(df: DataFrame, *more: str) -> DataFrame:
     return df.select("table_id", F.col("col_idx").cast("int").alias("col_idx"), "vec", *more)
 
 
-def _exact(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool) -> DataFrame:
-    bound = broadcast_bytes(queries.sparkSession)
-    head = queries.limit(BLOCK + 1).toArrow()  # never more than one block reaches the driver
-    if head.num_rows <= BLOCK and head.nbytes <= bound:
-        return _scan_topk(Block(head), lake, k, skip_table)
+def small_side(df: DataFrame) -> pa.Table | None:
+    """All of ``df`` when it fits one block and the broadcast bound, else nothing.
+
+    Never more than one block of rows reaches the driver.
+    """
+    head = df.limit(BLOCK + 1).toArrow()
+    return head if head.num_rows <= BLOCK and head.nbytes <= broadcast_bytes(df.sparkSession) else None
+
+
+def exact_topk(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool = False, unit: bool = True) -> DataFrame:
+    """Partial top ``k`` by inner product (of unit vectors if ``unit``) over every query and vector."""
+    small = small_side(queries)
+    if small is not None:
+        return _scan_topk(Block(small, unit), lake, k, skip_table, unit)
     zero = F.lit(0)
-    return grid_topk(queries.withColumn("_key", zero), lake.withColumn("_key", zero), k, ["_key"], skip_table)
+    return grid_topk(queries.withColumn("_key", zero), lake.withColumn("_key", zero), k, ["_key"], skip_table, unit)
 
 
 def _hyperplane_keys(dim: int, tables: int, bits: int, seed: int):
@@ -206,7 +224,7 @@ def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", excl
     """
     queries, lake = _vectors(queries), _vectors(lake)
     if method == "exact":
-        parts = _exact(queries, lake, k, exclude_same_table)
+        parts = exact_topk(queries, lake, k, exclude_same_table)
     elif method == "lsh":
         keys = _hyperplane_keys(_dim(lake), tables, bits, seed)
         parts = _bucketed(queries, lake, k, exclude_same_table, keys("vec"), keys("vec"))
