@@ -27,16 +27,20 @@ def same(left: str, right: str, keys: list[str]) -> Column:
 
 
 def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column],
-            group_rows: int | None = None) -> DataFrame:
+            sizes: DataFrame | None = None) -> DataFrame:
     """Running sums (current row included) over ``order`` inside each group.
 
-    ``order`` must be total within a group.  Groups of at most ``group_rows``
+    ``order`` must be total within a group.  Groups of a bounded number of
     rows are handled by a plain window.  Larger ones are range-partitioned on
     their own order into slices, each slice sums for itself, and the totals
     of the earlier slices are added: no task ever holds a whole hot group.
+    ``sizes`` (group columns and ``_n``, an upper bound of the rows) spares
+    counting ``df`` when the caller knows the sizes from a cheaper scan.
     """
-    bound = group_rows or max_group_rows(df.sparkSession)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound)
+    bound = max_group_rows(df.sparkSession)
+    if sizes is None:
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.filter(F.col("_n") > bound)
     hot_rows = sizes.agg(F.sum("_n")).first()[0]
     window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if hot_rows is None:
@@ -75,7 +79,7 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
-                limit: int | None = None, group_rows: int | None = None) -> DataFrame:
+                limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Dense 1-based position of each row in its group.
 
     With ``limit`` only the first ``limit`` rows survive; Spark then prunes
@@ -85,4 +89,4 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str
     if limit is not None:
         numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
         return numbered.filter(F.col(name) <= limit).withColumn(name, F.col(name).cast("long"))
-    return running(df, group, order, {name: F.lit(1).cast("long")}, group_rows)
+    return running(df, group, order, {name: F.lit(1).cast("long")}, sizes)

@@ -2,46 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakefind.functions.ranking import rank_within, seeded
-from lakefind.functions.text import TOKEN, first_words, words
+from lakefind.functions.text import TOKEN, first_words, squeeze, words
 from lakefind.operators.profile import column_types
 
 CELL = ["table_id", "row_idx", "col_idx", "col_name", "value"]
 
 
-def _with_null_count(cells: DataFrame) -> DataFrame:
-    row = Window.partitionBy("table_id", "row_idx")  # as wide as the table, never longer
-    return cells.withColumn("_n_null", F.count_if(F.col("value").isNull()).over(row))
+def _lengths(cells: DataFrame, *more: str) -> DataFrame:
+    """Rows per table (and column): ``row_idx`` is dense, so one maximum per group tells."""
+    return cells.groupBy("table_id", *more).agg((F.max("row_idx") + 1).alias("_n"))
 
 
-def _reorder_rows(cells: DataFrame, order: list[Column], keys: list[str], limit: int | None) -> DataFrame:
-    """Renumber whole rows by ``order``, which uses the per-row ``keys`` and ``row_idx``."""
-    rows = cells.select("table_id", "row_idx", *keys).distinct()  # keys depend on the row alone
-    ranked = rank_within(rows, ["table_id"], order, "_rank", limit).select("table_id", "row_idx", "_rank")
+def _renumber(cells: DataFrame, rows: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """Move whole rows to their position in ``order``; rows not listed are dropped."""
+    ranked = rank_within(rows, ["table_id"], order, "_rank", limit, _lengths(cells))
     return (
-        cells.join(ranked, ["table_id", "row_idx"])
+        cells.join(ranked.select("table_id", "row_idx", "_rank"), ["table_id", "row_idx"])
         .withColumn("row_idx", F.col("_rank") - 1)
         .select(*CELL)
     )
 
 
+def _null_counts(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("table_id", "row_idx").agg(F.count_if(F.col("value").isNull()).alias("_n_null"))
+
+
 def drop_null_rows(cells: DataFrame, max_nulls: int = 0, limit: int | None = None) -> DataFrame:
     """Keep rows with at most ``max_nulls`` missing cells (0: complete rows; the usual choice is 2)."""
-    kept = _with_null_count(cells).filter(F.col("_n_null") <= max_nulls)
-    return _reorder_rows(kept, [F.col("row_idx")], [], limit)
+    kept = _null_counts(cells).filter(F.col("_n_null") <= max_nulls)
+    return _renumber(cells, kept, [F.col("row_idx")], limit)
 
 
 def order_by_nulls(cells: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows with fewer missing cells first."""
-    return _reorder_rows(_with_null_count(cells), [F.col("_n_null"), F.col("row_idx")], ["_n_null"], limit)
+    return _renumber(cells, _null_counts(cells), [F.col("_n_null"), F.col("row_idx")], limit)
 
 
 def shuffle_rows(cells: DataFrame, seed: int = 42, limit: int | None = None) -> DataFrame:
     """A shuffle that is the same on every run and partitioning."""
-    return _reorder_rows(cells, [seeded(seed, "table_id", "row_idx"), F.col("row_idx")], [], limit)
+    rows = cells.select("table_id", "row_idx").distinct()
+    return _renumber(cells, rows, [seeded(seed, "table_id", "row_idx"), F.col("row_idx")], limit)
 
 
 def sample_rows(cells: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
@@ -76,12 +80,7 @@ def row_tfidf(cells: DataFrame, dropna: bool = False) -> DataFrame:
 
 def order_rows_by_tfidf(cells: DataFrame, dropna: bool = False, limit: int | None = None) -> DataFrame:
     """Rows by descending TF-IDF sum; scores are rounded so ties keep their order."""
-    ranked = rank_within(row_tfidf(cells, dropna), ["table_id"], [F.desc("score"), F.col("row_idx")], "_rank", limit)
-    return (
-        cells.join(ranked.select("table_id", "row_idx", "_rank"), ["table_id", "row_idx"])
-        .withColumn("row_idx", F.col("_rank") - 1)
-        .select(*CELL)
-    )
+    return _renumber(cells, row_tfidf(cells, dropna), [F.desc("score"), F.col("row_idx")], limit)
 
 
 def sort_columns_by_value(cells: DataFrame, limit: int | None = None) -> DataFrame:
@@ -93,18 +92,20 @@ def sort_columns_by_value(cells: DataFrame, limit: int | None = None) -> DataFra
         "table_id", "col_idx", F.col("dtype").isin("int", "float").alias("_numeric"))
     number = F.when(F.col("_numeric"), F.expr("try_cast(value AS double)"))
     order = [F.col("value").isNull(), number, F.col("value"), F.col("row_idx")]
-    ranked = rank_within(cells.join(numeric, ["table_id", "col_idx"]), ["table_id", "col_idx"], order, "_rank", limit)
+    ranked = rank_within(cells.join(numeric, ["table_id", "col_idx"]), ["table_id", "col_idx"], order, "_rank", limit,
+                         _lengths(cells, "col_idx"))
     return ranked.withColumn("row_idx", F.col("_rank") - 1).select(*CELL)
 
 
 def cell_idf(cells: DataFrame) -> DataFrame:
-    """``(table_id, value, score)`` per distinct value: mean idf of its words.
+    """``(table_id, key, score)`` per distinct value (``key`` is its md5): mean idf of its words.
 
     The frequencies are fitted on all non-missing cells of the table (a cell is
     a document, its tokens have two or more word characters); the value is cut
     at white space, and a word that is no fitted token counts 0.
     """
-    values = cells.filter(F.col("value").isNotNull()).groupBy("table_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = cells.filter(F.col("value").isNotNull()).withColumn("key", F.md5("value"))
+    values = known.groupBy("table_id", "key").agg(F.count(F.lit(1)).alias("n"), F.any_value("value").alias("value"))
     n_cells = values.groupBy("table_id").agg(F.sum("n").alias("total"))
     idf = (
         values.select("table_id", "n", F.explode(F.array_distinct(words(F.col("value"), TOKEN))).alias("word"))
@@ -112,20 +113,27 @@ def cell_idf(cells: DataFrame) -> DataFrame:
         .join(n_cells, "table_id")
         .select("table_id", "word", (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    cut = values.select("table_id", "value", F.explode(
-        F.split(F.trim(F.regexp_replace(F.lower("value"), r"[\s\p{Z}]+", " ")), " ")).alias("word"))
+    # Repeated words of a value are counted before the join, and the long text itself stays behind.
+    cut = (
+        values.select("table_id", "key", F.explode(F.split(squeeze(F.lower("value")), " ")).alias("word"))
+        .groupBy("table_id", "key", "word").agg(F.count(F.lit(1)).alias("times"))
+    )
+    weight = F.col("times") * F.coalesce("idf", F.lit(0.0))
     return (
         cut.join(idf, ["table_id", "word"], "left")
-        .groupBy("table_id", "value")
-        .agg(F.round(F.avg(F.coalesce("idf", F.lit(0.0))), 6).alias("score"))
+        .groupBy("table_id", "key")
+        .agg(F.round(F.sum(weight) / F.sum("times"), 6).alias("score"))
     )
 
 
 def sort_columns_by_idf(cells: DataFrame, limit: int | None = None) -> DataFrame:
     """Each column by descending mean idf of its cells; missing cells last, ties keep their order."""
-    scored = cells.join(cell_idf(cells), ["table_id", "value"], "left").withColumn(
-        "score", F.coalesce("score", F.lit(-1.0)))
-    ranked = rank_within(scored, ["table_id", "col_idx"], [F.desc("score"), F.col("row_idx")], "_rank", limit)
+    scored = (
+        cells.withColumn("key", F.md5("value")).join(cell_idf(cells), ["table_id", "key"], "left")
+        .withColumn("score", F.coalesce("score", F.lit(-1.0)))
+    )
+    ranked = rank_within(scored, ["table_id", "col_idx"], [F.desc("score"), F.col("row_idx")], "_rank", limit,
+                         _lengths(cells, "col_idx"))
     return ranked.withColumn("row_idx", F.col("_rank") - 1).select(*CELL)
 
 
@@ -134,7 +142,7 @@ def distinct_columns(cells: DataFrame, limit: int | None = None) -> DataFrame:
     value), padded with missing cells to the longest column of the table."""
     firsts = cells.groupBy("table_id", "col_idx", "col_name", "value").agg(F.min("row_idx").alias("_first"))
     ranked = (
-        rank_within(firsts, ["table_id", "col_idx"], [F.col("_first")], "_rank", limit)
+        rank_within(firsts, ["table_id", "col_idx"], [F.col("_first")], "_rank", limit, _lengths(cells, "col_idx"))
         .withColumn("row_idx", F.col("_rank") - 1).select(*CELL)
     )
     lengths = firsts.groupBy("table_id", "col_idx", "col_name").agg(F.count(F.lit(1)).alias("n"))
