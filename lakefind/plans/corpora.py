@@ -10,7 +10,7 @@ from lakefind.operators import hypergraph as H
 from lakefind.operators.select import drop_null_rows
 from lakefind.plans.registry import query
 from lakefind.plans.views import cells, chat_cells, doc_cells, read, with_views
-from lakefind.sources.lake import table_cells
+from lakefind.sources.lake import to_cells
 
 SQUEEZE = "trim(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
 
@@ -315,16 +315,14 @@ def _(spark, sf):
 
 def order_tables(spark, sf):
     """One table per customer, its orders as rows."""
-    orders = read(spark, sf, "orders")
-    return table_cells(orders.withColumn("k", F.col("o_orderkey")), "x", "k", {
-        "status": F.expr("NULLIF(o_orderstatus, 'P')"), "priority": F.col("o_orderpriority")}).drop("table_id").join(
-        orders.select(F.col("o_orderkey").alias("row_idx"),
-                      F.concat(F.lit("customer"), F.col("o_custkey").cast("string")).alias("table_id")), "row_idx")
+    orders = read(spark, sf, "orders").withColumns({
+        "table_id": F.concat(F.lit("customer"), F.col("o_custkey").cast("string")), "row_idx": F.col("o_orderkey")})
+    return to_cells(orders, {"status": F.expr("NULLIF(o_orderstatus, 'P')"), "priority": F.col("o_orderpriority")})
 
 
 @query("processed_table_counts", """
 SELECT count(*) FILTER (ok) AS n_processed, count(*) FILTER (NOT ok) AS n_skipped FROM (
 SELECT o_custkey, bool_or(o_orderstatus <> 'P') AS ok FROM orders GROUP BY 1)""")
 def _(spark, sf):
-    lake = order_tables(spark, sf).select("table_id", "row_idx", "col_idx", "col_name", "value")
+    lake = order_tables(spark, sf)
     return H.processed_counts(lake, drop_null_rows(lake))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefind.functions.ranking import rank_within
-from lakefind.sources.lake import table_cells
+from lakefind.sources.lake import table_cells, to_cells
 
 _DEC = "CAST(CAST({0} AS DECIMAL(18,2)) AS STRING)"
 
@@ -61,12 +61,8 @@ def doc_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as text tables: one table per source, one row per document."""
     docs = read(spark, sf, "documents").select("source", "doc_id", F.expr("NULLIF(lang, 'de')").alias("lang"), "text")
     ranked = rank_within(docs, ["source"], [F.col("doc_id")], "pos")
-    cell = F.array(
-        F.struct(F.lit("lang").alias("col_name"), F.col("lang").alias("value")),
-        F.struct(F.lit("text").alias("col_name"), F.col("text").alias("value")))
-    return ranked.select(
-        F.col("source").alias("table_id"), (F.col("pos") - 1).alias("row_idx"),
-        F.posexplode(cell).alias("col_idx", "cell")).select("table_id", "row_idx", "col_idx", "cell.*")
+    rows = ranked.select(F.col("source").alias("table_id"), (F.col("pos") - 1).alias("row_idx"), "lang", "text")
+    return to_cells(rows, {"lang": F.col("lang"), "text": F.col("text")})
 
 
 # The position is shifted to 0 outside the CTE that numbers it: DuckDB 2.0 applies a later filter on
@@ -81,14 +77,10 @@ _DOC_CELLS_SQL = (
 
 def chat_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as small text tables: one table per conversation, one row per turn."""
-    chat = read(spark, sf, "conversations")
-    cell = F.array(
-        F.struct(F.lit("role").alias("col_name"), F.col("role").alias("value")),
-        F.struct(F.lit("text").alias("col_name"), F.col("text").alias("value")))
-    return chat.select(
-        F.concat(F.lit("chat"), F.col("conv_id").cast("string")).alias("table_id"),
-        F.col("turn").alias("row_idx"), F.posexplode(cell).alias("col_idx", "cell"),
-    ).select("table_id", "row_idx", "col_idx", "cell.*")
+    chat = read(spark, sf, "conversations").select(
+        F.concat(F.lit("chat"), F.col("conv_id").cast("string")).alias("table_id"), F.col("turn").alias("row_idx"),
+        "role", "text")
+    return to_cells(chat, {"role": F.col("role"), "text": F.col("text")})
 
 
 _CHAT_CELLS_SQL = (

@@ -177,12 +177,24 @@ def read_lake(spark: SparkSession, path: str, manifest: DataFrame | None = None,
     )
 
 
-def table_cells(df: DataFrame, table_id: str, row_idx: str, columns: dict[str, Column]) -> DataFrame:
-    """A wide DataFrame as ``cells``; ``columns`` gives each cell's text."""
-    named = F.array(*[F.struct(F.lit(name).alias("col_name"), value.cast("string").alias("value"))
-                      for name, value in columns.items()])
+def to_cells(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows with ``table_id`` and ``row_idx`` as cells; ``columns`` gives each cell's text.
+
+    Unpivoting expands rows without building arrays, so a consumer that reads
+    no values (row counts, header lists) prunes the columns at the scan.
+    """
+    slots = {str(i): value.cast("string") for i, value in enumerate(columns.values())}
+    wide = df.select("table_id", F.col("row_idx").cast("long").alias("row_idx"),
+                     *[value.alias(slot) for slot, value in slots.items()])
+    names = F.array(*[F.lit(name) for name in columns])
     return (
-        df.select(F.lit(table_id).alias("table_id"), F.col(row_idx).cast("long").alias("row_idx"),
-                  F.posexplode(named).alias("col_idx", "cell"))
-        .select("table_id", "row_idx", "col_idx", "cell.col_name", "cell.value")
+        wide.unpivot(["table_id", "row_idx"], list(slots), "slot", "value")
+        .withColumn("col_idx", F.col("slot").cast("int"))
+        .select("table_id", "row_idx", "col_idx", F.element_at(names, F.col("col_idx") + 1).alias("col_name"), "value")
     )
+
+
+def table_cells(df: DataFrame, table_id: str, row_idx: str, columns: dict[str, Column]) -> DataFrame:
+    """One wide DataFrame as the cells of one table."""
+    keyed = df.withColumns({"table_id": F.lit(table_id), "row_idx": F.col(row_idx)})
+    return to_cells(keyed, columns)
