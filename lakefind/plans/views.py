@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakefind.functions.ranking import rank_within
 from lakefind.sources.lake import table_cells, to_cells
@@ -40,8 +41,15 @@ LAKE = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{table}.parquet")
+    """A given table; its schema is inferred once per path, not by a job for every use."""
+    path = f"{sf.rstrip('/')}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
