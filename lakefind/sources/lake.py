@@ -49,8 +49,9 @@ def sniff_delimiter(first_line: Column, precedence: str = "ingest") -> Column:
 def split_fields(line: Column, delimiter: Column) -> Column:
     """Fields of one delimited line, quotes removed."""
     literal = F.when(delimiter == "|", F.lit(r"\|")).otherwise(delimiter)
-    pattern = F.concat(F.lit("(?:^|"), literal, F.lit(')("(?:[^"]|"")*"|[^'), delimiter, F.lit("]*)"))
-    fields = F.regexp_extract_all(line, pattern, F.lit(1))
+    # Every field is found with the delimiter before it, so the line gets one in front.
+    pattern = F.concat(literal, F.lit('("(?:[^"]|"")*"|[^'), delimiter, F.lit("]*)"))
+    fields = F.regexp_extract_all(F.concat(delimiter, line), pattern, F.lit(1))
     return F.transform(
         fields,
         lambda f: F.when(f.rlike('^".*"$'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"')))
