@@ -270,7 +270,7 @@ def spanning_rounds(cores: DataFrame, metric: str = "cosine") -> tuple[list[Data
         first_of_two = pick.join(back, ["comp", "other"], "left_semi").filter("comp < other").select("comp")
         links = pick.join(first_of_two, "comp", "left_anti").select(F.col("comp").alias("id"), F.col("other").alias("parent"))
         join = roots(links).select(F.col("id").alias("comp"), F.col("root").alias("into"))
-        join = materialize(pick.select("comp").join(join, "comp", "left").select("comp", F.coalesce("into", "comp").alias("into")))
+        join = pick.select("comp").join(join, "comp", "left").select("comp", F.coalesce("into", "comp").alias("into"))
         picks.append(pick)
         joins.append(join)
         state = materialize(state.join(join, "comp").select("id", "vec", "core", F.col("into").alias("comp")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakefind.functions.text import words
@@ -122,11 +122,14 @@ def profile_query_tables(cells: DataFrame, queries: DataFrame, by: str = "benchm
 
 
 def _complete_text_cells(cells: DataFrame) -> DataFrame:
-    """Text cells of rows without any missing cell."""
-    row = Window.partitionBy("table_id", "row_idx")
-    whole = cells.withColumn("_gap", F.bool_or(F.col("value").isNull()).over(row)).filter(~F.col("_gap")).drop("_gap")
-    text = column_types(cells).filter(F.col("dtype") == "object").drop("dtype")
-    return whole.join(text, ["table_id", "col_idx"], "left_semi")
+    """Text cells of rows without any missing cell.
+
+    Incomplete rows and non-text columns are found first and removed as keys,
+    so long texts are not shuffled when those lists are small.
+    """
+    gaps = cells.filter(F.col("value").isNull()).select("table_id", "row_idx").distinct()
+    other = column_types(cells).filter(F.col("dtype") != "object").select("table_id", "col_idx")
+    return cells.join(gaps, ["table_id", "row_idx"], "left_anti").join(other, ["table_id", "col_idx"], "left_anti")
 
 
 def word_counts(cells: DataFrame, stop_words: list[str] | None = None, top: int | None = None) -> DataFrame:

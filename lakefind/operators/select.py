@@ -128,13 +128,18 @@ def cell_idf(cells: DataFrame) -> DataFrame:
 
 def sort_columns_by_idf(cells: DataFrame, limit: int | None = None) -> DataFrame:
     """Each column by descending mean idf of its cells; missing cells last, ties keep their order."""
+    place = ["table_id", "row_idx", "col_idx"]
+    # Texts stay out of the ranking: only keys and scores are sorted.
     scored = (
-        cells.withColumn("key", F.md5("value")).join(cell_idf(cells), ["table_id", "key"], "left")
-        .withColumn("score", F.coalesce("score", F.lit(-1.0)))
+        cells.select(*place, F.md5("value").alias("key")).join(cell_idf(cells), ["table_id", "key"], "left")
+        .select(*place, F.coalesce("score", F.lit(-1.0)).alias("score"))
     )
     ranked = rank_within(scored, ["table_id", "col_idx"], [F.desc("score"), F.col("row_idx")], "_rank", limit,
                          _lengths(cells, "col_idx"))
-    return ranked.withColumn("row_idx", F.col("_rank") - 1).select(*CELL)
+    return (
+        cells.join(ranked.select(*place, "_rank"), place)
+        .withColumn("row_idx", F.col("_rank") - 1).select(*CELL)
+    )
 
 
 def distinct_columns(cells: DataFrame, limit: int | None = None) -> DataFrame:

@@ -67,9 +67,11 @@ _CELLS_SQL = " UNION ALL ".join(
 
 def doc_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as text tables: one table per source, one row per document."""
-    docs = read(spark, sf, "documents").select("source", "doc_id", F.expr("NULLIF(lang, 'de')").alias("lang"), "text")
-    ranked = rank_within(docs, ["source"], [F.col("doc_id")], "pos")
-    rows = ranked.select(F.col("source").alias("table_id"), (F.col("pos") - 1).alias("row_idx"), "lang", "text")
+    docs = read(spark, sf, "documents")
+    ranked = rank_within(docs.select("source", "doc_id"), ["source"], [F.col("doc_id")], "pos")
+    rows = docs.drop("source").join(ranked, "doc_id").select(
+        F.col("source").alias("table_id"), (F.col("pos") - 1).alias("row_idx"),
+        F.expr("NULLIF(lang, 'de')").alias("lang"), "text")
     return to_cells(rows, {"lang": F.col("lang"), "text": F.col("text")})
 
 

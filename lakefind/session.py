@@ -69,4 +69,4 @@ def broadcast_bytes(spark: SparkSession) -> int:
 
 def max_group_rows(spark: SparkSession) -> int:
     """Largest group a single task may sort; bigger ones are split."""
-    return int(spark.conf.get(GROUP_ROWS, str(2_000_000)))
+    return int(spark.conf.get(GROUP_ROWS, str(500_000)))
