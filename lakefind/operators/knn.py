@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from lakefind.functions.ranking import rank_within
-from lakefind.functions.vectors import SCORE_DIGITS, matrix, normalized
+from lakefind.functions.vectors import SCORE_DIGITS, cosine, l2_normalize, matrix, normalized
 from lakefind.session import broadcast_bytes
 
 BLOCK = 8192  # vectors per block of the grid, and most queries shipped to every task
@@ -212,15 +212,88 @@ def coarse_centers(lake: DataFrame, n_lists: int, seed: int = 42) -> np.ndarray:
     return normalized(np.array(model.clusterCenters()))
 
 
+def codebooks(lake: DataFrame, n_sub: int, n_codes: int, seed: int = 42) -> np.ndarray:
+    """Product quantiser: ``n_codes`` k-means centers for each of ``n_sub`` slices of the unit vectors."""
+    width = _dim(lake) // n_sub
+    if width * n_sub != _dim(lake):
+        raise ValueError("the dimension must be a multiple of the number of slices")
+    unit = lake.select(l2_normalize("vec").alias("vec"))
+    books = []
+    for i in range(n_sub):
+        piece = unit.select(array_to_vector(F.slice("vec", i * width + 1, width)).alias("features"))
+        centers = np.array(KMeans(k=n_codes, seed=seed, maxIter=10).fit(piece).clusterCenters())
+        spare = np.repeat(centers[:1], n_codes - len(centers), axis=0)  # k-means may find fewer distinct ones
+        books.append(np.concatenate([centers, spare]))
+    return np.stack(books)
+
+
+def _encode(books: np.ndarray):
+    """Codes of a vector: the nearest center of each slice."""
+    n_sub, _, width = books.shape
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def codes(vec: pa.Array) -> pa.Array:
+        if len(vec) == 0:
+            return pa.array([], pa.list_(pa.int32()))
+        parts = normalized(matrix(vec)).reshape(len(vec), n_sub, width)
+        far = ((books**2).sum(axis=2)[None] - 2 * np.einsum("nsw,scw->nsc", parts, books))
+        near = far.argmin(axis=2).astype(np.int32)
+        return pa.ListArray.from_arrays(np.arange(len(vec) + 1) * n_sub, near.ravel())
+
+    return codes
+
+
+def _ivfpq(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool, n_lists: int, n_probe: int, n_sub: int,
+           n_codes: int, refine: int, seed: int) -> DataFrame:
+    """Shortlist by quantised codes inside the probed cells, then exact scores of the shortlist.
+
+    Only codes travel to the cells; full vectors are joined back for the
+    ``refine * k`` best of each query.
+    """
+    centers, books = coarse_centers(lake, n_lists, seed), codebooks(lake, n_sub, n_codes, seed)
+    n_sub, _, width = books.shape
+
+    def approximate(q: pa.Table, coded: pa.Table) -> pa.Table:
+        if not q.num_rows or not coded.num_rows:
+            return _arrow(pd.DataFrame(columns=PAIR_COLS))
+        block = Block(q)
+        names, cols = coded.column("table_id").to_numpy(), coded.column("col_idx").to_numpy()
+        order = np.lexsort((cols, names))
+        names, cols, codes = names[order], cols[order], matrix(coded.column("codes")).astype(int)[order]
+        found = []
+        for at in range(0, len(block), CHUNK):
+            part = slice(at, at + CHUNK)
+            pieces = block.vec[part].reshape(-1, n_sub, width)
+            scores = sum((pieces[:, s] @ books[s].T)[:, codes[:, s]] for s in range(n_sub))
+            if skip_table:
+                scores[block.names[part][:, None] == names[None, :]] = -np.inf
+            r, c = _best(np.round(scores, SCORE_DIGITS), refine * k)
+            found.append(pd.DataFrame({
+                "query_table": block.names[part][r], "query_col": block.cols[part][r], "cand_table": names[c],
+                "cand_col": cols[c], "score": scores[r, c]}))
+        return _arrow(pd.concat(found))
+
+    probes = queries.withColumn("_key", F.explode(_nearest_cells(centers, n_probe)("vec")))
+    coded = lake.select("table_id", "col_idx", F.explode(_nearest_cells(centers, 1)("vec")).alias("_key"),
+                        _encode(books)("vec").alias("codes"))
+    short = merge_topk(grid_apply(probes, coded, ["_key"], approximate, PAIR), refine * k).drop("score", "rank")
+    q = queries.select(F.col("table_id").alias("query_table"), F.col("col_idx").alias("query_col"), F.col("vec").alias("_qv"))
+    c = lake.select(F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"), F.col("vec").alias("_cv"))
+    scored = short.join(q, ["query_table", "query_col"]).join(c, ["cand_table", "cand_col"])
+    return scored.withColumn("score", cosine("_qv", "_cv")).select(*PAIR_COLS)
+
+
 def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", exclude_same_table: bool = False,
-        tables: int = 16, bits: int = 8, n_lists: int = 200, n_probe: int = 10, seed: int = 42) -> DataFrame:
+        tables: int = 16, bits: int = 8, n_lists: int = 200, n_probe: int = 10, n_sub: int = 8, n_codes: int = 256,
+        refine: int = 4, seed: int = 42) -> DataFrame:
     """``(query_table, query_col, cand_table, cand_col, score, rank)``: the ``k`` nearest columns.
 
     ``exact`` compares every query with every vector: the queries travel to
     the lake when they fit one block, else both sides are laid out as a grid.
-    ``lsh`` and ``ivf`` compare only inside shared buckets (``tables`` x
-    ``bits`` hyperplanes; ``n_probe`` of ``n_lists`` cells) and are the way to
-    run a whole lake against itself.  A small lake returns fewer than ``k``.
+    ``lsh``, ``ivf`` and ``ivfpq`` compare only inside shared buckets
+    (``tables`` x ``bits`` hyperplanes; ``n_probe`` of ``n_lists`` cells; cells
+    with ``n_sub`` codes per vector) and are the way to run a whole lake
+    against itself.  A small lake returns fewer than ``k``.
     """
     queries, lake = _vectors(queries), _vectors(lake)
     if method == "exact":
@@ -232,6 +305,8 @@ def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", excl
         centers = coarse_centers(lake, n_lists, seed)
         parts = _bucketed(queries, lake, k, exclude_same_table,
                           _nearest_cells(centers, n_probe)("vec"), _nearest_cells(centers, 1)("vec"))
+    elif method == "ivfpq":
+        parts = _ivfpq(queries, lake, k, exclude_same_table, n_lists, n_probe, n_sub, n_codes, refine, seed)
     else:
         raise ValueError(f"unknown search method: {method}")
     return merge_topk(parts, k)

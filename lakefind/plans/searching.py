@@ -135,6 +135,12 @@ def _(spark, sf):
     return pair_out(K.knn(v, v, 10, method="ivf", n_lists=32, n_probe=8))
 
 
+@query("knn_ivfpq")
+def _(spark, sf):
+    v = col_vectors(spark, sf)
+    return pair_out(K.knn(v, v, 10, method="ivfpq", n_lists=32, n_probe=8, n_codes=32))
+
+
 def sharded(spark, sf):
     return col_vectors(spark, sf).withColumn("shard", F.expr("col_idx % 6 + 1"))
 

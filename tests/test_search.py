@@ -80,7 +80,8 @@ def test_repeated_query_is_searched_once(spark):
     assert all(len(v) == 3 for v in found(K.joinable(df.union(df), df, 3)).values())
 
 
-@pytest.mark.parametrize("method,options", [("lsh", {"tables": 24, "bits": 4}), ("ivf", {"n_lists": 8, "n_probe": 3})])
+@pytest.mark.parametrize("method,options", [("lsh", {"tables": 24, "bits": 4}), ("ivf", {"n_lists": 8, "n_probe": 3}),
+    ("ivfpq", {"n_lists": 8, "n_probe": 3, "n_sub": 4, "n_codes": 16, "refine": 6})])
 def test_approximate_recall(spark, method, options):
     rng = np.random.default_rng(3)
     centers = rng.standard_normal((8, 16))
