@@ -142,9 +142,9 @@ def _band_choice(ratio: float, threshold: float, num_perm: int) -> tuple[int, in
             s = np.clip(t / (1 + ratio - t), 0, 1)
             return 1 - (1 - s**r) ** bands
 
-        error = (meets(low).sum(axis=1) + (1 - meets(high)).sum(axis=1)) * step
+        error = np.round((meets(low).sum(axis=1) + (1 - meets(high)).sum(axis=1)) * step, 9)
         at = int(np.argmin(error))
-        best = min(best, (round(float(error[at]), 9), at + 1, r))
+        best = min(best, (float(error[at]), at + 1, r))
     return best[1], best[2]
 
 

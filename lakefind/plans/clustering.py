@@ -52,10 +52,27 @@ def _(spark, sf):
     return near.join(cores, "id").join(far, "other").select("id", "other", F.round(w, 6).alias("w"))
 
 
-@query("spanning_tree")
+# Prim's algorithm, one point per step; with ties broken by (u, v) the tree is unique.
+PRIM = [
+    ("reach", "SELECT d.id, other, round(greatest(a.core, b.core, d), 10) AS w, least(d.id, other) AS u, "
+              "greatest(d.id, other) AS v FROM dist d JOIN cores a ON a.id = d.id JOIN cores b ON b.id = other WHERE d.id <> other"),
+    ("prim(node, w, u, v, done) USING KEY (node)", """
+SELECT other, w, u, v, false FROM reach WHERE id = (SELECT min(id) FROM cores)
+UNION (
+  WITH chosen AS (SELECT node, w, u, v FROM recurring.prim WHERE NOT done ORDER BY w, u, v LIMIT 1)
+  SELECT node, w, u, v, true FROM chosen
+  UNION ALL
+  SELECT p.node, e.w, e.u, e.v, false FROM recurring.prim p, chosen c, reach e
+  WHERE NOT p.done AND p.node <> c.node AND e.id = c.node AND e.other = p.node
+    AND (e.w < p.w OR (e.w = p.w AND (e.u < p.u OR (e.u = p.u AND e.v < p.v)))))"""),
+]
+
+
+@query("spanning_tree", with_views(["vectors"], *DISTANCES, *PRIM, select=(
+    "SELECT u, v, round(w, 6) AS w FROM prim")).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf):
     picks, _ = C.spanning_rounds(C.core_distances(pts(spark, sf), 5))
-    return C.spanning_edges(picks)
+    return C.spanning_edges(picks).select("u", "v", F.round("w", 6).alias("w"))
 
 
 @query("density_clusters")

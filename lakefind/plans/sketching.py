@@ -8,7 +8,7 @@ from lakefind.functions.ranking import rank_within
 from lakefind.operators import overlap as O
 from lakefind.operators import sketch as S
 from lakefind.plans.registry import query
-from lakefind.plans.searching import OVERLAP_IDS, PAIRS, VALUES, _ids, key_pairs
+from lakefind.plans.searching import OVERLAP, OVERLAP_IDS, PAIRS, VALUES, _ids, key_pairs
 from lakefind.plans.views import cells, with_views
 
 NUM_PERM = 128
@@ -64,14 +64,40 @@ def _(spark, sf):
     return _ids(estimates(spark, sf), F.round("containment", 6).alias("containment"))
 
 
-@query("containment_filter")
+# Bands and rows are tuned per size ratio on the same grid that the operator integrates over.
+FILTER = [
+    *MINHASH, *[cte for cte in OVERLAP if cte[0] != VALUES[0]],
+    ("sized", "SELECT *, floor((row_number() OVER w - 1) * 32 / count(*) OVER (PARTITION BY query_table, query_col)) AS part "
+              "FROM measured WINDOW w AS (PARTITION BY query_table, query_col ORDER BY size_2, cand_table, cand_col)"),
+    ("tops", "SELECT query_table, query_col, part, max(size_2) / any_value(size_1) AS ratio FROM sized GROUP BY 1, 2, 3"),
+    ("steps", "SELECT ratio, true AS below, i * 0.01::DOUBLE + 0.005::DOUBLE AS t FROM (SELECT ratio, unnest(range(0, CAST(ceil("
+              "least(0.5, ratio) / 0.01) AS BIGINT))) AS i FROM (SELECT DISTINCT ratio FROM tops)) UNION ALL "
+              "SELECT ratio, false, 0.5::DOUBLE + i * 0.01::DOUBLE + 0.005::DOUBLE FROM (SELECT ratio, unnest(range(0, "
+              "CAST(greatest(0, ceil((least(1, ratio) - 0.5) / 0.01)) AS BIGINT))) AS i FROM (SELECT DISTINCT ratio FROM tops))"),
+    ("shapes", "SELECT r, unnest(range(1, 128 // r + 1)) AS b FROM (SELECT unnest(range(1, 9)) AS r)"),
+    ("met", "SELECT ratio, b, r, below, 1 - (1 - least(1, greatest(0, t / (1 + ratio - t))) ** r) ** b AS p FROM steps, shapes"),
+    ("errors", "SELECT ratio, b, r, round(sum(CASE WHEN below THEN p ELSE 1 - p END) * 0.01, 9) AS e FROM met GROUP BY 1, 2, 3"),
+    ("tuned", "SELECT ratio, b, r FROM (SELECT *, row_number() OVER (PARTITION BY ratio ORDER BY e, b, r) AS rn FROM errors) "
+              "WHERE rn = 1"),
+    ("banded", "SELECT s.query_table, s.query_col, s.cand_table, s.cand_col, q.i // r AS band, bool_and(q.low = c.low) AS same "
+               "FROM sized s JOIN tops p ON s.query_table = p.query_table AND s.query_col = p.query_col AND s.part = p.part "
+               "JOIN tuned t ON t.ratio = p.ratio JOIN sigs q ON q.table_id = s.query_table AND q.col_idx = s.query_col "
+               "JOIN sigs c ON c.table_id = s.cand_table AND c.col_idx = s.cand_col AND c.i = q.i WHERE q.i < b * r "
+               "GROUP BY 1, 2, 3, 4, 5"),
+    ("kept", "SELECT DISTINCT query_table, query_col, cand_table, cand_col FROM banded WHERE same"),
+]
+
+
+@query("containment_filter", with_views(["cells"], *FILTER, select=f"SELECT {OVERLAP_IDS} FROM kept"))
 def _(spark, sf):
     sets = O.value_sets(cells(spark, sf))
     kept = S.containment_filter(S.minhash(sets, NUM_PERM), O.set_sizes(sets), key_pairs(spark), threshold=0.5, num_perm=NUM_PERM)
     return _ids(kept)
 
 
-@query("containment_filter_verified")
+@query("containment_filter_verified", with_views(["cells"], *FILTER, select=(
+    f"SELECT {OVERLAP_IDS}, round(c, 6) AS containment FROM kept JOIN measured USING (query_table, query_col, cand_table, "
+    "cand_col) WHERE c >= 0.5")))
 def _(spark, sf):
     kept = S.verified_filter(O.value_sets(cells(spark, sf)), key_pairs(spark), threshold=0.5, num_perm=NUM_PERM)
     return _ids(kept, F.round("containment", 6).alias("containment"))
