@@ -1,7 +1,8 @@
 """Clustering of the embeddings, its stages and its summaries.
 
-The merge tree, the spanning tree and the labels are iterative jobs and have
-no SQL twin; the tests compare them with direct versions on small fixtures.
+The SQL twins of the merge tree and the spanning tree are the sequential
+algorithms as keyed recursion.  Density labels have none; the tests compare
+them with a direct version on small fixtures.
 """
 
 from __future__ import annotations
@@ -80,12 +81,47 @@ def _(spark, sf):
     return C.cluster_density(pts(spark, sf), 5, 5)
 
 
-@query("average_linkage_tree")
+# Average linkage, one merge per step on the table of cluster pairs: the closest pair (a, b) closes, its
+# distances to every other cluster are averaged by size into a, and those of b end.
+LINKAGE = [
+    ("points!", "SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT table_id || '#' || col_idx AS id FROM col_vectors)"),
+    *SCORED,
+    ("linkage(a, b, d, na, nb, alive, merged) USING KEY (a, b)", """
+SELECT p.n, q.n, 1 - score, 1, 1, true, false FROM scored JOIN points p ON p.id = query_table || '#' || query_col
+  JOIN points q ON q.id = cand_table || '#' || cand_col WHERE p.n < q.n
+UNION (
+  WITH m AS (SELECT a, b, d, na, nb FROM recurring.linkage WHERE alive ORDER BY d, a, b LIMIT 1),
+  of_a AS (SELECT CASE WHEN l.a = m.a THEN l.b ELSE l.a END AS x, l.d, CASE WHEN l.a = m.a THEN l.nb ELSE l.na END AS nx
+    FROM recurring.linkage l, m WHERE l.alive AND (l.a = m.a OR l.b = m.a) AND NOT (l.a = m.a AND l.b = m.b)),
+  of_b AS (SELECT l.a, l.b, CASE WHEN l.a = m.b THEN l.b ELSE l.a END AS x, l.d, l.na, l.nb
+    FROM recurring.linkage l, m WHERE l.alive AND (l.a = m.b OR l.b = m.b) AND NOT (l.a = m.a AND l.b = m.b))
+  SELECT a, b, d, na, nb, false, true FROM m
+  UNION ALL
+  SELECT a, b, d, na, nb, false, false FROM of_b
+  UNION ALL
+  SELECT least(m.a, of_a.x), greatest(m.a, of_a.x), (m.na * of_a.d + m.nb * of_b.d) / (m.na + m.nb),
+    CASE WHEN m.a < of_a.x THEN m.na + m.nb ELSE nx END, CASE WHEN m.a < of_a.x THEN nx ELSE m.na + m.nb END, true, false
+  FROM m, of_a, of_b WHERE of_a.x = of_b.x)"""),
+    ("tree!", "SELECT p.id AS a, q.id AS b, d AS height, na + nb AS size FROM linkage JOIN points p ON p.n = a "
+              "JOIN points q ON q.n = b WHERE merged"),
+]
+
+
+def _linkage_sql(*ctes: tuple[str, str], select: str) -> str:
+    return with_views(["vectors"], *LINKAGE, *ctes, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("average_linkage_tree", _linkage_sql(select="SELECT a, b, round(height, 6) AS height, size FROM tree"))
 def _(spark, sf):
-    return C.merge_tree(pts(spark, sf))
+    return C.merge_tree(pts(spark, sf)).select("a", "b", F.round("height", 6).alias("height"), "size")
 
 
-@query("average_linkage_clusters")
+@query("average_linkage_clusters", _linkage_sql(
+    ("cut", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY height, size, a, b) AS rn FROM tree) "
+            "WHERE rn <= (SELECT count(*) FROM points) - 50"),
+    ("up(id, root)", "SELECT id, id FROM points UNION ALL SELECT up.id, cut.a FROM up JOIN cut ON cut.b = up.root"),
+    ("roots", "SELECT id, min(root) AS root FROM up GROUP BY 1"),
+    select="SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM roots"))
 def _(spark, sf):
     return C.cluster_average(pts(spark, sf), 50)
 
@@ -95,13 +131,22 @@ def _(spark, sf):
     return C.cluster_average(pts(spark, sf), 16, method="bisecting")
 
 
-@query("threshold_sweep")
+THRESHOLD_ROWS = ("cuts", "SELECT unnest([" + ", ".join(f"{t}::DOUBLE" for t in THRESHOLDS) + "]) AS threshold")
+
+
+@query("threshold_sweep", _linkage_sql(THRESHOLD_ROWS, select=(
+    "SELECT threshold, (SELECT count(*) FROM points) - count(height) AS n_cluster FROM cuts LEFT JOIN tree ON height <= threshold "
+    "GROUP BY 1")))
 def _(spark, sf):
     points = pts(spark, sf)
     return C.threshold_sweep(C.merge_tree(points), points.count(), THRESHOLDS)
 
 
-@query("threshold_labels")
+@query("threshold_labels", _linkage_sql(
+    THRESHOLD_ROWS,
+    ("up(threshold, id, root)", "SELECT threshold, id, id FROM cuts, points UNION ALL SELECT threshold, up.id, tree.a FROM up "
+                                "JOIN tree ON tree.b = up.root AND height <= threshold"),
+    select="SELECT threshold, id, min(root) AS root FROM up GROUP BY 1, 2"))
 def _(spark, sf):
     points = pts(spark, sf)
     return C.threshold_labels(points, C.merge_tree(points), THRESHOLDS)

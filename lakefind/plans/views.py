@@ -136,6 +136,7 @@ CTES = {
 
 
 def with_views(views: list[str], *ctes: tuple[str, str], select: str) -> str:
-    """``WITH`` the named views and further CTEs, then ``select``."""
+    """``WITH`` the named views and further CTEs, then ``select``; a name ending in ``!`` is computed once."""
     parts = [cte for view in views for cte in CTES[view]] + list(ctes)
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in parts) + "\n" + select
+    named = [(name.removesuffix("!"), " MATERIALIZED" if name.endswith("!") else "", body) for name, body in parts]
+    return "WITH " + ",\n".join(f"{name} AS{once} ({body})" for name, once, body in named) + "\n" + select
