@@ -397,23 +397,22 @@ def _selected(tree: DataFrame) -> DataFrame:
     Bottom-up rounds keep a cluster when it is at least as stable as its
     parts; pointer doubling then finds the outermost kept one.
     """
-    waiting = tree.filter(F.col("parent").isNotNull()).select("cluster", "parent", "stability")
-    done = None
-    while not waiting.isEmpty():
-        parents = waiting.select(F.col("parent").alias("cluster")).distinct()
-        ready = waiting.join(parents, "cluster", "left_anti")
-        if done is None:
-            scored = ready.select("cluster", "parent", F.col("stability").alias("best"), F.lit(True).alias("kept"))
-        else:
-            inner = done.groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("parts"))
-            scored = ready.join(inner, "cluster", "left").select(
-                "cluster", "parent", F.greatest("stability", F.coalesce("parts", F.lit(0.0))).alias("best"),
-                (F.col("stability") >= F.coalesce("parts", F.lit(0.0))).alias("kept"))
-        scored = materialize(scored)
-        done = scored if done is None else done.unionByName(scored)
-        waiting = materialize(waiting.join(scored.select("cluster"), "cluster", "left_anti"))
-    if done is None:
+    done = tree.filter(F.col("parent").isNotNull()).select(
+        "cluster", "parent", "stability", F.lit(None).cast("double").alias("best"), F.lit(None).cast("boolean").alias("kept"))
+    if done.isEmpty():
         return tree.select("cluster", F.col("cluster").alias("top")).limit(0)
+    while True:
+        # Per parent: how many parts still wait, and what the others are worth.
+        inner = done.groupBy(F.col("parent").alias("cluster")).agg(
+            F.count_if(F.col("best").isNull()).alias("open"), F.sum("best").alias("parts"))
+        ready = F.col("best").isNull() & (F.coalesce("open", F.lit(0)) == 0)
+        parts = F.coalesce("parts", F.lit(0.0))
+        done = materialize(done.join(inner, "cluster", "left").select(
+            "cluster", "parent", "stability",
+            F.when(ready, F.greatest("stability", parts)).otherwise(F.col("best")).alias("best"),
+            F.when(ready, F.col("stability") >= parts).otherwise(F.col("kept")).alias("kept")))
+        if done.filter("best IS NULL").isEmpty():
+            break
     reach = materialize(done.select("cluster", F.col("parent").alias("up"), F.when(F.col("kept"), F.col("cluster")).alias("top")))
     while True:
         higher = reach.select(F.col("cluster").alias("up"), F.col("up").alias("next"), F.col("top").alias("higher"))
