@@ -111,7 +111,7 @@ def _linkage_sql(*ctes: tuple[str, str], select: str) -> str:
     return with_views(["vectors"], *LINKAGE, *ctes, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("average_linkage_tree", _linkage_sql(select="SELECT a, b, round(height, 6) AS height, size FROM tree"))
+@query("average_linkage_tree", _linkage_sql(select="SELECT a, b, round(height, 6) AS height, CAST(size AS BIGINT) AS size FROM tree"))
 def _(spark, sf):
     return C.merge_tree(pts(spark, sf)).select("a", "b", F.round("height", 6).alias("height"), "size")
 
@@ -123,7 +123,7 @@ def _(spark, sf):
     ("roots", "SELECT id, min(root) AS root FROM up GROUP BY 1"),
     select="SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM roots"))
 def _(spark, sf):
-    return C.cluster_average(pts(spark, sf), 50)
+    return C.cluster_average(pts(spark, sf), 50).withColumn("cluster", F.col("cluster").cast("long"))
 
 
 @query("bisecting_clusters")
@@ -162,6 +162,6 @@ def _(spark, sf):
 
 @query("cluster_summary", """
 SELECT count(DISTINCT label) FILTER (label <> 9) AS n_clusters, count(*) FILTER (label = 9) AS n_noise_points,
-  0 AS n_nan_rows FROM embeddings""")
+  0::BIGINT AS n_nan_rows FROM embeddings""")
 def _(spark, sf):
     return C.cluster_summary(clusters(spark, sf))

@@ -304,7 +304,7 @@ for _name, _rounds, _ctes, _source in (("column_vector_components", 1, ROUND, "f
 
 
 @query("extract_column_vectors", with_views(["cells"], *GRAPH, *ROUND, ("wide", _column_sql("fused")), select=(
-    "SELECT table_id, col_idx, col_name, 64 AS n_dims, round(sum(x), 6) AS x_sum FROM wide JOIN (SELECT DISTINCT table_id, "
+    "SELECT table_id, col_idx, col_name, 64::BIGINT AS n_dims, round(sum(x), 6) AS x_sum FROM wide JOIN (SELECT DISTINCT table_id, "
     "CAST(col_idx AS BIGINT) AS col_idx, col_name FROM cells) USING (table_id, col_idx) GROUP BY 1, 2, 3")))
 def _(spark, sf):
     vectors = H.column_vectors(cells(spark, sf))
