@@ -8,7 +8,7 @@ part of this library: all incidences weigh the same.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefind.functions import text as T
@@ -45,20 +45,26 @@ def hyperedges(capped: DataFrame) -> DataFrame:
 
 
 def tokens(text: Column, limit: int = 64) -> Column:
-    """Word tokens of a cell, numbers in scientific form; a missing tag is its own token."""
-    found = F.slice(T.words(T.scientific_numbers(T.strip_delete(text))), 1, limit)
-    return F.when(text.isin(list(T.MISSING.values())) | (F.size(found) == 0), F.array(text)).otherwise(found)
+    """Word tokens of a cell, numbers in scientific form; none for a missing tag."""
+    plain = F.when(~text.isin(list(T.MISSING.values())), text)
+    return F.slice(T.words(T.scientific_numbers(T.strip_delete(plain))), 1, limit)
 
 
 def hashed_components(items: DataFrame, ids: list[str], dim: int = 64) -> DataFrame:
-    """``(ids, dim, x)``: mean of the signed one-hot vectors of an item's tokens."""
-    listed = items.select(*ids, tokens(F.col("text")).alias("_tokens"))
-    each = listed.select(*ids, (1.0 / F.size("_tokens")).alias("_w"), F.explode("_tokens").alias("_token"))
-    code = F.md5("_token")
+    """``(ids, dim, x)``: mean of the signed one-hot vectors of an item's tokens.
+
+    An item without tokens, or a missing tag, is its own token.  The tokens of
+    an item are counted in a window (at most the token limit), whose
+    partitioning the grouping below reuses; the long token expression is
+    evaluated once.
+    """
+    cut = items.select(*ids, "text", F.explode_outer(tokens(F.col("text"))).alias("_token"))
+    code = F.md5(F.coalesce("_token", "text"))
     slot = F.conv(F.substring(code, 1, 8), 16, 10).cast("long") % dim
     sign = F.when(F.substring(code, 9, 1) < "8", 1.0).otherwise(-1.0)
-    return each.select(*ids, slot.cast("int").alias("dim"), (sign * F.col("_w")).alias("x")).groupBy(
-        *ids, "dim").agg(F.sum("x").alias("x"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*ids))
+    signed = cut.select(*ids, slot.cast("int").alias("dim"), sign.alias("_sign"))
+    return signed.withColumn("x", F.col("_sign") / n).groupBy(*ids, "dim").agg(F.sum("x").alias("x"))
 
 
 def _mean_over(links: DataFrame, source: DataFrame, source_id: str, target_id: str) -> DataFrame:
