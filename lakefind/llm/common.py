@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,21 +80,32 @@ class WordHash(dict):
         return h
 
 
-def word_hashes(text: str, known: WordHash) -> np.ndarray:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # both ASCII only for bytes
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def words_of(text: str) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased; both are ASCII only for bytes."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
-    """One hash per position for ``size`` consecutive words; fewer words make one shingle, none make none."""
-    if not len(words):
-        return words
-    n = max(1, len(words) - size + 1)
-    out = np.full(n, len(words) if len(words) < size else size, np.uint64)
-    for k in range(min(size, len(words))):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[k:k + n])
-    return out
+SHINGLE = 5
+_LANES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_runs(words: list[list[bytes]], known: WordHash, size: int = SHINGLE) -> list[np.ndarray]:
+    """The shingle hashes of each document, one per position.
+
+    Fewer than ``size`` words make one shingle of the whole sequence, no words
+    make none.  All documents of the call are hashed in one go.
+    """
+    pad = [b""] * size
+    flat = [w if len(w) >= size or not w else w + pad[len(w):] for w in words]
+    sizes = np.array([len(w) for w in flat], np.int64)
+    total = int(sizes.sum())
+    hashes = np.fromiter(map(known.__getitem__, chain.from_iterable(flat)), np.uint64, total)
+    out = np.zeros(max(0, total - size + 1), np.uint64)
+    for k in range(size):
+        out += hashes[k:k + len(out)] * _LANES[k]
+    out = mix(out)
+    ends = np.cumsum(sizes)
+    return [out[e - n:e - size + 1] if n else out[:0] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def batched(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
