@@ -10,9 +10,10 @@ shard is packed on its own from (id, piece, length) alone; the waste of a shard
 is a few open sequences, a fixed small share.  Token ids never go through a
 shuffle for packing.  A long text is tokenised segment by segment.
 
-Tokens: the tokenizer never joins characters across white space, so texts are encoded in blocks
-between ASCII white space and each distinct block once; the ids equal those of
-the whole text, which a test compares.
+Tokens: the tokenizer never joins characters across white space, so texts are
+encoded in blocks between ASCII white space, each distinct block once, and
+plain blocks as their run of letters and their run of signs.  The ids equal
+those of the whole text, which a test compares.
 
 Defined results: a null or empty text is one piece with the single id 0.
 Repeated rows are packed as separate, equal pieces.  Null ids stay null.  Further columns are
@@ -22,6 +23,7 @@ ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +40,8 @@ CAPACITY, END = 2048, 0
 SHARD = 24_000
 SEGMENT = 1 << 20  # characters tokenised at once
 CACHE = 300_000
+#: Blocks that are one run of Latin letters and one run of ASCII signs: each run is a word of the tokenizer's model.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 def default_tokenizer() -> str:
@@ -55,6 +59,13 @@ class BlockEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        for word, k in self.tokenizer.get_vocab().items():
+            self.last[k] = word.endswith("</w>")
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     @staticmethod
     def segments(text: str) -> Iterator[list[str]]:
@@ -73,11 +84,31 @@ class BlockEncoder:
         new = [b for b in blocks if b not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
+            self.runs.clear()
             new = list(blocks)
+        plain, other = [], []
+        for b in new:
+            m = PLAIN.fullmatch(b)
+            if m:
+                plain.append((b, m[1].lower(), m[2]))
+            else:
+                other.append(b)
+        self.learn_runs({r for _, word, signs in plain for r in (word, signs) if r and r not in self.runs})
+        for b, word, signs in plain:
+            self.known[b] = self.runs.get(word, b"") + self.runs.get(signs, b"")
+        for b in other:
+            self.known[b] = self.encode(b).tobytes()
+
+    def learn_runs(self, runs: set[str]) -> None:
+        """Many runs in one call; each is one word of the model and so has one id that ends a word, its last."""
+        new = list(runs)
         for lo in range(0, len(new), 4096):
             part = new[lo:lo + 4096]
-            for b, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[b] = np.array(e.ids, "<u4").tobytes()
+            ids = self.encode(" ".join(part))
+            data, at = ids.tobytes(), 0
+            for run, end in zip(part, (np.flatnonzero(self.last[ids]) + 1).tolist(), strict=True):
+                self.runs[run] = data[4 * at:4 * end]
+                at = end
 
     def ids(self, text: str) -> Iterator[bytes]:
         """The text's ids, a segment at a time."""
