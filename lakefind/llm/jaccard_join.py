@@ -11,7 +11,8 @@ A document is the set of its distinct word shingles.  Equal sets form one class,
    and of the candidates left for verification.
 3. In the list of a shingle the most typical class leads; all others are
    verified against it.  Pairs that this leaves, in lists that still hold more
-   than one component, are joined with the same l-match rule.  So a group of
+   than one component, are joined where their first shared shingle can lie and
+   then held to the same l-match rule.  So a group of
    thousands of near copies costs pairs in proportion to its size.
 4. Verification compares whole sets: 100 * intersection >= PERCENT * union.
 
@@ -124,17 +125,23 @@ def sketch_levels(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def matches(levels: np.ndarray, n: int) -> int:
-    """How many prefix shingles a partner must share; ``levels`` are those of the set in global order."""
+def matches(levels: np.ndarray, n: int, usual: float) -> int:
+    """How many prefix shingles a partner must share; ``levels`` are those of the set in global order.
+
+    ``usual`` is the mean count of a bucket, which is what chance adds to a
+    list's estimate.  Of a list sum L at most L / l entries meet l times.
+    """
     need = -(-PERCENT * n // 100)
     most = max(1, min(MAX_MATCHES, need))
-    lists = np.cumsum(np.exp2(levels[:n - need + most] / 2.0))[n - need:]  # entries met with 1, 2, ... matches
+    lists = np.maximum(np.exp2(levels[:n - need + most] / 2.0) - 2 * usual - 2, 0)
+    lists = np.cumsum(lists)[n - need:]  # entries met with 1, 2, ... matches
     return 1 + int(np.argmin(lists * (1 + VERIFY_COST / np.arange(1, len(lists) + 1))))
 
 
 def postings(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
     """(tok, cls, n, need, pos, typ): the prefix of every class, once per task that meets the class."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    usual = float(np.mean(np.exp2(levels / 2.0) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, level = WordHash(), set(), shared.value
@@ -150,7 +157,7 @@ def postings(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
                 at = level[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 order = np.argsort(at, kind="stable")
                 ordered = at[order]
-                m = matches(ordered, n)
+                m = matches(ordered, n, usual)
                 size = n - -(-PERCENT * n // 100) + m
                 toks.append(s[order[:size]].view(np.int64))
                 rows.append((cls, n, m, int(ordered.mean() * 16), size))
@@ -194,35 +201,54 @@ def leader_pairs(lists: DataFrame) -> DataFrame:
     return pairs.where("hits >= need").select("a", "b")
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most ``rows`` of them; else left to a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def remaining_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     """(a, b) of different components that share enough prefix shingles and were not tested.
 
     Within a list, classes of the leader's component are met only by classes
     outside it, so the pairs inside a large component are never formed.
     """
-    name = labels.select(F.col("node").alias("cls"), "label")
-    led = labels.select(F.col("node").alias("top"), F.col("label").alias("top_label"))
+    name = bounded(labels.select(F.col("node").alias("cls"), "label"))
+    led = bounded(labels.select(F.col("node").alias("top"), F.col("label").alias("top_label")))
     rows = lists.withColumn("top", F.col("lead.cls")).drop("lead").join(name, "cls", "left").join(led, "top", "left")
     rows = rows.select("tok", "cls", "n", "need", "pos", F.coalesce("label", "cls").alias("label"),
                        F.coalesce("top_label", "top").alias("top_label"))
     rows = materialize(rows.withColumn("outside", F.col("label") != F.col("top_label")).drop("top_label"))
     x = rows.where("outside").alias("x")
     y = rows.alias("y")
-    need = F.least("x.need", "y.need")
+    # of l shared prefix shingles the first lies l - 1 places before the prefix ends: the rule for one match
     met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.label") != F.col("y.label"))
                  & (~F.col("y.outside") | (F.col("x.cls") < F.col("y.cls")))
-                 & meets(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), need))
-    pairs = met.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).agg(
-        F.count("*").alias("hits"), F.min(need).alias("need")).where("hits >= need").select("a", "b")
+                 & meets(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), F.lit(1)))
+    pairs = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(known, ["a", "b"], "left_anti")
+    return enough_matches(materialize(pairs.join(known, ["a", "b"], "left_anti")), lists)
+
+
+def enough_matches(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many shingles as both sides ask for."""
+    ends = bounded(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    prefixes = lists.join(ends, "cls", "left_semi").groupBy("cls", "n", "need").agg(
+        F.collect_list(F.struct("tok", "pos")).alias("prefix"))  # at most a prefix long
+    both = pairs.alias("p").join(prefixes.alias("x"), F.col("p.a") == F.col("x.cls")).join(
+        prefixes.alias("y"), F.col("p.b") == F.col("y.cls"))
+    need = F.least("x.need", "y.need")
+    overlap = F.ceil((F.col("x.n").cast("long") + F.col("y.n")) * PERCENT / (100 + PERCENT) - 1e-9)
+
+    def part(side: str) -> Column:
+        last = F.col(f"{side}.n") - overlap + need
+        return F.transform(F.filter(f"{side}.prefix", lambda t: t["pos"] <= last), lambda t: t["tok"])
+
+    return both.where(F.size(F.array_intersect(part("x"), part("y"))) >= need).select("a", "b")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Written (cls, tokens) for the (doc, cls) rows of ``wanted``, from whole texts."""
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").join(
-        F.broadcast(wanted) if few else wanted, "doc")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").join(bounded(wanted), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
