@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-OPERATORS = ["line_dedup", "quality", "jaccard_join", "packing", "decontaminate", "language", "fingerprint", "secrets", "chat"]
+OPERATORS = ["line_dedup", "quality", "jaccard_join", "packing", "decontaminate", "language", "fingerprint", "secrets", "chat", "extraction"]
 
 for _name in OPERATORS:
     importlib.import_module(f"lakefind.llm.{_name}")
