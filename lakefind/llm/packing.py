@@ -26,6 +26,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from lakefind.plans.registry import query
 CAPACITY, END = 2048, 0
 SHARD = 24_000
 SEGMENT = 1 << 20  # characters tokenised at once
-CACHE = 300_000
+CACHE = 1_000_000  # blocks, about 200 MB
 #: Blocks that are one run of Latin letters and one run of ASCII signs: each run is a word of the tokenizer's model.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 
@@ -55,7 +56,7 @@ class BlockEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
@@ -63,9 +64,15 @@ class BlockEncoder:
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         for word, k in self.tokenizer.get_vocab().items():
             self.last[k] = word.endswith("</w>")
+        # plain runs in lower case are what the normaliser would make of them, and blanks part them
+        self.simple = Tokenizer.from_file(path)
+        self.simple.normalizer = normalizers.Sequence([])
+        self.simple.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    @staticmethod
+    def encode(tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     @staticmethod
     def segments(text: str) -> Iterator[list[str]]:
@@ -80,12 +87,10 @@ class BlockEncoder:
             yield [w for w in part.split(" ") if w]
             lo = hi
 
-    def learn(self, blocks: set[str]) -> None:
-        new = [b for b in blocks if b not in self.known]
+    def learn(self, new: set[str]) -> None:
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             self.runs.clear()
-            new = list(blocks)
         plain, other = [], []
         for b in new:
             m = PLAIN.fullmatch(b)
@@ -97,14 +102,14 @@ class BlockEncoder:
         for b, word, signs in plain:
             self.known[b] = self.runs.get(word, b"") + self.runs.get(signs, b"")
         for b in other:
-            self.known[b] = self.encode(b).tobytes()
+            self.known[b] = self.encode(self.tokenizer, b).tobytes()
 
     def learn_runs(self, runs: set[str]) -> None:
         """Many runs in one call; each is one word of the model and so has one id that ends a word, its last."""
         new = list(runs)
         for lo in range(0, len(new), 4096):
             part = new[lo:lo + 4096]
-            ids = self.encode(" ".join(part))
+            ids = self.encode(self.simple, " ".join(part))
             data, at = ids.tobytes(), 0
             for run, end in zip(part, (np.flatnonzero(self.last[ids]) + 1).tolist(), strict=True):
                 self.runs[run] = data[4 * at:4 * end]
@@ -113,8 +118,19 @@ class BlockEncoder:
     def ids(self, text: str) -> Iterator[bytes]:
         """The text's ids, a segment at a time."""
         for blocks in self.segments(text):
-            self.learn(set(blocks))
-            yield b"".join(map(self.known.__getitem__, blocks))
+            found = list(map(self.known.get, blocks))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            if missing:
+                self.learn({blocks[i] for i in missing})
+                for i in missing:
+                    found[i] = self.known[blocks[i]]
+            yield b"".join(found)
+
+
+@lru_cache(maxsize=1)
+def block_encoder(path: str) -> BlockEncoder:
+    """One encoder per worker process, kept from task to task."""
+    return BlockEncoder(path)
 
 
 def cut(encoder: BlockEncoder, text: str, capacity: int = CAPACITY) -> Iterator[bytes]:
@@ -138,11 +154,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BlockEncoder(path)
+        encoder = block_encoder(path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            if sum(map(len, texts)) < SEGMENT:  # one call for all new blocks of the batch
-                encoder.learn({w for t in texts for part in encoder.segments(t) for w in part})
             rows: list[tuple] = []
 
             def batch() -> pa.RecordBatch:
