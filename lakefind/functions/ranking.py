@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakefind.session import materialize, max_group_rows
+from lakefind.session import materialize
 
 
 def seeded(seed: int | str, *cols: str | Column) -> Column:
@@ -26,42 +26,22 @@ def same(left: str, right: str, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column],
-            sizes: DataFrame | None = None) -> DataFrame:
-    """Running sums (current row included) over ``order`` inside each group.
+def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Running sums (current row included) over ``order`` inside each group, on one path for every size.
 
-    ``order`` must be total within a group.  Groups of a bounded number of
-    rows are handled by a plain window.  Larger ones are range-partitioned on
-    their own order into slices, each slice sums for itself, and the totals
-    of the earlier slices are added: no task ever holds a whole hot group.
-    ``sizes`` (group columns and ``_n``, an upper bound of the rows) spares
-    counting ``df`` when the caller knows the sizes from a cheaper scan.
+    ``order`` must be total within a group.  The rows are range-partitioned on
+    group and order and written once with the number of their slice; each
+    slice of a group sums for itself, and the totals of the group's earlier slices are
+    added.  A slice is a share of all rows, so no task ever holds a whole hot group.
     """
-    bound = max_group_rows(df.sparkSession)
-    if sizes is None:
-        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.filter(F.col("_n") > bound)
-    hot_rows = sizes.agg(F.sum("_n")).first()[0]
-    window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if hot_rows is None:
-        return df.withColumns({name: F.sum(value).over(window) for name, value in sums.items()})
-
-    if group:
-        keys = sizes.select(*group)
-        match = same("a", "b", group)
-        hot = df.alias("a").join(keys.alias("b"), match, "left_semi")
-        cold = df.alias("a").join(keys.alias("b"), match, "left_anti")
-    else:
-        hot, cold = df, None
-    n_slices = max(2, -(-hot_rows // bound))
     by = [F.col(g) for g in group] + list(order)
     sliced = materialize(
-        hot.withColumns({f"_add_{name}": value for name, value in sums.items()})
-        .repartitionByRange(n_slices, *by)
+        df.withColumns({f"_add_{name}": value for name, value in sums.items()})
+        .repartitionByRange(*by)
         .withColumn("_slice", F.spark_partition_id())
     )
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    offsets = (  # one row per group and slice
         sliced.groupBy(*group, "_slice")
         .agg(*[F.sum(f"_add_{name}").alias(f"_total_{name}") for name in sums])
         .withColumns({f"_off_{name}": F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)) for name in sums})
@@ -69,17 +49,14 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str
     local = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     split = sliced.withColumns({f"_run_{name}": F.sum(f"_add_{name}").over(local) for name in sums})
     joined = split.alias("a").join(offsets.alias("b"), same("a", "b", [*group, "_slice"]))
-    out = joined.select(
+    return joined.select(
         *[F.col(f"a.{c}") for c in df.columns],
         *[(F.col(f"a._run_{name}") + F.col(f"b._off_{name}")).alias(name) for name in sums],
     )
-    if cold is None:
-        return out
-    return out.unionByName(cold.withColumns({name: F.sum(value).over(window) for name, value in sums.items()}))
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
-                limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+                limit: int | None = None) -> DataFrame:
     """Dense 1-based position of each row in its group.
 
     With ``limit`` only the first ``limit`` rows survive; Spark then prunes
@@ -89,4 +66,4 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str
     if limit is not None:
         numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
         return numbered.filter(F.col(name) <= limit).withColumn(name, F.col(name).cast("long"))
-    return running(df, group, order, {name: F.lit(1).cast("long")}, sizes)
+    return running(df, group, order, {name: F.lit(1).cast("long")})

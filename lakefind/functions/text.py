@@ -31,9 +31,9 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
-def first_words(text: Column, n: int) -> Column:
-    """The first ``n`` blank-separated words."""
-    return F.array_join(F.slice(F.split(squeeze(text), " "), 1, n), " ")
+def first_words(text: Column, n: int | None) -> Column:
+    """The first ``n`` blank-separated words; all of them if ``n`` is None."""
+    return squeeze(text) if n is None else F.array_join(F.slice(F.split(squeeze(text), " "), 1, n), " ")
 
 
 def strip_delete(text: Column) -> Column:
@@ -81,8 +81,8 @@ def clean_template(text: Column) -> Column:
     return F.when(text.rlike(r"^\{\{.*\}\}$"), inner).otherwise(F.regexp_replace(text, r"\{\{.*\}\}", ""))
 
 
-def sanitize(text: Column, kind: str = "cell", max_words: int = 128, replace_missing: bool = True) -> Column:
-    """Pipes to blanks, no stray markup word, no reserved tags, at most ``max_words`` words."""
+def sanitize(text: Column, kind: str = "cell", max_words: int | None = None, replace_missing: bool = True) -> Column:
+    """Pipes to blanks, no stray markup word, no reserved tags, at most ``max_words`` words if given."""
     out = squeeze(F.regexp_replace(text, r"\|+", " "))
     head = F.substring_index(out, " ", 1)
     out = F.when(head.isin(LEADING_MARKUP), F.ltrim(F.substr(out, F.length(head) + 1))).otherwise(out)
@@ -100,6 +100,6 @@ def fold_ascii(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
 
-def clean_cell(text: Column, max_words: int = 128) -> Column:
+def clean_cell(text: Column, max_words: int | None = None) -> Column:
     """ASCII folding, template clean-up, white space and ``sanitize`` in one go."""
     return sanitize(squeeze(clean_template(fold_ascii(text))), "cell", max_words)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lakefind.functions.ranking import rank_within, running
 from lakefind.functions.vectors import SCORE_DIGITS, has_nan, l2_normalize, matrix, normalized
-from lakefind.operators.knn import CHUNK, exact_topk, grid_apply, merge_topk, small_side
+from lakefind.operators.knn import CHUNK, exact_topk, grid_apply, merge_topk, table_codes
 from lakefind.session import materialize
 
 METRICS = ("cosine", "euclidean")
@@ -182,17 +182,8 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 def _all_blocks(pts: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(query block, block)`` over all pairs of blocks of the points with themselves."""
     keyed = pts.withColumnsRenamed({"id": "table_id"}).withColumn("col_idx", F.lit(0))
-    small = small_side(keyed)
-    if small is None:
-        with_key = keyed.withColumn("_key", F.lit(0))
-        return grid_apply(with_key, with_key, ["_key"], fn, schema)
-
-    def scan(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(small, pa.Table.from_batches([batch])).to_batches()
-
-    return keyed.mapInArrow(scan, schema)
+    with_key = keyed.withColumn("_key", F.lit(0))
+    return grid_apply(with_key, with_key, ["_key"], fn, schema)
 
 
 def core_distances(pts: DataFrame, min_samples: int = 5, metric: str = "cosine") -> DataFrame:
@@ -205,10 +196,11 @@ def core_distances(pts: DataFrame, min_samples: int = 5, metric: str = "cosine")
         vec, other_vec = matrix(q.column("vec")), matrix(others.column("vec"))
         k = min(min_samples, len(other_ids))
         rows = []
+        own_codes, other_codes = table_codes(ids, other_ids)
         for at in range(0, len(ids), CHUNK):
             part = ids[at:at + CHUNK]
             d = _distances(vec[at:at + CHUNK], other_vec, metric)
-            d[part[:, None] == other_ids[None, :]] = np.inf
+            d[own_codes[at:at + CHUNK][:, None] == other_codes[None, :]] = np.inf
             rows.append(pd.DataFrame({"id": np.repeat(part, k), "d": np.partition(d, k - 1, axis=1)[:, :k].ravel()}))
         out = pd.concat(rows) if rows else pd.DataFrame({"id": [], "d": []})
         return pa.Table.from_pandas(out[np.isfinite(out["d"])], pa.schema([("id", pa.string()), ("d", pa.float64())]),
@@ -231,11 +223,12 @@ def _nearest_outside(state: DataFrame, metric: str) -> DataFrame:
         a, b = ({c: t.column(c).to_numpy() for c in ("table_id", "comp", "core")} for t in (q, others))
         vec, other_vec = matrix(q.column("vec")), matrix(others.column("vec"))
         found = []
+        comp_codes, other_comp_codes = table_codes(a["comp"], b["comp"])
         for at in range(0, len(vec), CHUNK):
             part = slice(at, at + CHUNK)
             w = _distances(vec[part], other_vec, metric)
             w = np.maximum(np.maximum(w, a["core"][part][:, None]), b["core"][None, :])
-            w[a["comp"][part][:, None] == b["comp"][None, :]] = np.inf
+            w[comp_codes[part][:, None] == other_comp_codes[None, :]] = np.inf
             low = w.min(axis=1)
             r, c = np.nonzero((w == low[:, None]) & np.isfinite(w))
             ids, far = a["table_id"][part][r], b["table_id"][c]

@@ -18,7 +18,6 @@ STEPS = {
     "fold_ascii": T.fold_ascii,
     "clean_cell": T.clean_cell,
 }
-DRAW_BUCKETS = 65536
 
 
 def normalize_cells(cells: DataFrame, steps: list[str]) -> DataFrame:
@@ -31,61 +30,64 @@ def normalize_cells(cells: DataFrame, steps: list[str]) -> DataFrame:
 
 
 def drop_header_rows(cells: DataFrame) -> DataFrame:
-    """Drop the leading rows whose first cell contains the first header; the rest moves up.
+    """Drop the leading rows that repeat the header cell by cell; the rest moves up.
 
-    The first row that stays is one minimum per table, so no table is sorted.
-    A table of nothing but header rows disappears.
+    A data row that merely contains a header's text stays.  Whether a row repeats the header is one
+    minimum per row, the first row that stays one minimum per table, so no
+    table is sorted.  A table of nothing but header rows disappears.
     """
-    repeats = (F.col("col_name") != "") & F.coalesce(F.contains("value", "col_name"), F.lit(False))
-    first = (
-        cells.filter(F.col("col_idx") == 0).filter(~repeats)
-        .groupBy("table_id").agg(F.min("row_idx").alias("_first"))
-    )
+    plain = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    same = plain("value") == plain("col_name")
+    rows = cells.groupBy("table_id", "row_idx").agg(
+        (F.bool_and(same) & F.bool_or(plain("col_name") != "")).alias("_repeats"))
+    first = rows.filter(~F.col("_repeats")).groupBy("table_id").agg(F.min("row_idx").alias("_first"))
     return (
         cells.join(first, "table_id").filter(F.col("row_idx") >= F.col("_first"))
         .withColumn("row_idx", F.col("row_idx") - F.col("_first")).drop("_first")
     )
 
 
-def linearize(cells: DataFrame, rows: int = 100, cols: int = 100, max_words: int = 128) -> DataFrame:
-    """``(table_id, text)``: ``<caption> .. <header> a | b <row> 1 | 2 ..``.
+def linearize(cells: DataFrame, part_rows: int = 100, max_words: int | None = None) -> DataFrame:
+    """``(table_id, part, text)``: ``<caption> .. <header> a | b <row> 1 | 2 ..``.
 
-    The text of a table is one value, so the size caps are part of the
-    operator and are applied before anything is grouped.
+    The whole table: part ``p`` holds rows ``p * part_rows`` and following, each part
+    with caption and header, so that no table is one value.  A caller
+    that wants a size cap applies ``select.cap`` before.
     """
-    capped = cells.filter((F.col("row_idx") < rows) & (F.col("col_idx") < cols))
     caption = F.col("caption") if "caption" in cells.columns else F.lit(None).cast("string")
-    cleaned = capped.select(
+    cleaned = cells.select(
         "table_id", "row_idx", "col_idx", T.sanitize(caption, "caption", max_words).alias("caption"),
         T.sanitize(F.col("col_name"), "header", max_words).alias("head"),
         T.clean_cell(F.col("value"), max_words).alias("cell"))
     ordered = F.sort_array(F.collect_list(F.struct("col_idx", "head", "cell")))
     lines = cleaned.groupBy("table_id", "row_idx").agg(F.first("caption").alias("caption"), ordered.alias("cells"))
     lines = lines.select(
-        "table_id", "caption",
+        "table_id", F.floor(F.col("row_idx") / part_rows).alias("part"), "caption",
         F.array_join(F.transform("cells", lambda c: c["head"]), " | ").alias("head"),
         F.struct("row_idx", F.concat(F.lit(T.ROW_TAG + " "), F.array_join(
             F.transform("cells", lambda c: c["cell"]), " | ")).alias("line")).alias("item"))
-    tables = lines.groupBy("table_id").agg(
+    parts = lines.groupBy("table_id", "part").agg(
         F.first("caption").alias("caption"), F.min_by("head", F.col("item.row_idx")).alias("head"),
         F.sort_array(F.collect_list("item")).alias("items"))
-    return tables.select("table_id", F.concat_ws(
+    return parts.select("table_id", "part", F.concat_ws(
         " ", F.lit(T.CAPTION_TAG), "caption", F.lit(T.HEADER_TAG), "head",
         F.array_join(F.transform("items", lambda i: i["line"]), " ")).alias("text"))
 
 
-def parse_text(table_text: DataFrame) -> DataFrame:
-    """Tagged table text back to cells; a table with a row of the wrong width is skipped."""
+def parse_text(table_text: DataFrame, part_rows: int = 100) -> DataFrame:
+    """Tagged parts of table texts back to cells; a table with a row of the wrong width is skipped."""
     body = F.split("text", T.HEADER_TAG)[1]
     lines = F.split(body, T.ROW_TAG)
     parsed = table_text.select(
-        "table_id",
+        "table_id", "part",
         F.trim(F.replace(F.split("text", T.HEADER_TAG)[0], F.lit(T.CAPTION_TAG), F.lit(""))).alias("caption"),
         F.split(F.trim(lines[0]), r" \| ").alias("header"),
         F.transform(F.slice(lines, 2, F.size(lines)), lambda line: F.split(F.trim(line), r" \| ")).alias("data"))
-    sound = parsed.filter(F.forall("data", lambda row: F.size(row) == F.size("header")))
-    rows = sound.select("table_id", "caption", "header", F.posexplode("data").alias("row_idx", "row"))
-    cells = rows.select("table_id", "caption", F.col("row_idx").cast("long").alias("row_idx"),
+    parsed = parsed.withColumn("_sound", F.forall("data", lambda row: F.size(row) == F.size("header")))
+    broken = parsed.filter(~F.col("_sound")).select("table_id").distinct()
+    rows = parsed.join(broken, "table_id", "left_anti").select(
+        "table_id", "part", "caption", "header", F.posexplode("data").alias("at", "row"))
+    cells = rows.select("table_id", "caption", (F.col("part") * part_rows + F.col("at")).cast("long").alias("row_idx"),
                         F.posexplode(F.arrays_zip("header", "row")).alias("col_idx", "c"))
     return cells.select("table_id", "caption", "row_idx", "col_idx", F.trim("c.header").alias("col_name"),
                         F.trim("c.row").alias("value"))
@@ -149,15 +151,16 @@ def draw(items: DataFrame, lex: DataFrame, hashed: Column, name: str) -> DataFra
     """Attach a lexicon text to every item, drawn with probability ``cnt / total``.
 
     An item's hash is a position in the cumulative counts.  Positions and
-    count intervals are cut into the same buckets, so the range join is an
-    equi-join; a frequent text just spans more buckets.
+    count intervals are cut into as many buckets as there are texts, so the range join is an
+    equi-join: a bucket is as wide as a text is frequent on average, and a frequent
+    text just spans more buckets.
     """
     cumulated = materialize(running(lex.filter(F.col("cnt") > 0).select("text", "cnt"), [],
                                     [F.desc("cnt"), F.col("text")], {"hi": F.col("cnt")}))
-    total = cumulated.agg(F.sum("cnt")).first()[0]
+    total, n_texts = cumulated.agg(F.sum("cnt"), F.count(F.lit(1))).first()
     if not total:
         raise ValueError("the lexicon is empty")
-    width = max(1, -(-total // DRAW_BUCKETS))
+    width = max(1, total // n_texts)
     lo = F.col("hi") - F.col("cnt")
     buckets = cumulated.select(
         F.col("text").alias(name), lo.alias("_lo"), F.col("hi").alias("_hi"),

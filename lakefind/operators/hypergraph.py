@@ -8,71 +8,66 @@ part of this library: all incidences weigh the same.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakefind.functions import text as T
-from lakefind.operators.select import cap
+from lakefind.session import materialize
+
 
+def numbered_cells(cells: DataFrame) -> DataFrame:
+    """All cells with node and edge numbers: edge 0 table, ``1..C`` columns, then rows.
 
-def capped_cells(cells: DataFrame, rows: int = 64, cols: int = 64, n_words: int = 64) -> DataFrame:
-    """Capped cells with node and edge numbers: edge 0 table, ``1..C`` columns, then rows."""
-    small = cap(cells, rows, cols, n_words)
-    widths = small.groupBy("table_id").agg((F.max("col_idx") + 1).alias("n_cols"))
-    return small.join(widths, "table_id").withColumn("node_id", F.col("row_idx") * F.col("n_cols") + F.col("col_idx"))
+    A caller that wants a size cap applies ``select.cap`` before.
+    """
+    widths = cells.groupBy("table_id").agg((F.max("col_idx") + 1).alias("n_cols"))
+    return cells.join(widths, "table_id").withColumn("node_id", F.col("row_idx") * F.col("n_cols") + F.col("col_idx"))
 
 
-def nodes(capped: DataFrame) -> DataFrame:
-    return capped.select("table_id", "node_id", "row_idx", "col_idx", T.fill_missing(F.col("value")).alias("text"))
+def nodes(numbered: DataFrame) -> DataFrame:
+    return numbered.select("table_id", "node_id", "row_idx", "col_idx", T.fill_missing(F.col("value")).alias("text"))
 
 
-def incidence(capped: DataFrame) -> DataFrame:
+def incidence(numbered: DataFrame) -> DataFrame:
     """Three rows per cell: its table, column and row edge."""
     edges = F.array(F.lit(0).cast("long"), (F.col("col_idx") + 1).cast("long"), F.col("row_idx") + 1 + F.col("n_cols"))
-    return capped.select("table_id", "node_id", F.explode(edges).alias("edge_id"))
+    return numbered.select("table_id", "node_id", F.explode(edges).alias("edge_id"))
 
 
-def hyperedges(capped: DataFrame) -> DataFrame:
+def hyperedges(numbered: DataFrame) -> DataFrame:
     """``(table_id, edge_id, kind, text)``; the table edge carries the caption tag."""
-    table = capped.select("table_id", F.lit(0).cast("long").alias("edge_id"), F.lit("table").alias("kind"),
+    table = numbered.select("table_id", F.lit(0).cast("long").alias("edge_id"), F.lit("table").alias("kind"),
                           F.lit(T.MISSING["caption"]).alias("text")).distinct()
-    column = capped.select("table_id", (F.col("col_idx") + 1).cast("long").alias("edge_id"),
+    column = numbered.select("table_id", (F.col("col_idx") + 1).cast("long").alias("edge_id"),
                            F.lit("column").alias("kind"),
                            T.fill_missing(F.col("col_name"), "header").alias("text")).distinct()
-    row = capped.select("table_id", (F.col("row_idx") + 1 + F.col("n_cols")).alias("edge_id"),
+    row = numbered.select("table_id", (F.col("row_idx") + 1 + F.col("n_cols")).alias("edge_id"),
                         F.lit("row").alias("kind"), F.lit(T.MISSING["row"]).alias("text")).distinct()
     return table.unionByName(column).unionByName(row)
 
 
-def tokens(text: Column, limit: int = 64) -> Column:
+def tokens(text: Column) -> Column:
     """Word tokens of a cell, numbers in scientific form; none for a missing tag."""
     plain = F.when(~text.isin(list(T.MISSING.values())), text)
-    return F.slice(T.words(T.scientific_numbers(T.strip_delete(plain))), 1, limit)
+    return T.words(T.scientific_numbers(T.strip_delete(plain)))
 
 
 def hashed_components(items: DataFrame, ids: list[str], dim: int = 64) -> DataFrame:
     """``(ids, dim, x)``: mean of the signed one-hot vectors of an item's tokens.
 
-    An item without tokens, or a missing tag, is its own token.  The tokens of
-    an item are counted in a window (at most the token limit), whose
-    partitioning the grouping below reuses; the long token expression is
-    evaluated once.
+    An item without tokens, or a missing tag, is its own token.  The number of
+    tokens is known before they are expanded, so a grouped sum is all that follows.
     """
-    cut = items.select(*ids, "text", F.explode_outer(tokens(F.col("text"))).alias("_token"))
+    listed = items.select(*ids, "text", tokens(F.col("text")).alias("_tokens"))
+    sized = listed.select(*ids, "text", "_tokens", F.greatest(F.coalesce(F.size("_tokens"), F.lit(1)), F.lit(1)).alias("_n"))
+    each = sized.select(*ids, "text", "_n", F.explode_outer("_tokens").alias("_token"))
     code = F.md5(F.coalesce("_token", "text"))
     slot = F.conv(F.substring(code, 1, 8), 16, 10).cast("long") % dim
     sign = F.when(F.substring(code, 9, 1) < "8", 1.0).otherwise(-1.0)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*ids))
-    signed = cut.select(*ids, slot.cast("int").alias("dim"), sign.alias("_sign"))
-    return signed.withColumn("x", F.col("_sign") / n).groupBy(*ids, "dim").agg(F.sum("x").alias("x"))
-
-
-def _mean_over(links: DataFrame, source: DataFrame, source_id: str, target_id: str) -> DataFrame:
-    """Per target: mean of the vectors of its linked sources."""
-    degree = links.groupBy("table_id", target_id).agg(F.count(F.lit(1)).alias("_n"))
-    sums = links.join(source, ["table_id", source_id]).groupBy("table_id", target_id, "dim").agg(F.sum("x").alias("x"))
-    return sums.join(degree, ["table_id", target_id]).select(
-        "table_id", target_id, "dim", (F.col("x") / F.col("_n")).alias("x"))
+    return each.select(*ids, slot.cast("int").alias("dim"), (sign / F.col("_n")).alias("_x")).groupBy(
+        *ids, "dim").agg(F.sum("_x").alias("x"))
 
 
 def _fuse(own: DataFrame, gathered: DataFrame) -> DataFrame:
@@ -80,25 +75,65 @@ def _fuse(own: DataFrame, gathered: DataFrame) -> DataFrame:
     return own.unionByName(gathered).groupBy("table_id", "edge_id", "dim").agg((F.sum("x") / 2).alias("x"))
 
 
-def column_components(cells: DataFrame, dim: int = 64, rounds: int = 1, rows: int = 64, cols: int = 64) -> DataFrame:
+def _edge_means(columns: DataFrame, rows: DataFrame | None, sizes: dict[str, DataFrame]) -> DataFrame:
+    """Gathered vectors of edges from node sums per column and per row; the table's come from its columns."""
+    column = columns.join(sizes["column"], ["table_id", "edge_id"])
+    parts = [column]
+    if rows is not None:
+        table = columns.groupBy("table_id", "dim").agg(F.sum("x").alias("x")).withColumn("edge_id", F.lit(0).cast("long"))
+        parts += [table.join(sizes["table"], ["table_id", "edge_id"]), rows.join(sizes["row"], ["table_id", "edge_id"])]
+    mean = (F.col("x") / F.col("_n")).alias("x")
+    return reduce(DataFrame.unionByName, [p.select("table_id", "edge_id", "dim", mean) for p in parts])
+
+
+def column_components(cells: DataFrame, dim: int = 64, rounds: int = 1) -> DataFrame:
     """``(table_id, col_idx, dim, x)`` after ``rounds`` of node -> edge -> node averaging.
 
-    Only real column edges are returned.  The last round gathers column edges
-    alone: table and row edges would not be read any more.
+    Node vectors are needed only as sums per column and per row, so they are
+    never joined to the table's edge, which every cell of a table belongs to:
+    of the next round's node vectors, a third is the table's vector, a third its
+    column's and a third its row's.  Only real column edges are returned, and
+    the last round gathers nothing else.
     """
-    capped = capped_cells(cells, rows, cols)
-    edges = hyperedges(capped)
-    links = incidence(capped)
-    vectors = hashed_components(nodes(capped), ["table_id", "node_id"], dim)
-    own = hashed_components(edges, ["table_id", "edge_id"], dim)
-    for _ in range(rounds - 1):
-        fused = _fuse(own, _mean_over(links, vectors, "node_id", "edge_id"))
-        vectors = _mean_over(links, fused, "edge_id", "node_id")
-        own = fused
-    columns = edges.filter(F.col("kind") == "column").select("table_id", "edge_id")
-    in_columns = capped.select("table_id", "node_id", (F.col("col_idx") + 1).cast("long").alias("edge_id"))
-    own_columns = own.join(columns, ["table_id", "edge_id"], "left_semi")
-    fused = _fuse(own_columns, _mean_over(in_columns, vectors, "node_id", "edge_id"))
+    numbered = numbered_cells(cells)
+    col_edge, row_edge = (F.col("col_idx") + 1).cast("long"), F.col("row_idx") + 1 + F.col("n_cols")
+    places = numbered.select("table_id", col_edge.alias("col_edge"), row_edge.alias("row_edge"))
+    own = hashed_components(hyperedges(numbered), ["table_id", "edge_id"], dim)
+    vectors = hashed_components(
+        numbered.select("table_id", col_edge.alias("col_edge"), row_edge.alias("row_edge"),
+                        T.fill_missing(F.col("value")).alias("text")), ["table_id", "col_edge", "row_edge"], dim)
+    one = F.count(F.lit(1)).alias("_n")
+    sizes = {"column": places.groupBy("table_id", F.col("col_edge").alias("edge_id")).agg(one),
+             "row": places.groupBy("table_id", F.col("row_edge").alias("edge_id")).agg(one),
+             "table": places.groupBy("table_id").agg(one).withColumn("edge_id", F.lit(0).cast("long"))}
+
+    def summed(df: DataFrame, edge: str) -> DataFrame:
+        return df.groupBy("table_id", F.col(edge).alias("edge_id"), "dim").agg(F.sum("x").alias("x"))
+
+    columns = summed(vectors, "col_edge")
+    rows = summed(vectors, "row_edge") if rounds > 1 else None
+    kinds = hyperedges(numbered).select("table_id", "edge_id", "kind")
+    column_ids = kinds.filter(F.col("kind") == "column").drop("kind")
+    for k in range(1, rounds):
+        own = materialize(_fuse(own, _edge_means(columns, rows, sizes)))
+        table = own.filter(F.col("edge_id") == 0).drop("edge_id")
+        of_col = own.join(column_ids, ["table_id", "edge_id"], "left_semi")
+        of_row = own.filter(F.col("edge_id") > 0).join(column_ids, ["table_id", "edge_id"], "left_anti")
+
+        def spread(to: str, across: str, vectors_: DataFrame, own_: DataFrame, kind: str, table_: DataFrame) -> DataFrame:
+            """Sums over the nodes of edge ``to`` of a third of their table's, own and crossing edge's vectors."""
+            crossing = places.join(vectors_.withColumnRenamed("edge_id", across), ["table_id", across])
+            constant = own_.unionByName(sizes[kind].select("table_id", "edge_id").join(table_, "table_id"))
+            constant = constant.join(sizes[kind], ["table_id", "edge_id"]).select(
+                "table_id", "edge_id", "dim", (F.col("x") * F.col("_n")).alias("x"))
+            both = summed(crossing, to).unionByName(constant)
+            return both.groupBy("table_id", "edge_id", "dim").agg((F.sum("x") / 3).alias("x"))
+
+        last = k == rounds - 1
+        rows = None if last else spread("row_edge", "col_edge", of_col, of_row, "row", table)
+        columns = spread("col_edge", "row_edge", of_row, of_col, "column", table)
+    own_columns = own.join(column_ids, ["table_id", "edge_id"], "left_semi")
+    fused = _fuse(own_columns, _edge_means(columns, None, sizes))
     return fused.select("table_id", (F.col("edge_id") - 1).cast("int").alias("col_idx"), "dim", "x")
 
 

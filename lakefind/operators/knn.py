@@ -7,7 +7,7 @@ themselves are never rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,9 +20,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from lakefind.functions.ranking import rank_within
 from lakefind.functions.vectors import SCORE_DIGITS, cosine, l2_normalize, matrix, normalized
-from lakefind.session import broadcast_bytes
+from lakefind.session import materialize
 
-BLOCK = 8192  # vectors per block of the grid, and most queries shipped to every task
+BLOCK = 8192  # vectors per block of the grid
 CHUNK = 1024  # queries multiplied at a time
 PAIR = "query_table string, query_col int, cand_table string, cand_col int, score double"
 PAIR_COLS = ["query_table", "query_col", "cand_table", "cand_col", "score"]
@@ -55,13 +55,20 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return r[place < k], c[place < k]
 
 
+def table_codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table ids of two blocks as integers, equal where the ids are equal."""
+    codes = pd.factorize(np.concatenate([left, right]))[0]
+    return codes[:len(left)], codes[len(left):]
+
+
 def _block_topk(q: Block, lake: Block, k: int, skip_table: bool) -> pd.DataFrame:
     found = []
+    q_codes, l_codes = table_codes(q.names, lake.names)
     for at in range(0, len(q), CHUNK):
         part = slice(at, at + CHUNK)
         scores = np.round(q.vec[part] @ lake.vec.T, SCORE_DIGITS)
         if skip_table:
-            scores[q.names[part][:, None] == lake.names[None, :]] = -np.inf
+            scores[q_codes[part][:, None] == l_codes[None, :]] = -np.inf
         r, c = _best(scores, k)
         found.append(pd.DataFrame({
             "query_table": q.names[part][r], "query_col": q.cols[part][r],
@@ -81,21 +88,6 @@ def _arrow(pairs: pd.DataFrame) -> pa.Table:
     return pa.Table.from_pandas(pairs[PAIR_COLS], schema=schema, preserve_index=False)
 
 
-def _scan_topk(queries: Block, lake: DataFrame, k: int, skip_table: bool, unit: bool) -> DataFrame:
-    """Every task holds the (small) query block and streams its share of the lake; no shuffle of the lake."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = []
-        for batch in batches:
-            if batch.num_rows:
-                best.append(_block_topk(queries, Block(pa.Table.from_batches([batch]), unit), k, skip_table))
-                best = [_merge(best, k)]
-        if best:
-            yield from _arrow(best[0]).to_batches()
-
-    return lake.mapInArrow(scan, PAIR)
-
-
 def grid_apply(queries: DataFrame, lake: DataFrame, keys: list[str],
                fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
     """Run ``fn(query block, lake block)`` for all blocks of queries and vectors that share ``keys``.
@@ -103,6 +95,9 @@ def grid_apply(queries: DataFrame, lake: DataFrame, keys: list[str],
     Each key is cut into a grid of at most ``block`` x ``block`` vectors, so a
     key that holds a third of the lake is many tasks and nothing is dropped.
     """
+    same = queries is lake
+    queries = materialize(queries)  # counted and laid out: evaluated once
+    lake = queries if same else materialize(lake)
     me = F.xxhash64("table_id", "col_idx")
     n_q = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nq"))
     n_l = lake.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nl"))
@@ -148,20 +143,8 @@ def _vectors(df: DataFrame, *more: str) -> DataFrame:
     return df.select("table_id", F.col("col_idx").cast("int").alias("col_idx"), "vec", *more)
 
 
-def small_side(df: DataFrame) -> pa.Table | None:
-    """All of ``df`` when it fits one block and the broadcast bound, else nothing.
-
-    Never more than one block of rows reaches the driver.
-    """
-    head = df.limit(BLOCK + 1).toArrow()
-    return head if head.num_rows <= BLOCK and head.nbytes <= broadcast_bytes(df.sparkSession) else None
-
-
 def exact_topk(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool = False, unit: bool = True) -> DataFrame:
     """Partial top ``k`` by inner product (of unit vectors if ``unit``) over every query and vector."""
-    small = small_side(queries)
-    if small is not None:
-        return _scan_topk(Block(small, unit), lake, k, skip_table, unit)
     zero = F.lit(0)
     return grid_topk(queries.withColumn("_key", zero), lake.withColumn("_key", zero), k, ["_key"], skip_table, unit)
 
@@ -201,6 +184,16 @@ def _bucketed(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool, q_k
     return parts.distinct()  # a candidate may meet its query in several buckets
 
 
+def derived_bits(n_vectors: int, bucket: int = 256) -> int:
+    """Hyperplanes per hash table so that a bucket of evenly spread vectors holds about ``bucket``."""
+    return max(4, int(np.ceil(np.log2(max(1, n_vectors) / bucket))) + 4)
+
+
+def derived_lists(n_vectors: int) -> int:
+    """About the square root of the lake, as usual for k-means cells."""
+    return max(1, int(np.sqrt(n_vectors)))
+
+
 def _dim(df: DataFrame) -> int:
     return df.select(F.size("vec")).first()[0]
 
@@ -217,7 +210,7 @@ def codebooks(lake: DataFrame, n_sub: int, n_codes: int, seed: int = 42) -> np.n
     width = _dim(lake) // n_sub
     if width * n_sub != _dim(lake):
         raise ValueError("the dimension must be a multiple of the number of slices")
-    unit = lake.select(l2_normalize("vec").alias("vec"))
+    unit = materialize(lake.select(l2_normalize("vec").alias("vec")))  # read once per slice
     books = []
     for i in range(n_sub):
         piece = unit.select(array_to_vector(F.slice("vec", i * width + 1, width)).alias("features"))
@@ -261,12 +254,13 @@ def _ivfpq(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool, n_list
         order = np.lexsort((cols, names))
         names, cols, codes = names[order], cols[order], matrix(coded.column("codes")).astype(int)[order]
         found = []
+        q_codes, l_codes = table_codes(block.names, names)
         for at in range(0, len(block), CHUNK):
             part = slice(at, at + CHUNK)
             pieces = block.vec[part].reshape(-1, n_sub, width)
             scores = sum((pieces[:, s] @ books[s].T)[:, codes[:, s]] for s in range(n_sub))
             if skip_table:
-                scores[block.names[part][:, None] == names[None, :]] = -np.inf
+                scores[q_codes[part][:, None] == l_codes[None, :]] = -np.inf
             r, c = _best(np.round(scores, SCORE_DIGITS), refine * k)
             found.append(pd.DataFrame({
                 "query_table": block.names[part][r], "query_col": block.cols[part][r], "cand_table": names[c],
@@ -284,18 +278,23 @@ def _ivfpq(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool, n_list
 
 
 def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", exclude_same_table: bool = False,
-        tables: int = 16, bits: int = 8, n_lists: int = 200, n_probe: int = 10, n_sub: int = 8, n_codes: int = 256,
+        tables: int = 16, bits: int | None = None, n_lists: int | None = None, n_probe: int = 10, n_sub: int = 8, n_codes: int = 256,
         refine: int = 4, seed: int = 42) -> DataFrame:
     """``(query_table, query_col, cand_table, cand_col, score, rank)``: the ``k`` nearest columns.
 
-    ``exact`` compares every query with every vector: the queries travel to
-    the lake when they fit one block, else both sides are laid out as a grid.
+    ``exact`` compares every query with every vector in a grid of blocks,
+    whatever the sizes.
     ``lsh``, ``ivf`` and ``ivfpq`` compare only inside shared buckets
     (``tables`` x ``bits`` hyperplanes; ``n_probe`` of ``n_lists`` cells; cells
     with ``n_sub`` codes per vector) and are the way to run a whole lake
-    against itself.  A small lake returns fewer than ``k``.
+    against itself; ``bits`` and ``n_lists`` follow the lake's size unless given.  A small lake
+    returns fewer than ``k``.
     """
     queries, lake = _vectors(queries), _vectors(lake)
+    if method == "lsh" and bits is None:
+        bits = derived_bits(lake.count())
+    if method in ("ivf", "ivfpq") and n_lists is None:
+        n_lists = derived_lists(lake.count())
     if method == "exact":
         parts = exact_topk(queries, lake, k, exclude_same_table)
     elif method == "lsh":
@@ -313,25 +312,39 @@ def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", excl
 
 
 def joinable(queries: DataFrame, lake: DataFrame, k: int, exclude_same_table: bool = False,
-             method: str = "exact", **options) -> DataFrame:
+             method: str = "exact", position: str | None = None, **options) -> DataFrame:
     """Top-``k`` joinable columns of each query column.
 
     Lake mode keeps self-matches; with ``exclude_same_table`` the query's own
     table is left out before the top-k, so no over-fetching is needed.  A
-    query column listed twice is searched once.
+    query column listed twice is searched once, with the vector of its first
+    occurrence: the smallest value of the column ``position``.  Without positions rows have no
+    order, and the smallest vector is taken.
     """
-    once = queries.groupBy("table_id", "col_idx").agg(F.min("vec").alias("vec"))
+    first = F.min_by("vec", position) if position else F.min("vec")
+    once = queries.groupBy("table_id", "col_idx").agg(first.alias("vec"))
     return knn(once, lake, k, method, exclude_same_table, **options)
 
 
 def knn_by_shard(queries: DataFrame, lake: DataFrame, k: int, shard: str = "shard") -> DataFrame:
-    """Top ``k`` per query and shard; ``merge_topk`` of it is the global answer."""
+    """Top ``k`` per query and shard; ``merge_topk`` of it is the global answer.
+
+    The shard travels with each block, so a column that lies in several shards
+    is found in each of them with its own vector.
+    """
     shards = [row[0] for row in lake.select(shard).distinct().collect()]  # one per folder
     everywhere = _vectors(queries).withColumn("_shard", F.explode(F.array(*[F.lit(s) for s in shards])))
     tagged = _vectors(lake, shard).withColumnRenamed(shard, "_shard")
-    parts = grid_topk(everywhere, tagged, k, ["_shard"])
-    owner = tagged.select("_shard", F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"))
+
+    def pair_up(q: pa.Table, block: pa.Table) -> pa.Table:
+        found = pd.DataFrame(columns=PAIR_COLS)
+        if q.num_rows and block.num_rows:
+            found = _block_topk(Block(q), Block(block), k, False)
+        key = (block if block.num_rows else q).column("_shard")[:1].to_pylist()
+        return _arrow(found).append_column("_shard", pa.array(key * len(found), q.schema.field("_shard").type))
+
+    kind = tagged.schema["_shard"].dataType.simpleString()
+    cols = ["_shard", "table_id", "col_idx", "vec"]
+    parts = grid_apply(everywhere.select(*cols), tagged.select(*cols), ["_shard"], pair_up, f"{PAIR}, _shard {kind}")
     order = [F.desc("score"), F.col("cand_table"), F.col("cand_col")]
-    return rank_within(
-        parts.join(owner, ["cand_table", "cand_col"]).withColumnRenamed("_shard", shard),
-        [shard, "query_table", "query_col"], order, "rank", limit=k)
+    return rank_within(parts.withColumnRenamed("_shard", shard), [shard, "query_table", "query_col"], order, "rank", limit=k)

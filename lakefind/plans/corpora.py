@@ -50,7 +50,7 @@ _per_doc("clean_templates",
          "'|')[-1] ELSE regexp_replace(raw, '\\{\\{.*\\}\\}', '', 'g') END")
 
 
-def sanitize_sql(raw: str, kind: str, words: int = 128) -> str:
+def sanitize_sql(raw: str, kind: str) -> str:
     """The sanitising chain as one SQL expression."""
     out = SQUEEZE.format(f"regexp_replace({raw}, '\\|+', ' ', 'g')")
     for word in T.LEADING_MARKUP:
@@ -58,7 +58,7 @@ def sanitize_sql(raw: str, kind: str, words: int = 128) -> str:
     out = f"regexp_replace({out}, '^t[dh]~ +', '')"
     for tag in T.RESERVED:
         out = f"replace({out}, '{tag}', '')"
-    out = f"array_to_string(list_slice(string_split({SQUEEZE.format(out)}, ' '), 1, {words}), ' ')"
+    out = SQUEEZE.format(out)
     return f"(CASE WHEN coalesce(lower({out}), '') IN ('', '<missing>', 'missing') THEN '{T.MISSING[kind]}' ELSE {out} END)"
 
 
@@ -80,34 +80,42 @@ def _(spark, sf):
 
 
 def headed_lines(spark, sf):
-    """Documents as one-column tables of lines; the header is the text's first letter."""
-    docs = read(spark, sf, "documents").select(
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("table_id"),
-        F.substring("text", 1, 1).alias("col_name"), F.posexplode(F.split("text", "\n")).alias("row_idx", "value"))
-    return docs.select("table_id", F.col("row_idx").cast("long").alias("row_idx"), F.lit(0).alias("col_idx"),
-                       "col_name", "value")
+    """Documents as two-column tables (language, line) that start by repeating their header.
+
+    The header is the first line, and the language where the doc_id is even; elsewhere the first
+    row only holds a longer text that contains the header, and stays.
+    """
+    docs = read(spark, sf, "documents").select("doc_id", "lang", F.split("text", "\n").alias("lines"))
+    head = F.when(F.col("doc_id") % 2 == 0, F.col("lines")[0]).otherwise(F.substring(F.col("lines")[0], 1, 3))
+    rows = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("table_id"), "lang",
+                       head.alias("head"), F.posexplode("lines").alias("row_idx", "line"))
+    return to_cells(rows, {"lang": F.col("lang"), "line": F.col("line")}, {"lang": F.col("lang"), "line": F.col("head")})
 
 
 @query("drop_repeated_headers", """
-WITH lines AS (SELECT 'doc' || doc_id AS table_id, substr(text, 1, 1) AS col_name, string_split(text, chr(10)) AS l FROM documents),
-rows_ AS (SELECT table_id, col_name, unnest(range(0, len(l))) AS row_idx, unnest(l) AS value FROM lines),
-firsts AS (SELECT table_id, min(row_idx) AS f FROM rows_ WHERE NOT contains(value, col_name) GROUP BY 1)
-SELECT table_id, row_idx - f AS row_idx, col_name, value FROM rows_ JOIN firsts USING (table_id) WHERE row_idx >= f""")
+WITH docs_ AS (SELECT 'doc' || doc_id AS table_id, doc_id, lang, string_split(text, chr(10)) AS l FROM documents),
+rows_ AS (SELECT table_id, lang, CASE WHEN doc_id % 2 = 0 THEN l[1] ELSE substr(l[1], 1, 3) END AS head,
+  unnest(range(0, len(l))) AS row_idx, unnest(l) AS line FROM docs_),
+firsts AS (SELECT table_id, min(row_idx) AS f FROM rows_ WHERE NOT trim(line) = trim(head) GROUP BY 1),
+moved AS (SELECT table_id, lang, head, row_idx - f AS row_idx, line FROM rows_ JOIN firsts USING (table_id) WHERE row_idx >= f)
+SELECT table_id, row_idx, CAST(0 AS BIGINT) AS col_idx, lang AS col_name, lang AS value FROM moved
+UNION ALL SELECT table_id, row_idx, 1, head, line FROM moved""")
 def _(spark, sf):
-    return C.drop_header_rows(headed_lines(spark, sf)).select("table_id", "row_idx", "col_name", "value")
+    kept = C.drop_header_rows(headed_lines(spark, sf))
+    return kept.select("table_id", "row_idx", F.col("col_idx").cast("long"), "col_name", "value")
 
 
 LINEAR = [
     ("cleaned", "SELECT table_id, row_idx, col_idx, " + sanitize_sql("col_name", "header") + " AS head, "
-                + sanitize_sql("value", "cell") + " AS cell FROM cells WHERE row_idx < 100 AND col_idx < 100"),
+                + sanitize_sql("value", "cell") + " AS cell FROM cells"),
     ("lines", "SELECT table_id, row_idx, string_agg(head, ' | ' ORDER BY col_idx) AS head, '<row> ' || string_agg(cell, "
               "' | ' ORDER BY col_idx) AS line FROM cleaned GROUP BY 1, 2"),
-    ("texts", "SELECT table_id, '<caption> [TAB] <header> ' || min(head) || ' ' || string_agg(line, ' ' ORDER BY row_idx) "
-              "AS text FROM lines GROUP BY 1"),
+    ("texts", "SELECT table_id, row_idx // 100 AS part, '<caption> [TAB] <header> ' || min(head) || ' ' || "
+              "string_agg(line, ' ' ORDER BY row_idx) AS text FROM lines GROUP BY 1, 2"),
 ]
 
 
-@query("linearize_tables", with_views(["cells"], *LINEAR, select="SELECT table_id, text FROM texts"))
+@query("linearize_tables", with_views(["cells"], *LINEAR, select="SELECT table_id, part, text FROM texts"))
 def _(spark, sf):
     return C.linearize(cells(spark, sf))
 
@@ -207,36 +215,35 @@ def _(spark, sf):
 # --- hypergraphs -----------------------------------------------------------------------------
 
 GRAPH = [
-    ("small", "SELECT * FROM cells WHERE row_idx < 64 AND col_idx < 64"),
-    ("widths", "SELECT table_id, max(col_idx) + 1 AS n_cols FROM small GROUP BY 1"),
-    ("capped", "SELECT s.*, n_cols, row_idx * n_cols + col_idx AS node_id FROM small s JOIN widths USING (table_id)"),
-    ("nodes", "SELECT table_id, node_id, row_idx, col_idx, CASE WHEN trim(value) <> '' THEN value ELSE '[CELL]' END AS text "
-              "FROM capped"),
-    ("links", "SELECT table_id, node_id, unnest([0, col_idx + 1, row_idx + 1 + n_cols]) AS edge_id FROM capped"),
-    ("edges", "SELECT DISTINCT table_id, 0 AS edge_id, 'table' AS kind, '[TAB]' AS text FROM capped UNION ALL "
-              "SELECT DISTINCT table_id, col_idx + 1, 'column', col_name FROM capped UNION ALL "
-              "SELECT DISTINCT table_id, row_idx + 1 + n_cols, 'row', '[ROW]' FROM capped"),
+    ("widths", "SELECT table_id, max(col_idx) + 1 AS n_cols FROM cells GROUP BY 1"),
+    ("numbered!", "SELECT s.*, n_cols, row_idx * n_cols + col_idx AS node_id FROM cells s JOIN widths USING (table_id)"),
+    ("nodes!", "SELECT table_id, node_id, row_idx, col_idx, CASE WHEN trim(value) <> '' THEN value ELSE '[CELL]' END AS text "
+              "FROM numbered"),
+    ("links!", "SELECT table_id, node_id, unnest([0, col_idx + 1, row_idx + 1 + n_cols]) AS edge_id FROM numbered"),
+    ("edges!", "SELECT DISTINCT table_id, 0 AS edge_id, 'table' AS kind, '[TAB]' AS text FROM numbered UNION ALL "
+              "SELECT DISTINCT table_id, col_idx + 1, 'column', col_name FROM numbered UNION ALL "
+              "SELECT DISTINCT table_id, row_idx + 1 + n_cols, 'row', '[ROW]' FROM numbered"),
 ]
 
 
-def capped(spark, sf):
-    return H.capped_cells(cells(spark, sf))
+def numbered(spark, sf):
+    return H.numbered_cells(cells(spark, sf))
 
 
 @query("hypergraph_nodes", with_views(["cells"], *GRAPH, select=(
     "SELECT table_id, node_id, row_idx, CAST(col_idx AS BIGINT) AS col_idx, text FROM nodes")))
 def _(spark, sf):
-    return H.nodes(capped(spark, sf)).withColumn("col_idx", F.col("col_idx").cast("long"))
+    return H.nodes(numbered(spark, sf)).withColumn("col_idx", F.col("col_idx").cast("long"))
 
 
 @query("hypergraph_incidence", with_views(["cells"], *GRAPH, select="SELECT table_id, node_id, edge_id FROM links"))
 def _(spark, sf):
-    return H.incidence(capped(spark, sf))
+    return H.incidence(numbered(spark, sf))
 
 
 @query("hypergraph_edges", with_views(["cells"], *GRAPH, select="SELECT table_id, edge_id, kind, text FROM edges"))
 def _(spark, sf):
-    return H.hyperedges(capped(spark, sf))
+    return H.hyperedges(numbered(spark, sf))
 
 
 def _view_sql(seed: int) -> str:
@@ -247,17 +254,16 @@ def _view_sql(seed: int) -> str:
 @query("edge_drop_views", with_views(["cells"], *GRAPH, select=(
     f"SELECT table_id, node_id, edge_id, {_view_sql(1)}, {_view_sql(2)} FROM links")))
 def _(spark, sf):
-    return C.edge_views(H.incidence(capped(spark, sf)))
+    return C.edge_views(H.incidence(numbered(spark, sf)))
 
 
 def _components(name: str, source: str, ids: str) -> list[tuple[str, str]]:
-    listed = "list_slice(regexp_extract_all(lower(" + _number_sql("corpus").replace("(raw,", "(text,") + \
-        "), '[\\p{L}\\p{N}_]+'), 1, 64)"
+    listed = "regexp_extract_all(lower(" + _number_sql("corpus").replace("(raw,", "(text,") + "), '[\\p{L}\\p{N}_]+')"
     return [
         (f"{name}_tokens", f"SELECT {ids}, CASE WHEN text IN ('[TAB]', '[HEAD]', '[CELL]', '[ROW]') THEN [text] ELSE {listed} "
                            f"END AS t FROM {source}"),
         (f"{name}_each", f"SELECT {ids}, 1.0::DOUBLE / len(t) AS w, unnest(t) AS token FROM {name}_tokens"),
-        (name, f"SELECT {ids}, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS dim, sum(CASE WHEN substr(md5(token), 9, 1) "
+        (f"{name}!", f"SELECT {ids}, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS dim, sum(CASE WHEN substr(md5(token), 9, 1) "
                f"< '8' THEN w ELSE -w END) AS x FROM {name}_each GROUP BY ALL"),
     ]
 
@@ -265,22 +271,22 @@ def _components(name: str, source: str, ids: str) -> list[tuple[str, str]]:
 @query("cell_vectors", with_views(["cells"], *GRAPH, *_components("cell_vec", "nodes", "table_id, node_id"), select=(
     "SELECT table_id, node_id, dim, round(x, 6) AS x FROM cell_vec")))
 def _(spark, sf):
-    parts = H.hashed_components(H.nodes(capped(spark, sf)), ["table_id", "node_id"])
+    parts = H.hashed_components(H.nodes(numbered(spark, sf)), ["table_id", "node_id"])
     return parts.select("table_id", "node_id", F.col("dim").cast("long"), F.round("x", 6).alias("x"))
 
 
 ROUND = [
     *_components("cell_vec", "nodes", "table_id, node_id"), *_components("edge_vec", "edges", "table_id, edge_id"),
-    ("degree", "SELECT table_id, edge_id, count(*) AS n FROM links GROUP BY 1, 2"),
-    ("gathered", "SELECT l.table_id, l.edge_id, dim, sum(x) / any_value(n) AS x FROM links l JOIN cell_vec c ON l.table_id = "
+    ("degree!", "SELECT table_id, edge_id, count(*) AS n FROM links GROUP BY 1, 2"),
+    ("gathered!", "SELECT l.table_id, l.edge_id, dim, sum(x) / any_value(n) AS x FROM links l JOIN cell_vec c ON l.table_id = "
                  "c.table_id AND l.node_id = c.node_id JOIN degree d ON d.table_id = l.table_id AND d.edge_id = l.edge_id "
                  "GROUP BY 1, 2, 3"),
-    ("fused", "SELECT table_id, edge_id, dim, sum(x) / 2 AS x FROM (SELECT * FROM edge_vec UNION ALL SELECT * FROM gathered) "
+    ("fused!", "SELECT table_id, edge_id, dim, sum(x) / 2 AS x FROM (SELECT * FROM edge_vec UNION ALL SELECT * FROM gathered) "
               "GROUP BY 1, 2, 3"),
 ]
 TWO_ROUNDS = [
     *ROUND,
-    ("node_2", "SELECT l.table_id, l.node_id, dim, sum(x) / 3 AS x FROM links l JOIN fused f ON l.table_id = f.table_id AND "
+    ("node_2!", "SELECT l.table_id, l.node_id, dim, sum(x) / 3 AS x FROM links l JOIN fused f ON l.table_id = f.table_id AND "
                "l.edge_id = f.edge_id GROUP BY 1, 2, 3"),
     ("gathered_2", "SELECT l.table_id, l.edge_id, dim, sum(x) / any_value(n) AS x FROM links l JOIN node_2 c ON l.table_id = "
                    "c.table_id AND l.node_id = c.node_id JOIN degree d ON d.table_id = l.table_id AND d.edge_id = l.edge_id "
@@ -291,7 +297,8 @@ TWO_ROUNDS = [
 
 
 def _column_sql(source: str) -> str:
-    return (f"SELECT f.table_id, f.edge_id - 1 AS col_idx, dim, round(x, 6) + 0 AS x FROM {source} f JOIN edges e ON f.table_id "
+    # x is often an exact decimal tie, which the order of a float sum would round either way
+    return (f"SELECT f.table_id, f.edge_id - 1 AS col_idx, dim, round(x + 1e-9, 6) + 0 AS x FROM {source} f JOIN edges e ON f.table_id "
             "= e.table_id AND f.edge_id = e.edge_id WHERE kind = 'column'")
 
 
@@ -300,7 +307,7 @@ for _name, _rounds, _ctes, _source in (("column_vector_components", 1, ROUND, "f
     @query(_name, with_views(["cells"], *GRAPH, *_ctes, select=_column_sql(_source)))
     def _(spark, sf, rounds=_rounds):
         parts = H.column_components(cells(spark, sf), rounds=rounds)
-        return parts.select("table_id", F.col("col_idx").cast("long"), F.col("dim").cast("long"), F.round("x", 6).alias("x"))
+        return parts.select("table_id", F.col("col_idx").cast("long"), F.col("dim").cast("long"), F.round(F.col("x") + 1e-9, 6).alias("x"))
 
 
 @query("extract_column_vectors", with_views(["cells"], *GRAPH, *ROUND, ("wide", _column_sql("fused")), select=(
@@ -308,7 +315,7 @@ for _name, _rounds, _ctes, _source in (("column_vector_components", 1, ROUND, "f
     "CAST(col_idx AS BIGINT) AS col_idx, col_name FROM cells) USING (table_id, col_idx) GROUP BY 1, 2, 3")))
 def _(spark, sf):
     vectors = H.column_vectors(cells(spark, sf))
-    rounded = F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.round(x, 6))
+    rounded = F.aggregate(F.filter("vec", lambda x: x != 0), F.lit(0.0), lambda a, x: a + F.round(x + 1e-9, 6))
     return vectors.select("table_id", F.col("col_idx").cast("long"), "col_name", F.size("vec").cast("long").alias("n_dims"),
                           F.round(rounded, 6).alias("x_sum"))
 

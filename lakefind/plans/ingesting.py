@@ -111,22 +111,23 @@ def _(spark, sf):
         F.round(total, 4).alias("x_sum"))
 
 
-@query("read_table_records", with_views(["cells"], select=f"SELECT {OUT} FROM cells WHERE row_idx < 30"))
+@query("read_table_records", with_views(["cells"], select=f"SELECT {OUT} FROM cells"))
 def _(spark, sf):
     at = _folder(spark, "records")
-    T.to_table_record(cells(spark, sf), 30).select("record").write.text(at)
+    T.to_table_record(cells(spark, sf)).select("record").write.text(at)
     return out(T.read_table_json(spark, at))
 
 
 @query("table_records", with_views(
     ["cells"],
     ("rows_", "SELECT table_id, row_idx, list(value ORDER BY col_idx) AS r, list({'name': col_name} ORDER BY col_idx) AS h "
-              "FROM cells WHERE row_idx < 30 GROUP BY 1, 2"),
-    ("tables_", "SELECT table_id, arg_min(h, row_idx) AS header, list(r ORDER BY row_idx) AS data FROM rows_ GROUP BY 1"),
-    select="SELECT table_id, CAST(to_json({'id': table_id, 'table': {'caption': NULL, 'header': header, 'data': data}}) AS "
+              "FROM cells GROUP BY 1, 2"),
+    ("tables_", "SELECT table_id, row_idx // 1000 AS part, min(row_idx) AS first_row, arg_min(h, row_idx) AS header, "
+                "list(r ORDER BY row_idx) AS data FROM rows_ GROUP BY 1, 2"),
+    select="SELECT table_id, part, CAST(to_json({'id': table_id, 'first_row': first_row, 'table': {'caption': NULL, 'header': header, 'data': data}}) AS "
            "VARCHAR) AS record FROM tables_"))
 def _(spark, sf):
-    return T.to_table_record(cells(spark, sf), 30)
+    return T.to_table_record(cells(spark, sf))
 
 
 @query("column_map", with_views(["cells"], select=(

@@ -114,7 +114,9 @@ def _(spark, sf):
 @query("joinable_columns", _knn_sql(10))
 def _(spark, sf):
     v = col_vectors(spark, sf)
-    return pair_out(K.joinable(v.unionByName(v), v, 10))
+    first = v.withColumn("at", F.lit(1))
+    later = v.withColumns({"vec": F.reverse("vec"), "at": F.lit(2)})  # a repeated query with another vector
+    return pair_out(K.joinable(first.unionByName(later), v, 10, position="at"))
 
 
 @query("joinable_columns_other_tables", _knn_sql(10, "query_table <> cand_table"))
@@ -145,14 +147,25 @@ def sharded(spark, sf):
     return col_vectors(spark, sf).withColumn("shard", F.expr("col_idx % 6 + 1"))
 
 
+def overlapping(spark, sf):
+    """Shards of which the second also holds the first column of every table, with its vector reversed."""
+    v = sharded(spark, sf)
+    again = v.filter("col_idx = 0").withColumns({"vec": F.reverse("vec"), "shard": F.lit(2)})
+    return v.unionByName(again)
+
+
 @query("knn_by_shard", with_views(
-    ["vectors"], *SCORED,
-    ("ranked", "SELECT *, cand_col + 1 AS shard, row_number() OVER (PARTITION BY cand_col, query_table, query_col "
+    ["vectors"],
+    ("held", "SELECT table_id, col_idx, vec, col_idx % 6 + 1 AS shard FROM col_vectors UNION ALL "
+             "SELECT table_id, col_idx, list_reverse(vec), 2 FROM col_vectors WHERE col_idx = 0"),
+    ("scored", "SELECT q.table_id AS query_table, q.col_idx AS query_col, c.table_id AS cand_table, c.col_idx AS cand_col, shard, "
+               "round(list_dot_product(q.vec, c.vec) / sqrt(list_dot_product(q.vec, q.vec) * list_dot_product(c.vec, c.vec)), 10) "
+               "AS score FROM col_vectors q, held c"),
+    ("ranked", "SELECT *, row_number() OVER (PARTITION BY shard, query_table, query_col "
                "ORDER BY score DESC, cand_table, cand_col) AS rank FROM scored"),
     select=f"SELECT CAST(shard AS BIGINT) AS shard, {PAIR_OUT} FROM ranked WHERE rank <= 10"))
 def _(spark, sf):
-    v = sharded(spark, sf)
-    return pair_out(K.knn_by_shard(v, v, 10), F.col("shard").cast("long"))
+    return pair_out(K.knn_by_shard(col_vectors(spark, sf), overlapping(spark, sf), 10), F.col("shard").cast("long"))
 
 
 @query("knn_merged_shards", _knn_sql(10))

@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-BROADCAST_BYTES = "spark.lakefind.broadcastBytes"
-GROUP_ROWS = "spark.lakefind.maxGroupRows"
 
 
 def local_session(cpus: str | int = "*", app: str = "lakefind") -> SparkSession:
@@ -21,7 +19,8 @@ def local_session(cpus: str | int = "*", app: str = "lakefind") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", "6g")
+        .config(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="lakefind-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -33,19 +32,15 @@ def local_session(cpus: str | int = "*", app: str = "lakefind") -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the folder the cluster names in ``spark.checkpoint.dir``.  Only a
-    local session may fall back to a temporary folder: on a cluster a
-    machine-local folder would be lost with its executor.
+    It is the folder the cluster names in ``spark.checkpoint.dir``, or the one
+    given to ``SparkContext.setCheckpointDir``.  There is no other choice: a
+    machine-local folder would be lost with its executor.  ``local_session``, for tests and the bench,
+    names one.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lakefind-"))
-    return context.getCheckpointDir()
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -60,13 +55,3 @@ def materialize(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
-
-
-def broadcast_bytes(spark: SparkSession) -> int:
-    """Upper bound for anything this library ships to every executor."""
-    return int(spark.conf.get(BROADCAST_BYTES, str(64 << 20)))
-
-
-def max_group_rows(spark: SparkSession) -> int:
-    """Largest group a single task may sort; bigger ones are split."""
-    return int(spark.conf.get(GROUP_ROWS, str(500_000)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakefind.functions.ranking import rank_within
 
 RECORD_SCHEMA = (
-    "id string, table struct<caption: string, header: array<struct<name: string>>, data: array<array<string>>>"
+    "id string, first_row bigint, table struct<caption: string, header: array<struct<name: string>>, data: array<array<string>>>"
 )
 FORMATS = ("parquet", "csv", "json")
 
@@ -44,9 +44,10 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines corpus, one table per line, as ``cells`` with the caption kept."""
+    """A JSON-lines corpus, one table or part of a table per line, as ``cells`` with the caption kept."""
     raw = spark.read.schema(RECORD_SCHEMA).json(path)
-    rows = raw.select("id", "table.caption", "table.header", F.posexplode("table.data").alias("row_idx", "row"))
+    rows = raw.select("id", "first_row", "table.caption", "table.header", F.posexplode("table.data").alias("at", "row"))
+    rows = rows.withColumn("row_idx", F.coalesce("first_row", F.lit(0)) + F.col("at"))
     cells = rows.select("id", "caption", "row_idx", F.posexplode(F.arrays_zip("header", "row")).alias("col_idx", "c"))
     return cells.select(
         F.col("id").alias("table_id"), "caption", F.col("row_idx").cast("long"), "col_idx",
@@ -77,26 +78,25 @@ def column_map(cells: DataFrame) -> DataFrame:
     return tables.unionByName(columns)
 
 
-def to_table_record(cells: DataFrame, n: int = 30, blank_unnamed: bool = False) -> DataFrame:
-    """Each table's first ``n`` rows as one nested JSON record.
+def to_table_record(cells: DataFrame, part_rows: int = 1000, blank_unnamed: bool = False) -> DataFrame:
+    """``(table_id, part, record)``: whole tables as nested JSON records of at most ``part_rows`` rows.
 
-    A record is one value, so it holds the selected rows only: the sampler is
-    part of the operator, and the rows beyond ``n`` never reach the grouping.
+    A record carries its first row, so that ``read_table_json`` puts the parts
+    together again.  A caller that wants only some rows selects them before (``select.head_rows``).
     """
     name = F.trim("col_name")
     if blank_unnamed:
         name = F.when(F.contains(F.lower(name), F.lit("unnamed")), F.lit("")).otherwise(name)
-    picked = cells.filter(F.col("row_idx") < n).withColumn("name", name)
     ordered = F.sort_array(F.collect_list(F.struct("col_idx", "name", "value")))
-    rows = picked.groupBy("table_id", "row_idx").agg(ordered.alias("cells"))
+    rows = cells.withColumn("name", name).groupBy("table_id", "row_idx").agg(ordered.alias("cells"))
     rows = rows.select(
-        "table_id",
+        "table_id", F.floor(F.col("row_idx") / part_rows).alias("part"),
         F.struct("row_idx", F.transform("cells", lambda c: c["value"]).alias("row")).alias("item"),
         F.transform("cells", lambda c: F.struct(c["name"].alias("name"))).alias("header"))
-    tables = rows.groupBy("table_id").agg(
+    parts = rows.groupBy("table_id", "part").agg(
         F.min_by("header", F.col("item.row_idx")).alias("header"), F.sort_array(F.collect_list("item")).alias("items"))
     record = F.struct(
-        F.col("table_id").alias("id"),
+        F.col("table_id").alias("id"), F.col("items")[0]["row_idx"].alias("first_row"),
         F.struct(F.lit(None).cast("string").alias("caption"), "header",
                  F.transform("items", lambda i: i["row"]).alias("data")).alias("table"))
-    return tables.select("table_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+    return parts.select("table_id", "part", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))

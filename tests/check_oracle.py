@@ -19,7 +19,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def connect(sf: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
+    """A database of its own, small enough to live beside Spark."""
+    con = duckdb.connect(config={"memory_limit": "4GB", "threads": 4})
     for table in TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
     return con

@@ -49,6 +49,29 @@ def test_reading(spark, lake):
     assert grid(cells, "empty.csv") == ([], [])
 
 
+def test_names_and_quoted_line_breaks(spark, tmp_path):
+    for name in ("my file.csv", "x[1].csv", "50%.csv", "a+b.csv"):
+        (tmp_path / name).write_text(f'a,b\n1,{name}\n')
+    (tmp_path / "breaks.csv").write_text(
+        'i,t\n1,"x\n\ny, ""z"""\n2,5" pipe\n3,"one, line"\n4,"\nlast"\n5,end\n')
+    cells = L.read_lake(spark, str(tmp_path)).cache()
+    for name in ("my file.csv", "x[1].csv", "50%.csv", "a+b.csv"):
+        assert grid(cells, name) == ([["1", name]], ["a", "b"])
+    listed = {r.table_id for r in L.list_lake(spark, str(tmp_path)).collect()}
+    assert listed == {r.table_id for r in cells.select("table_id").distinct().collect()}
+    assert grid(cells, "breaks.csv")[0] == [["1", 'x\n\ny, "z"'], ["2", '5" pipe'], ["3", "one, line"], ["4", "\nlast"], ["5", "end"]]
+
+
+def test_quoted_line_breaks_across_splits(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("i,t\n" + "".join(f'{i},"{"x" * (i % 50)}\n{i}"\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        cells = L.read_lake(spark, str(tmp_path)).filter("col_idx = 1")
+        assert {r.row_idx: r.value for r in cells.collect()} == {i: f"{'x' * (i % 50)}\n{i}" for i in range(3000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_many_splits_keep_the_row_order(spark, tmp_path):
     (tmp_path / "long.csv").write_text("i,t\n" + "".join(f"{i},{'x' * (i % 50)}\n" for i in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
@@ -88,11 +111,12 @@ CELLS = "table_id string, row_idx long, col_idx int, col_name string, value stri
 def test_record_round_trip(spark, tmp_path):
     rows = [("t", r, c, [" h1 ", "Unnamed: 1"][c], v) for r in range(3) for c, v in enumerate([f"v{r}", None])]
     cells = spark.createDataFrame(rows, CELLS)
-    record = json.loads(T.to_table_record(cells, 2, blank_unnamed=True).first().record)
-    assert record == {"id": "t", "table": {"caption": None, "header": [{"name": "h1"}, {"name": ""}],
+    record = json.loads(T.to_table_record(cells, 2, blank_unnamed=True).orderBy("part").first().record)
+    assert record == {"id": "t", "first_row": 0, "table": {"caption": None, "header": [{"name": "h1"}, {"name": ""}],
                                            "data": [["v0", None], ["v1", None]]}}
-    T.to_table_record(cells, 5).select("record").write.text(str(tmp_path / "r"))
+    T.to_table_record(cells, 2).select("record").write.text(str(tmp_path / "r"))
     back = T.read_table_json(spark, str(tmp_path / "r"))
+    assert {(r.row_idx, r.value) for r in back.filter("col_idx = 0").collect()} == {(k, f"v{k}") for k in range(3)}
     assert back.count() == 6 and back.filter("caption IS NOT NULL").count() == 0
 
 

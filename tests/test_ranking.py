@@ -4,15 +4,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakefind.functions.ranking import rank_within, running, seeded, unit
-from lakefind.session import GROUP_ROWS
 
 
-@pytest.fixture(params=[None, "50"])
-def group_rows(spark, request):
-    if request.param:
-        spark.conf.set(GROUP_ROWS, request.param)
+@pytest.fixture(params=["1", "4", "13"])
+def slices(spark, request):
+    """The number of slices that all rows are cut into."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield request.param
-    spark.conf.unset(GROUP_ROWS)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def rows(spark):
@@ -22,7 +24,7 @@ def rows(spark):
         ((F.col("id") * 7919) % 1009).alias("x"), "id")
 
 
-def test_rank_is_dense(spark, group_rows):
+def test_rank_is_dense(spark, slices):
     got = rank_within(rows(spark), ["g"], [F.col("x"), F.col("id")]).toPandas()
     assert len(got) == 900
     for _, part in got.groupby("g"):
@@ -31,34 +33,24 @@ def test_rank_is_dense(spark, group_rows):
         assert list(zip(part["x"], part["id"])) == sorted(zip(part["x"], part["id"]))
 
 
-def test_rank_over_everything(spark, group_rows):
+def test_rank_over_everything(spark, slices):
     got = rank_within(rows(spark), [], [F.desc("x"), F.col("id")]).toPandas().sort_values("rank")
     assert list(got["rank"]) == list(range(1, 901))
     assert list(got["x"]) == sorted(got["x"], reverse=True)
 
 
-def test_running_sum(spark, group_rows):
+def test_running_sum(spark, slices):
     got = running(rows(spark), ["g"], [F.col("id")], {"s": F.col("x"), "n": F.lit(1)}).toPandas().sort_values(["g", "id"])
     assert (got.groupby("g")["x"].cumsum() == got["s"]).all()
     assert (got.groupby("g").cumcount() + 1 == got["n"]).all()
 
 
-def test_null_group_is_a_group(spark, group_rows):
+def test_null_group_is_a_group(spark, slices):
     df = spark.range(120).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("g"), "id")
     got = rank_within(df, ["g"], [F.col("id")]).toPandas()
     assert sorted(got[got["g"].isna()]["rank"]) == list(range(1, 61))
 
 
-def test_known_sizes_are_used(spark):
-    spark.conf.set(GROUP_ROWS, "50")
-    try:
-        sizes = rows(spark).groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
-        got = rank_within(rows(spark), ["g"], [F.col("id")], sizes=sizes).toPandas()
-        assert got.groupby("g")["rank"].max().to_dict() == got.groupby("g").size().to_dict()
-    finally:
-        spark.conf.unset(GROUP_ROWS)
-
-
 def test_hash_does_not_depend_on_partitions(spark):
     df = spark.range(100).withColumn("h", seeded(42, "id")).withColumn("u", unit(F.col("h")))
     once, again = ({r.id: (r.h, r.u) for r in df.repartition(n).collect()} for n in (1, 8))

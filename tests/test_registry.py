@@ -15,9 +15,11 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="no test tables")
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def con():
-    return connect(SF)
+    """One database per test: a fatal error in one leaves the others alone."""
+    with connect(SF) as database:
+        yield database
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakefind.operators import select as S
-from lakefind.session import GROUP_ROWS
 
 CELLS = "table_id string, row_idx long, col_idx int, col_name string, value string"
 WIDE = {
@@ -21,12 +20,12 @@ WIDE = {
 
 
 @pytest.fixture(params=[None, "8"], autouse=True)
-def group_rows(spark, request):
+def any_layout(spark, request):
     """Everything once with plain windows and once with hot groups split."""
     if request.param:
-        spark.conf.set(GROUP_ROWS, request.param)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
-    spark.conf.unset(GROUP_ROWS)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 @pytest.fixture
