@@ -49,6 +49,8 @@ PERCENT = 80
 MAX_MATCHES = 8
 VERIFY_COST = 16  # what one candidate costs, in list entries met
 MIN_BITS, MAX_BITS, PART_BITS = 12, 24, 14
+CHANCE = 0.05  # entries that the list of a rare shingle is expected to hold besides copies
+LONG_LIST = 64  # a list that may hold more entries than this is met by the one-match rule first
 BROADCAST_ROWS = 500_000  # of 16 bytes; more are joined by a shuffle
 MEMBERS = 256  # pairs of one leader that one group verifies
 
@@ -133,20 +135,25 @@ def matches(levels: np.ndarray, n: int, usual: float) -> int:
     """
     need = -(-PERCENT * n // 100)
     most = max(1, min(MAX_MATCHES, need))
-    lists = np.maximum(np.exp2(levels[:n - need + most] / 2.0) - 2 * usual - 2, 0)
+    lists = np.maximum(np.exp2(levels[:n - need + most] / 2.0) - 2 * usual - 2, CHANCE)
     lists = np.cumsum(lists)[n - need:]  # entries met with 1, 2, ... matches
     return 1 + int(np.argmin(lists * (1 + VERIFY_COST / np.arange(1, len(lists) + 1))))
 
 
 def postings(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
-    """(tok, cls, n, need, pos, typ): the prefix of every class, once per task that meets the class."""
+    """(tok, cls, n, need, pos, typ, long, mixed): the prefix of every class, once per task that meets the class.
+
+    ``long`` tells whether the list of the shingle may be long: a sketch never counts too little, so other lists are
+    short for certain.  ``mixed`` tells whether the class has a long list.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     usual = float(np.mean(np.exp2(levels / 2.0) - 1))
+    long_level = int(2 * np.log2(1.0 + LONG_LIST))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, level = WordHash(), set(), shared.value
         for b in batches:
-            toks, rows = [], []
+            toks, rows, longs = [], [], []
             for s in token_sets(b, known) if b.num_rows else []:
                 cls, n = class_id(s), len(s)
                 if not n or cls in seen:
@@ -160,7 +167,8 @@ def postings(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
                 m = matches(ordered, n, usual)
                 size = n - -(-PERCENT * n // 100) + m
                 toks.append(s[order[:size]].view(np.int64))
-                rows.append((cls, n, m, int(ordered.mean() * 16), size))
+                longs.append(ordered[:size] >= long_level)
+                rows.append((cls, n, m, int(ordered.mean() * 16), size, bool(longs[-1].any())))
             if toks:
                 sizes = [r[4] for r in rows]
                 of = [np.repeat(np.array([r[k] for r in rows], np.int64), sizes) for k in range(4)]
@@ -168,9 +176,12 @@ def postings(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(toks)), pa.array(of[0]), pa.array(of[1].astype(np.int32)),
                     pa.array(of[2].astype(np.int32)), pa.array(pos.astype(np.int32)),
-                    pa.array(of[3].astype(np.int32))], ["tok", "cls", "n", "need", "pos", "typ"])
+                    pa.array(of[3].astype(np.int32)), pa.array(np.concatenate(longs)),
+                    pa.array(np.repeat(np.array([r[5] for r in rows]), sizes))],
+                    ["tok", "cls", "n", "need", "pos", "typ", "long", "mixed"])
 
-    return docs.select("text").mapInArrow(run, "tok bigint, cls bigint, n int, need int, pos int, typ int")
+    return docs.select("text").mapInArrow(run, "tok bigint, cls bigint, n int, need int, pos int, typ int, "
+                                              "long boolean, mixed boolean")
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
@@ -180,7 +191,7 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     rows = rows.repartition("tok").withColumn("copy", F.row_number().over(each)).where("copy = 1")
     rows = rows.withColumn("lead", lead).withColumn("low", F.min("cls").over(whole)).withColumn(
         "high", F.max("cls").over(whole)).where("low <> high")
-    return materialize(rows.select("tok", "cls", "n", "need", "pos", "lead"))
+    return materialize(rows.select("tok", "cls", "n", "need", "pos", "long", "mixed", "lead"))
 
 
 def meets(n: Column, pos: Column, other_n: Column, other_pos: Column, need: Column) -> Column:
@@ -215,18 +226,24 @@ def remaining_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> D
     name = bounded(labels.select(F.col("node").alias("cls"), "label"))
     led = bounded(labels.select(F.col("node").alias("top"), F.col("label").alias("top_label")))
     rows = lists.withColumn("top", F.col("lead.cls")).drop("lead").join(name, "cls", "left").join(led, "top", "left")
-    rows = rows.select("tok", "cls", "n", "need", "pos", F.coalesce("label", "cls").alias("label"),
+    rows = rows.select("tok", "cls", "n", "need", "pos", "long", "mixed", F.coalesce("label", "cls").alias("label"),
                        F.coalesce("top_label", "top").alias("top_label"))
     rows = materialize(rows.withColumn("outside", F.col("label") != F.col("top_label")).drop("top_label"))
     x = rows.where("outside").alias("x")
     y = rows.alias("y")
     # of l shared prefix shingles the first lies l - 1 places before the prefix ends: the rule for one match
+    least = F.least("x.need", "y.need")
+    rule = F.when(F.col("x.long"), F.lit(1)).otherwise(least)
     met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.label") != F.col("y.label"))
                  & (~F.col("y.outside") | (F.col("x.cls") < F.col("y.cls")))
-                 & meets(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), F.lit(1)))
-    pairs = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return enough_matches(materialize(pairs.join(known, ["a", "b"], "left_anti")), lists)
+                 & meets(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), rule))
+    pairs = met.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).agg(
+        F.count("*").alias("hits"), F.min(least).alias("need"),
+        F.bool_or(F.col("x.mixed") & F.col("y.mixed")).alias("unsure"))  # may share more in long lists
+    known = bounded(tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.where("unsure or hits >= need").join(known, ["a", "b"], "left_anti"))
+    sure = pairs.where("not unsure").select("a", "b")
+    return sure.unionByName(enough_matches(pairs.where("unsure").select("a", "b"), lists))
 
 
 def enough_matches(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -271,13 +288,13 @@ def verified(docs: DataFrame, pairs: DataFrame, first_doc: DataFrame) -> DataFra
     """
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     sets = class_sets(docs, materialize(ends.join(first_doc, "cls").select("doc", "cls")))
-    groups = pairs.groupBy("a").agg(F.count("*").alias("members")).select(
-        "a", F.floor(F.col("members") / MEMBERS).cast("int").alias("last"))
+    groups = bounded(materialize(pairs.groupBy("a").agg(F.count("*").alias("members")).select(
+        "a", F.floor(F.col("members") / MEMBERS).cast("int").alias("last"))))
     leaders = groups.join(sets.withColumnRenamed("cls", "a"), "a").select(
         "a", F.explode(F.sequence(F.lit(0), "last")).alias("deal"), F.lit(None).cast("bigint").alias("b"), "tokens")
-    members = pairs.join(groups, "a").select(
-        "a", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int").alias("deal"), "b").join(
-        sets.withColumnRenamed("cls", "b"), "b").select("a", "deal", "b", "tokens")
+    dealt = bounded(materialize(pairs.join(groups, "a").select(
+        "a", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int").alias("deal"), "b")))
+    members = sets.withColumnRenamed("cls", "b").join(dealt, "b").select("a", "deal", "b", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, np.zeros(0, np.uint64)

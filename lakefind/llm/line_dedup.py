@@ -67,13 +67,15 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("at"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
     ends = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
-    runs = gone.select("doc", "body", "n_lines", F.size("at").alias("n_dropped"), starts.alias("s"), ends.alias("e"))
+    # arrays that the functions below look into are columns of their own, not computed anew per element
+    runs = gone.select("doc", "body", "n_lines", F.size("at").alias("n_dropped"),
+                       F.arrays_zip(starts.alias("s"), ends.alias("e")).alias("gaps"))
 
     def run(k: Column) -> Column:
-        begin = F.coalesce(F.get("e", k - 1) + 1, F.lit(0))
-        return F.struct(begin.alias("start"), (F.coalesce(F.get("s", k), F.col("n_lines")) - begin).alias("length"))
+        begin = F.coalesce(F.get("gaps", k - 1)["e"] + 1, F.lit(0))
+        return F.struct(begin.alias("start"), (F.coalesce(F.get("gaps", k)["s"], F.col("n_lines")) - begin).alias("length"))
 
-    keep = F.filter(F.transform(F.sequence(F.lit(0), F.size("s")), run), lambda r: r["length"] > 0)
+    keep = F.filter(F.transform(F.sequence(F.lit(0), F.size("gaps")), run), lambda r: r["length"] > 0)
     return runs.select("doc", "body", "n_lines", "n_dropped", keep.alias("keep"))
 
 
@@ -83,11 +85,11 @@ def with_kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     maps = bitmaps.select("doc", "body", "n_dropped", "keep").alias("b")
     both = rows.join(
         maps, F.col("d.doc").eqNullSafe(F.col("b.doc")) & (F.col("d.body") == F.col("b.body")), "left")
-    lines = split_lines(F.col("row.text"))
-    kept = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
+    both = both.select("row", "n_dropped", "keep", split_lines(F.col("row.text")).alias("lines"))
+    kept = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice("lines", r["start"] + 1, r["length"]))), "\n")
     text = F.coalesce(F.col("row.text"), F.lit(""))
     return both.select(
-        "row", F.size(lines).cast("long").alias("n_lines"),
+        "row", F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("keep").isNull(), text).otherwise(kept).alias("kept"))
 

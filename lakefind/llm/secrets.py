@@ -44,46 +44,62 @@ MAX_DOCS, MAX_WORDS, MAX_RANDOM = 4000, 300, 3000
 BLOCK = 128
 
 
-def starts(lengths: Column) -> Column:
-    """The sum of all earlier lengths, for each entry of an array."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x)
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")),
-                         lambda k: total(F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK))))
-
-    def at(_: Column, i: Column) -> Column:
-        k = F.floor(i / BLOCK).cast("int")
-        return total(F.slice(blocks, F.lit(1), k)) + total(F.slice(lengths, k * BLOCK + 1, i - k * BLOCK))
-
-    return F.transform(lengths, at)
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found) of all leftmost non-overlapping matches in a text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.length(F.get(between, i)) + F.length(m))
-    begin = F.zip_with(starts(steps), found, lambda s, m: F.struct(s.alias("s"), m.alias("m")))
-    spans = F.transform(begin, lambda x, i: F.struct(
-        (x["s"] + F.length(F.get(between, i))).alias("start"),
-        (x["s"] + F.length(F.get(between, i)) + F.length(x["m"])).alias("end"), x["m"].alias("found")))
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
-
-
-def base_spans(text: Column) -> dict[str, Column]:
-    """The spans of the base kinds.
-
-    Runs below the least length of ``access`` and ``hex`` match nothing inside them
-    either, so the length is part of their patterns; a short assignment still uses up
-    its text and is dropped afterwards.
+def total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda s, x: s + x)
+
+
+def block_sums(lengths: str) -> Column:
+    """The sum of each block of an array of numbers."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")),
+                       lambda k: total(F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK))))
+
+
+def sum_before(lengths: str, blocks: str, i: Column) -> Column:
+    """The sum of the entries before the ``i``-th, from whole blocks and the rest of one."""
+    k = F.floor(i / BLOCK).cast("int")
+    return total(F.slice(blocks, F.lit(1), k)) + total(F.slice(lengths, k * BLOCK + 1, i - k * BLOCK))
+
+
+def with_matches(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """``df`` with an array of (start, end, found) per pattern: all leftmost non-overlapping matches in ``text``.
+
+    Each array that a function looks into is a column of an earlier step, so it is
+    computed once per row and not once per element.
     """
-    value = lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2))
-    return {
-        "assign": F.filter(matches(text, ASSIGN), lambda m: value(m) >= MIN_VALUE),
-        "access": matches(text, ACCESS.replace("+", f"{{{MIN_ACCESS - 4},}}")),
-        "hex": matches(text, HEX.replace("+", f"{{{MIN_HEX},}}")),
-    }
+    text, kept = F.col("text"), df.columns
+    none = F.array().cast("array<string>")
+    found = {f"_found_{k}": F.when(text.rlike(p), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none)
+             for k, p in patterns.items()}
+    df = df.select(*kept, *[c.alias(n) for n, c in found.items()])
+    between = {f"_between_{k}": F.when(F.size(f"_found_{k}") > 0, F.split(text, p, -1)).otherwise(none)
+               for k, p in patterns.items()}
+    df = df.select(*kept, *found, *[c.alias(n) for n, c in between.items()])
+
+    def step(k: str) -> Column:
+        return F.transform(f"_found_{k}", lambda m, i: F.length(F.get(f"_between_{k}", i)) + F.length(m))
+
+    steps = {f"_step_{k}": step(k) for k in patterns}
+    df = df.select(*kept, *found, *between, *[c.alias(n) for n, c in steps.items()])
+    sums = {f"_sum_{k}": block_sums(f"_step_{k}") for k in patterns}
+    df = df.select(*kept, *found, *between, *steps, *[c.alias(n) for n, c in sums.items()],
+                   *[F.size(n).alias(f"_n{n}") for n in steps])
+
+    def span(k: str) -> Column:
+        def at(m: Column, i: Column) -> Column:
+            start = sum_before(f"_step_{k}", f"_sum_{k}", i) + F.length(F.get(f"_between_{k}", i))
+            return F.struct(start.alias("start"), m.alias("found"))
+
+        placed = F.transform(f"_found_{k}", at)
+        return F.transform(placed, lambda x: F.struct(
+            x["start"].alias("start"), (x["start"] + F.length(x["found"])).alias("end"), x["found"].alias("found")))
+
+    return df.select(*kept, *[span(k).alias(k) for k in patterns])
+
+
+#: Runs below the least length of access keys and hex runs match nothing inside them either, so the
+#: length is part of these patterns; a short assignment still uses up its text and is dropped afterwards.
+BASE = {"assign": ASSIGN, "access": ACCESS.replace("+", f"{{{MIN_ACCESS - 4},}}"),
+        "hex": HEX.replace("+", f"{{{MIN_HEX},}}")}
 
 
 def sample_strings(docs: DataFrame) -> DataFrame:
@@ -99,9 +115,9 @@ def sample_strings(docs: DataFrame) -> DataFrame:
     share = min(1.0, 0.9 * MAX_DOCS / max(1, docs.count()))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(share * scale)).limit(MAX_DOCS)
     text = F.coalesce("text", F.lit(""))
-    spans = base_spans(text)
-    known = drawn.select(F.explode(F.concat(spans["access"], spans["hex"])).alias("m")).select(
-        F.lit(1).alias("label"), F.col("m.found").alias("s"))
+    known = drawn.select(F.explode(F.concat(*[
+        F.regexp_extract_all(text, F.lit(BASE[k]), F.lit(0)) for k in ("access", "hex")])).alias("s")).select(
+        F.lit(1).alias("label"), "s")
     words = F.slice(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,12}"), F.lit(0)), 1, MAX_WORDS)
     lines = drawn.select(words.alias("w")).where(F.size("w") > 1)
 
@@ -118,17 +134,18 @@ def sample_strings(docs: DataFrame) -> DataFrame:
 
 
 def pairs_of(s: Column) -> Column:
-    """The numbers of the character pairs of a string: row times alphabet size plus column, from 0; others are left out."""
+    """The numbers of the character pairs of a string: row times alphabet size plus column; -1 for other pairs."""
     n = len(ALPHABET)
-    place = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return F.transform(F.slice(place, 2, F.greatest(F.size(place) - 1, F.lit(0))),
-                       lambda b, i: F.when((b > 0) & (F.get(place, i) > 0), (F.get(place, i) - 1) * n + b - 1))
+    place = F.transform(F.split(s, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c)))
+    count = F.greatest(F.length(s) - 1, F.lit(0))
+    return F.zip_with(F.slice(place, F.lit(1), count), F.slice(place, F.lit(2), count),
+                      lambda a, b: F.when((a > 0) & (b > 0), (a - 1) * n + b - 1).otherwise(-1))
 
 
 def ratio_table(samples: DataFrame) -> list[float]:
     """The log-likelihood ratio of every character pair, random against identifier, with add-one smoothing."""
     n = len(ALPHABET)
-    counted = samples.select("label", F.explode(pairs_of(F.col("s"))).alias("pair")).where("pair is not null").groupBy(
+    counted = samples.select("label", F.explode(pairs_of(F.col("s"))).alias("pair")).where("pair >= 0").groupBy(
         "pair").agg(F.sum("label").alias("r"), F.sum(1 - F.col("label")).alias("o")).collect()  # n * n rows at most
     counts = {r["pair"]: (r["r"], r["o"]) for r in counted}
     sums = [[sum(counts.get(a * n + b, (0, 0))[k] for b in range(n)) for k in (0, 1)] for a in range(n)]
@@ -140,21 +157,27 @@ def ratio_table(samples: DataFrame) -> list[float]:
     return out
 
 
-def markov_spans(text: Column, ratios: list[float]) -> Column:
-    """Runs of key characters that look random to the models."""
+def looks_random(ratios: list[float]):
+    """A test of a match for the two models."""
     table_ = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")  # folded to a constant
-    likely = lambda m: F.aggregate(
-        pairs_of(m["found"]), F.lit(0.0), lambda s, p: s + F.coalesce(F.get(table_, p.cast("int")), F.lit(0.0)))
-    return F.filter(matches(text, RUN), lambda m: m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]")
-                    & (likely(m) >= MIN_RATIO * (m["end"] - m["start"] - 1)))
+
+    def test(m: Column) -> Column:
+        score = F.aggregate(pairs_of(m["found"]), F.lit(0.0),
+                            lambda s, p: s + F.when(p >= 0, F.get(table_, p)).otherwise(F.lit(0.0)))
+        return (m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]")
+                & (score >= MIN_RATIO * (m["end"] - m["start"] - 1)))
+
+    return test
 
 
 def find_secrets(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     """(doc_id, assign, access, hex, markov): arrays of (start, end, found) of every whole text."""
     ratios = ratios or ratio_table(sample_strings(docs))
-    text = F.coalesce("text", F.lit(""))
-    found = base_spans(text) | {"markov": markov_spans(text, ratios)}
-    return docs.select("doc_id", *[found[k].alias(k) for k in KINDS])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_matches(rows, BASE | {"markov": RUN})
+    value = lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2))
+    return rows.select("doc_id", F.filter("assign", lambda m: value(m) >= MIN_VALUE).alias("assign"), "access", "hex",
+                       F.filter("markov", looks_random(ratios)).alias("markov"))
 
 
 def joined(kinds: tuple[str, ...]) -> Column:
