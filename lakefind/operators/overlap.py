@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakefind.session import materialize
+
+SALTS = 16  # slices of a column's values
 PAIR = ["query_table", "query_col", "cand_table", "cand_col"]
 
 # Fixed values: (quality, containment at least, cardinality ratio at least), best first.
@@ -32,16 +35,21 @@ def quality(containment: Column, size_1: Column, size_2: Column) -> Column:
 def join_profile(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sizes, shared distinct values, containment and quality of the listed column pairs.
 
-    The values of each query column are carried to its partners and looked up
-    there by ``(column, value)``: the key is as fine as the values, so neither
-    a huge column nor a frequent value ends up in one task, and no pair that
-    was not asked for is formed.
+    Only columns of the pairs are looked at.  The values of a query column are dealt over
+    ``SALTS`` slices by hash, each of which meets a copy of the (short) pair list, so a huge column is not one
+    key; then they are looked up at the partners by ``(column, value)``, a key as fine as the
+    values.  No pair that was not asked for is formed.
     """
-    pairs = pairs.select(*PAIR).distinct()
+    pairs = materialize(pairs.select(*PAIR).distinct())
+    used = pairs.select(F.col("query_table").alias("table_id"), F.col("query_col").alias("col_idx")).union(
+        pairs.select("cand_table", "cand_col")).distinct()
+    sets = materialize(sets.join(used, ["table_id", "col_idx"], "left_semi"))
     sizes = set_sizes(sets)
-    asked = pairs.join(
-        sets.select(F.col("table_id").alias("query_table"), F.col("col_idx").alias("query_col"), "value"),
-        ["query_table", "query_col"])
+    slices = pairs.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = slices.join(
+        sets.select(F.col("table_id").alias("query_table"), F.col("col_idx").alias("query_col"), "value",
+                    F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int").alias("_slice")),
+        ["query_table", "query_col", "_slice"]).drop("_slice")
     present = sets.select(F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"), "value")
     shared = asked.join(present, ["cand_table", "cand_col", "value"]).groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("join_size"))

@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 from lakefind.functions.ranking import rank_within, seeded
 from lakefind.functions.text import TOKEN, first_words, squeeze, words
 from lakefind.operators.profile import column_types
+from lakefind.session import materialize
 
 CELL = ["table_id", "row_idx", "col_idx", "col_name", "value"]
 
 
-def _lengths(cells: DataFrame, *more: str) -> DataFrame:
-    """Rows per table (and column): ``row_idx`` is dense, so one maximum per group tells."""
-    return cells.groupBy("table_id", *more).agg((F.max("row_idx") + 1).alias("_n"))
-
-
 def _renumber(cells: DataFrame, rows: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
     """Move whole rows to their position in ``order``; rows not listed are dropped."""
-    ranked = rank_within(rows, ["table_id"], order, "_rank", limit, _lengths(cells))
+    ranked = rank_within(rows, ["table_id"], order, "_rank", limit)
     return (
         cells.join(ranked.select("table_id", "row_idx", "_rank"), ["table_id", "row_idx"])
         .withColumn("row_idx", F.col("_rank") - 1)
@@ -66,6 +62,7 @@ def row_tfidf(cells: DataFrame, dropna: bool = False) -> DataFrame:
         cells.select("table_id", "row_idx", F.explode(words(text, TOKEN)).alias("token"))
         .groupBy("table_id", "row_idx", "token").agg(F.count(F.lit(1)).alias("tf"))
     )
+    counts = materialize(counts)  # read for the frequencies and for the scores
     weights = (
         counts.groupBy("table_id", "token").agg(F.count(F.lit(1)).alias("df"))
         .join(n_rows, "table_id")
@@ -92,8 +89,7 @@ def sort_columns_by_value(cells: DataFrame, limit: int | None = None) -> DataFra
         "table_id", "col_idx", F.col("dtype").isin("int", "float").alias("_numeric"))
     number = F.when(F.col("_numeric"), F.expr("try_cast(value AS double)"))
     order = [F.col("value").isNull(), number, F.col("value"), F.col("row_idx")]
-    ranked = rank_within(cells.join(numeric, ["table_id", "col_idx"]), ["table_id", "col_idx"], order, "_rank", limit,
-                         _lengths(cells, "col_idx"))
+    ranked = rank_within(cells.join(numeric, ["table_id", "col_idx"]), ["table_id", "col_idx"], order, "_rank", limit)
     return ranked.withColumn("row_idx", F.col("_rank") - 1).select(*CELL)
 
 
@@ -105,7 +101,8 @@ def cell_idf(cells: DataFrame) -> DataFrame:
     at white space, and a word that is no fitted token counts 0.
     """
     known = cells.filter(F.col("value").isNotNull()).withColumn("key", F.md5("value"))
-    values = known.groupBy("table_id", "key").agg(F.count(F.lit(1)).alias("n"), F.any_value("value").alias("value"))
+    values = materialize(  # read for the totals, the frequencies and the words
+        known.groupBy("table_id", "key").agg(F.count(F.lit(1)).alias("n"), F.any_value("value").alias("value")))
     n_cells = values.groupBy("table_id").agg(F.sum("n").alias("total"))
     idf = (
         values.select("table_id", "n", F.explode(F.array_distinct(words(F.col("value"), TOKEN))).alias("word"))
@@ -134,8 +131,7 @@ def sort_columns_by_idf(cells: DataFrame, limit: int | None = None) -> DataFrame
         cells.select(*place, F.md5("value").alias("key")).join(cell_idf(cells), ["table_id", "key"], "left")
         .select(*place, F.coalesce("score", F.lit(-1.0)).alias("score"))
     )
-    ranked = rank_within(scored, ["table_id", "col_idx"], [F.desc("score"), F.col("row_idx")], "_rank", limit,
-                         _lengths(cells, "col_idx"))
+    ranked = rank_within(scored, ["table_id", "col_idx"], [F.desc("score"), F.col("row_idx")], "_rank", limit)
     return (
         cells.join(ranked.select(*place, "_rank"), place)
         .withColumn("row_idx", F.col("_rank") - 1).select(*CELL)
@@ -147,7 +143,7 @@ def distinct_columns(cells: DataFrame, limit: int | None = None) -> DataFrame:
     value), padded with missing cells to the longest column of the table."""
     firsts = cells.groupBy("table_id", "col_idx", "col_name", "value").agg(F.min("row_idx").alias("_first"))
     ranked = (
-        rank_within(firsts, ["table_id", "col_idx"], [F.col("_first")], "_rank", limit, _lengths(cells, "col_idx"))
+        rank_within(firsts, ["table_id", "col_idx"], [F.col("_first")], "_rank", limit)
         .withColumn("row_idx", F.col("_rank") - 1).select(*CELL)
     )
     lengths = firsts.groupBy("table_id", "col_idx", "col_name").agg(F.count(F.lit(1)).alias("n"))

@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lakefind.functions.ranking import rank_within
 from lakefind.operators.overlap import PAIR, containment, set_sizes
+from lakefind.session import materialize
 
 PRIME = (1 << 61) - 1
 LOW = (1 << 31) - 1
@@ -157,6 +158,25 @@ def _bands(threshold: float, num_perm: int):
     return choose
 
 
+def candidate_pairs(sigs: DataFrame, rows: int = 2) -> DataFrame:
+    """``PAIR`` rows: columns of different tables whose signatures agree in all positions of some band.
+
+    A banded equi-join on (band, key).  Columns with equal signatures meet as one class, so
+    copies of a column do not multiply in the join; only the result lists their pairs.
+    """
+    member = F.struct("table_id", "col_idx")
+    classes = materialize(sigs.groupBy("sig").agg(F.min(member).alias("rep")))
+    bands = F.transform(F.sequence(F.lit(0), F.floor(F.size("sig") / rows).cast("int") - 1),
+                        lambda i: F.xxhash64(F.slice("sig", i * rows + 1, F.lit(rows))))
+    keyed = classes.select("rep", F.posexplode(bands).alias("band", "key"))
+    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")))
+    met = met.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).distinct()
+    of = sigs.join(classes, "sig").select("rep", "table_id", "col_idx")
+    q = of.select(F.col("rep").alias("x"), F.col("table_id").alias("query_table"), F.col("col_idx").alias("query_col"))
+    c = of.select(F.col("rep").alias("y"), F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"))
+    return met.join(q, "x").join(c, "y").filter(F.col("query_table") != F.col("cand_table")).select(*PAIR)
+
+
 def containment_filter(sigs: DataFrame, sizes: DataFrame, candidates: DataFrame, threshold: float = 0.8,
                        num_part: int = 32, num_perm: int = 128) -> DataFrame:
     """Keep the candidates of each query that probably contain ``threshold`` of it.

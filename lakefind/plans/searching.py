@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakefind.functions.vectors import cosine, l2_normalize
 from lakefind.operators import knn as K
 from lakefind.operators import overlap as O
+from lakefind.operators import sketch as S
 from lakefind.operators import union_search as U
 from lakefind.operators import vectors as V
 from lakefind.plans.registry import query
@@ -291,27 +292,26 @@ def _(spark, sf):
 
 # --- exact overlap ---------------------------------------------------------------------------
 
-KEY_PAIRS = [
-    ("nation", 2, "region", 0), ("supplier", 2, "nation", 0), ("customer", 2, "nation", 0), ("orders", 1, "customer", 0),
-    ("part", 0, "orders", 1), ("part", 4, "nation", 0), ("supplier", 0, "orders", 0), ("customer", 0, "part", 0),
-    ("customer", 2, "supplier", 2), ("part", 1, "part", 3), ("orders", 0, "customer", 0), ("part", 4, "customer", 2),
-    ("nation", 1, "region", 1), ("supplier", 3, "customer", 3), ("orders", 5, "orders", 2), ("part", 5, "orders", 3),
-]
-PAIR_SCHEMA = "query_table string, query_col int, cand_table string, cand_col int"
-PAIRS = ("pairs", "SELECT * FROM (VALUES " + ", ".join(str(p) for p in KEY_PAIRS) +
-         ") AS p(query_table, query_col, cand_table, cand_col)")
-
-
-def key_pairs(spark):
-    """Column pairs of the schema: true foreign keys, accidental overlaps and disjoint columns."""
-    return spark.createDataFrame(KEY_PAIRS, PAIR_SCHEMA)
-
-
 VALUES = ("vals", "SELECT DISTINCT table_id, col_idx, value FROM cells WHERE value IS NOT NULL")
-OVERLAP = [
+NUM_PERM = 128
+MINHASH = [
     VALUES,
+    ("perms", "SELECT i, ('0x' || substr(md5('a' || i), 1, 7))::BIGINT + 1 AS a, ('0x' || substr(md5('b' || i), 1, 15))::BIGINT "
+              f"AS b FROM (SELECT unnest(range(0, {NUM_PERM})) AS i)"),
+    ("hashed", "SELECT table_id, col_idx, ('0x' || substr(md5(value), 1, 15))::BIGINT AS h FROM vals"),
+    ("sigs!", "SELECT table_id, col_idx, i, min(CAST((a::HUGEINT * h + b) % 2305843009213693951 AS BIGINT)) AS low FROM hashed, "
+             "perms GROUP BY 1, 2, 3"),
+]
+# Column pairs of different tables that agree in both positions of some band of two.
+PAIRS = [
+    ("sketch_bands", "SELECT table_id, col_idx, i // 2 AS band, string_agg(low, ',' ORDER BY i) AS key FROM sigs GROUP BY 1, 2, 3"),
+    ("pairs!", "SELECT DISTINCT q.table_id AS query_table, q.col_idx AS query_col, c.table_id AS cand_table, c.col_idx AS cand_col "
+               "FROM sketch_bands q JOIN sketch_bands c ON q.band = c.band AND q.key = c.key WHERE q.table_id <> c.table_id"),
+]
+OVERLAP = [
+    *MINHASH,
     ("sizes", "SELECT table_id, col_idx, count(*) AS n FROM vals GROUP BY 1, 2"),
-    PAIRS,
+    *PAIRS,
     ("shared", "SELECT query_table, query_col, cand_table, cand_col, count(*) AS join_size FROM pairs p JOIN vals a ON "
                "a.table_id = query_table AND a.col_idx = query_col JOIN vals b ON b.table_id = cand_table AND "
                "b.col_idx = cand_col AND a.value = b.value GROUP BY 1, 2, 3, 4"),
@@ -323,6 +323,15 @@ OVERLAP = [
 OVERLAP_IDS = "query_table, CAST(query_col AS BIGINT) AS query_col, cand_table, CAST(cand_col AS BIGINT) AS cand_col"
 
 
+def sigs(spark, sf):
+    return S.minhash(O.value_sets(cells(spark, sf)), NUM_PERM)
+
+
+def found_pairs(spark, sf):
+    """Column pairs that the sketch index finds in the whole lake."""
+    return S.candidate_pairs(sigs(spark, sf))
+
+
 def _ids(df, *more):
     return df.select("query_table", F.col("query_col").cast("long"), "cand_table", F.col("cand_col").cast("long"), *more)
 
@@ -338,7 +347,7 @@ SELECT {OVERLAP_IDS}, size_1, size_2, join_size, round(c, 6) AS containment, CAS
   WHEN c >= 0.75 AND k >= 0.25 THEN 4 WHEN c >= 0.5 AND k >= 0.125 THEN 3 WHEN c >= 0.25 AND k >= 1/12 THEN 2
   WHEN c >= 0.1 THEN 1 ELSE 0 END AS BIGINT) AS quality FROM measured"""))
 def _(spark, sf):
-    profile = O.join_profile(O.value_sets(cells(spark, sf)), key_pairs(spark))
+    profile = O.join_profile(O.value_sets(cells(spark, sf)), found_pairs(spark, sf))
     return _ids(profile, "size_1", "size_2", "join_size", F.round("containment", 6).alias("containment"),
                 F.col("quality").cast("long"))
 
@@ -346,5 +355,5 @@ def _(spark, sf):
 @query("exact_containment", with_views(["cells"], *OVERLAP, select=f"""
 SELECT {OVERLAP_IDS}, round(c, 6) AS containment FROM measured"""))
 def _(spark, sf):
-    contained = O.containment(O.value_sets(cells(spark, sf)), key_pairs(spark))
+    contained = O.containment(O.value_sets(cells(spark, sf)), found_pairs(spark, sf))
     return _ids(contained, F.round("containment", 6).alias("containment"))

@@ -8,35 +8,24 @@ from lakefind.functions.ranking import rank_within
 from lakefind.operators import overlap as O
 from lakefind.operators import sketch as S
 from lakefind.plans.registry import query
-from lakefind.plans.searching import OVERLAP, OVERLAP_IDS, PAIRS, VALUES, _ids, key_pairs
+from lakefind.plans.searching import MINHASH, NUM_PERM, OVERLAP, OVERLAP_IDS, PAIRS, _ids, found_pairs, sigs
 from lakefind.plans.views import cells, with_views
+from lakefind.session import materialize
 
-NUM_PERM = 128
-MINHASH = [
-    VALUES,
-    ("perms", "SELECT i, ('0x' || substr(md5('a' || i), 1, 7))::BIGINT + 1 AS a, ('0x' || substr(md5('b' || i), 1, 15))::BIGINT "
-              f"AS b FROM (SELECT unnest(range(0, {NUM_PERM})) AS i)"),
-    ("hashed", "SELECT table_id, col_idx, ('0x' || substr(md5(value), 1, 15))::BIGINT AS h FROM vals"),
-    ("sigs", "SELECT table_id, col_idx, i, min(CAST((a::HUGEINT * h + b) % 2305843009213693951 AS BIGINT)) AS low FROM hashed, "
-             "perms GROUP BY 1, 2, 3"),
-]
 ESTIMATE = [
-    *MINHASH, PAIRS,
+    *MINHASH, *PAIRS,
     ("est", f"""SELECT query_table, query_col, cand_table, cand_col, avg(CASE WHEN q.low = c.low THEN 1.0 ELSE 0.0 END) AS jaccard,
   {NUM_PERM} / sum(least(q.low, c.low) / 2305843009213693951.0::DOUBLE) - 1 AS union_size,
   {NUM_PERM} / sum(q.low / 2305843009213693951.0::DOUBLE) - 1 AS query_size
 FROM pairs JOIN sigs q ON q.table_id = query_table AND q.col_idx = query_col JOIN sigs c ON c.table_id = cand_table AND
   c.col_idx = cand_col AND c.i = q.i GROUP BY 1, 2, 3, 4"""),
+    # results add 1e-9 before they are rounded: estimates are often exact decimal ties
     ("contained", "SELECT *, jaccard * union_size / query_size AS containment FROM est"),
 ]
 
 
-def sigs(spark, sf):
-    return S.minhash(O.value_sets(cells(spark, sf)), NUM_PERM)
-
-
 def estimates(spark, sf):
-    return S.estimate(sigs(spark, sf), key_pairs(spark))
+    return S.estimate(sigs(spark, sf), found_pairs(spark, sf))
 
 
 @query("minhash_signatures", with_views(["cells"], *MINHASH, select=(
@@ -59,14 +48,14 @@ def _(spark, sf):
 
 
 @query("containment_estimates", with_views(["cells"], *ESTIMATE, select=(
-    f"SELECT {OVERLAP_IDS}, round(containment, 6) AS containment FROM contained")))
+    f"SELECT {OVERLAP_IDS}, round(containment + 1e-9, 6) AS containment FROM contained")))
 def _(spark, sf):
-    return _ids(estimates(spark, sf), F.round("containment", 6).alias("containment"))
+    return _ids(estimates(spark, sf), F.round(F.col("containment") + 1e-9, 6).alias("containment"))
 
 
 # Bands and rows are tuned per size ratio on the same grid that the operator integrates over.
 FILTER = [
-    *MINHASH, *[cte for cte in OVERLAP if cte[0] != VALUES[0]],
+    *OVERLAP,
     ("sized", "SELECT *, floor((row_number() OVER w - 1) * 32 / count(*) OVER (PARTITION BY query_table, query_col)) AS part "
               "FROM measured WINDOW w AS (PARTITION BY query_table, query_col ORDER BY size_2, cand_table, cand_col)"),
     ("tops", "SELECT query_table, query_col, part, max(size_2) / any_value(size_1) AS ratio FROM sized GROUP BY 1, 2, 3"),
@@ -91,7 +80,7 @@ FILTER = [
 @query("containment_filter", with_views(["cells"], *FILTER, select=f"SELECT {OVERLAP_IDS} FROM kept"))
 def _(spark, sf):
     sets = O.value_sets(cells(spark, sf))
-    kept = S.containment_filter(S.minhash(sets, NUM_PERM), O.set_sizes(sets), key_pairs(spark), threshold=0.5, num_perm=NUM_PERM)
+    kept = S.containment_filter(S.minhash(sets, NUM_PERM), O.set_sizes(sets), found_pairs(spark, sf), threshold=0.5, num_perm=NUM_PERM)
     return _ids(kept)
 
 
@@ -99,17 +88,35 @@ def _(spark, sf):
     f"SELECT {OVERLAP_IDS}, round(c, 6) AS containment FROM kept JOIN measured USING (query_table, query_col, cand_table, "
     "cand_col) WHERE c >= 0.5")))
 def _(spark, sf):
-    kept = S.verified_filter(O.value_sets(cells(spark, sf)), key_pairs(spark), threshold=0.5, num_perm=NUM_PERM)
-    return _ids(kept, F.round("containment", 6).alias("containment"))
+    kept = S.verified_filter(O.value_sets(cells(spark, sf)), found_pairs(spark, sf), threshold=0.5, num_perm=NUM_PERM)
+    return _ids(kept, F.round(F.col("containment") + 1e-9, 6).alias("containment"))
 
 
 OLD = "row_number() OVER (PARTITION BY query_table, query_col ORDER BY cand_table, cand_col) AS old_rank"
 
 
 @query("rerank_by_containment", with_views(["cells"], *ESTIMATE, ("listed", f"SELECT *, {OLD} FROM contained"), select=f"""
-SELECT {OVERLAP_IDS}, old_rank, round(containment, 6) AS containment, row_number() OVER (PARTITION BY query_table, query_col
+SELECT {OVERLAP_IDS}, old_rank, round(containment + 1e-9, 6) AS containment, row_number() OVER (PARTITION BY query_table, query_col
   ORDER BY containment DESC, old_rank) AS rank FROM listed"""))
 def _(spark, sf):
-    listed = rank_within(key_pairs(spark), ["query_table", "query_col"], [F.col("cand_table"), F.col("cand_col")], "rank")
+    listed = rank_within(found_pairs(spark, sf), ["query_table", "query_col"], [F.col("cand_table"), F.col("cand_col")], "rank")
     ranked = S.rerank(listed, estimates(spark, sf))
-    return _ids(ranked, "old_rank", F.round("containment", 6).alias("containment"), "rank")
+    return _ids(ranked, "old_rank", F.round(F.col("containment") + 1e-9, 6).alias("containment"), "rank")
+
+
+@query("candidate_pairs", with_views(["cells"], *MINHASH, *PAIRS, select=f"SELECT {OVERLAP_IDS} FROM pairs"))
+def _(spark, sf):
+    return _ids(found_pairs(spark, sf))
+
+
+@query("search_filter_rerank", with_views(["cells"], *FILTER, *ESTIMATE[-2:], ("again", "SELECT e.*, row_number() OVER (PARTITION BY query_table, "
+    "query_col ORDER BY containment DESC, cand_table, cand_col) AS rank FROM contained e JOIN kept USING (query_table, query_col, "
+    "cand_table, cand_col)"), select=f"SELECT {OVERLAP_IDS}, round(containment + 1e-9, 6) AS containment, rank FROM again"))
+def _(spark, sf):
+    """Candidates found by bands, filtered by size-tuned bands, ordered by estimated containment."""
+    sets = O.value_sets(cells(spark, sf))
+    signatures = materialize(S.minhash(sets, NUM_PERM))
+    kept = S.containment_filter(signatures, O.set_sizes(sets), S.candidate_pairs(signatures), 0.5, num_perm=NUM_PERM)
+    listed = rank_within(kept, ["query_table", "query_col"], [F.col("cand_table"), F.col("cand_col")], "rank")
+    ranked = S.rerank(listed, S.estimate(signatures, kept))
+    return _ids(ranked, F.round(F.col("containment") + 1e-9, 6).alias("containment"), "rank")
