@@ -216,8 +216,8 @@ def verified_filter(sets: DataFrame, candidates: DataFrame, threshold: float = 0
 
 
 def rerank(candidates: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Candidates of each query by descending containment estimate, ties in their former order."""
+    """Candidates of each query by descending containment estimate (to nine digits), ties in their former order."""
     scored = candidates.withColumnRenamed("rank", "old_rank").join(
         estimates.select(*PAIR, "containment"), PAIR, "left")
-    order = [F.desc_nulls_last("containment"), F.col("old_rank"), F.col("cand_table"), F.col("cand_col")]
+    order = [F.desc_nulls_last(F.round("containment", 9)), F.col("old_rank"), F.col("cand_table"), F.col("cand_col")]
     return rank_within(scored, ["query_table", "query_col"], order, "rank")

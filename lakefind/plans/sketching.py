@@ -97,7 +97,7 @@ OLD = "row_number() OVER (PARTITION BY query_table, query_col ORDER BY cand_tabl
 
 @query("rerank_by_containment", with_views(["cells"], *ESTIMATE, ("listed", f"SELECT *, {OLD} FROM contained"), select=f"""
 SELECT {OVERLAP_IDS}, old_rank, round(containment + 1e-9, 6) AS containment, row_number() OVER (PARTITION BY query_table, query_col
-  ORDER BY containment DESC, old_rank) AS rank FROM listed"""))
+  ORDER BY round(containment, 9) DESC, old_rank) AS rank FROM listed"""))
 def _(spark, sf):
     listed = rank_within(found_pairs(spark, sf), ["query_table", "query_col"], [F.col("cand_table"), F.col("cand_col")], "rank")
     ranked = S.rerank(listed, estimates(spark, sf))
@@ -110,7 +110,7 @@ def _(spark, sf):
 
 
 @query("search_filter_rerank", with_views(["cells"], *FILTER, *ESTIMATE[-2:], ("again", "SELECT e.*, row_number() OVER (PARTITION BY query_table, "
-    "query_col ORDER BY containment DESC, cand_table, cand_col) AS rank FROM contained e JOIN kept USING (query_table, query_col, "
+    "query_col ORDER BY round(containment, 9) DESC, cand_table, cand_col) AS rank FROM contained e JOIN kept USING (query_table, query_col, "
     "cand_table, cand_col)"), select=f"SELECT {OVERLAP_IDS}, round(containment + 1e-9, 6) AS containment, rank FROM again"))
 def _(spark, sf):
     """Candidates found by bands, filtered by size-tuned bands, ordered by estimated containment."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,30 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[str] = []
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``materialize`` wrote inside the block when it ends.
+
+    A job wraps building *and writing* its result in it::
+
+        with intermediate_tables(spark):
+            joinable(queries, lake, 10).write.parquet(target)
+    """
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        written = _WRITTEN[before:]
+        del _WRITTEN[before:]
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in written:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -53,5 +79,6 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/lakefind-{uuid.uuid4().hex}"
     schema = df.schema
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -14,6 +14,8 @@ import duckdb
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 
+from lakefind.session import intermediate_tables  # noqa: E402
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -41,8 +43,9 @@ def rows(columns: list[str], data) -> list[tuple]:
 
 def compare(spark, con, sf: str, run, sql: str | None) -> str:
     """Empty when both sides agree, otherwise what differs."""
-    df = run(spark, sf)
-    got = [tuple(r) for r in df.collect()]
+    with intermediate_tables(spark):
+        df = run(spark, sf)
+        got = [tuple(r) for r in df.collect()]
     if sql is None:
         return "" if got else "no rows"
     cursor = con.execute(sql)
