@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefind.operators import union_search as U
+from lakefind.operators.profile import column_types
 from lakefind.plans.registry import query
 from lakefind.plans.searching import JACCARD, TABLE_OUT, TABLE_RANK, table_out
-from lakefind.plans.selection import OUT, out
+from lakefind.plans.selection import OUT, TYPES, out
 from lakefind.plans.views import LAKE, cells, clusters, col_vectors, read, with_views
 from lakefind.session import work_dir
 from lakefind.sources import lake as L
 from lakefind.sources import tables as T
 
 DELIMITERS = {"region": ";", "nation": "\t", "supplier": ",", "customer": ",", "part": ";", "orders": ","}
-TABLE_NAMES = "SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in LAKE) + ") AS t(table_id)"
+HEADERS = ("headers", "SELECT table_id, string_agg(col_name, '|' ORDER BY col_idx) AS header, arg_min(col_name, col_idx) AS first "
+                      "FROM (SELECT DISTINCT table_id, col_idx, col_name FROM cells) GROUP BY 1")
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -33,15 +35,24 @@ def write_lake(spark: SparkSession, sf: str, null_text: str = "") -> str:
     return path
 
 
-@query("lake_listing", f"SELECT table_id, true AS has_bytes FROM ({TABLE_NAMES})")
+@query("lake_listing", with_views(["cells"], select="SELECT DISTINCT table_id, true AS has_bytes FROM cells"))
 def _(spark, sf):
     files = L.list_lake(spark, write_lake(spark, sf), table_from="folder")
     return files.groupBy("table_id").agg((F.sum("n_bytes") > 0).alias("has_bytes"))
 
 
-@query("sniffed_lake", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{t}', 'UTF-8', '{DELIMITERS[t]}', '{'|'.join(cols)}')" for t, (_, cols) in LAKE.items())
-    + ") AS t(table_id, encoding, delimiter, header)")
+@query("lake_listing_all_files", with_views(["cells"], select=(
+    "SELECT table_id, count(*) > 0 AS is_table FROM cells GROUP BY 1 UNION ALL SELECT 'notes', true FROM region WHERE r_regionkey = 0")))
+def _(spark, sf):
+    path = write_lake(spark, sf)
+    read(spark, sf, "region").select("r_name").write.text(f"{path}/notes")  # not delimited files
+    files = L.list_lake(spark, path, csv_only=False, table_from="folder").filter(~F.col("path").contains("_SUCCESS"))
+    return files.groupBy("table_id").agg((F.count(F.lit(1)) > 0).alias("is_table"))
+
+
+@query("sniffed_lake", with_views(["cells"], HEADERS, select=(
+    "SELECT table_id, 'UTF-8' AS encoding, CASE " + " ".join(f"WHEN table_id = '{t}' THEN '{d}'" for t, d in DELIMITERS.items())
+    + " END AS delimiter, header FROM headers")))
 def _(spark, sf):
     files = L.sniff_lake(spark, write_lake(spark, sf), table_from="folder")
     return files.select("table_id", "encoding", "delimiter", F.array_join("header", "|").alias("header")).distinct()
@@ -86,8 +97,20 @@ def _(spark, sf):
     return out(L.read_lake(spark, path, L.read_manifest(spark, at), table_from="folder"))
 
 
-@query("catalog_lookup", "SELECT table_id, key AS primary_key FROM (VALUES " + ", ".join(
-    f"('{t}.csv', '{key}')" for t, (key, _) in LAKE.items()) + ") AS t(table_id, key)")
+@query("catalog_column_types", with_views(["cells"], (TYPES[0], TYPES[1].format("cells")), select=(
+    "SELECT table_id || '.csv' AS table_id, CAST(col_idx AS BIGINT) AS col_idx, dtype FROM types")))
+def _(spark, sf):
+    at = _folder(spark, "types")
+    lake = cells(spark, sf)
+    pairs = F.sort_array(F.collect_list(F.struct("col_idx", "dtype")))  # as many as a table has columns
+    column_types(lake).groupBy("table_id").agg(pairs.alias("column_types")).write.json(at)
+    stored = spark.read.schema("table_id string, column_types array<struct<col_idx: bigint, dtype: string>>").json(at)
+    tables = lake.select(F.concat("table_id", F.lit(".csv")).alias("table_id")).distinct()
+    return T.catalog_lookup(tables, stored, "column_types").select("table_id", F.inline("column_types"))
+
+
+@query("catalog_lookup", with_views(["cells"], HEADERS, select=(
+    "SELECT table_id || '.csv' AS table_id, first AS primary_key FROM headers")))
 def _(spark, sf):
     at = _folder(spark, "catalog")
     lake = cells(spark, sf)
