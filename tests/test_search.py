@@ -9,7 +9,6 @@ from lakefind.operators import knn as K
 from lakefind.operators import overlap as O
 from lakefind.operators import union_search as U
 from lakefind.operators import vectors as V
-from lakefind.session import BROADCAST_BYTES
 
 VECTORS = "table_id string, col_idx int, vec array<double>"
 
@@ -40,16 +39,33 @@ def found(df):
 
 
 @pytest.mark.parametrize("skip_table", [False, True])
-def test_exact_both_layouts(spark, skip_table):
+def test_exact_whatever_the_block_size(spark, skip_table):
     rows = lake_rows()
     df = spark.createDataFrame(rows, VECTORS).repartition(5)
     want = brute(rows, rows, 7, skip_table)
     assert found(K.knn(df, df, 7, exclude_same_table=skip_table)) == want
-    spark.conf.set(BROADCAST_BYTES, "0")
-    try:
-        assert found(K.knn(df, df, 7, exclude_same_table=skip_table)) == want
-    finally:
-        spark.conf.unset(BROADCAST_BYTES)
+    keyed = df.withColumn("_key", F.lit(0))
+    for block in (9, 1000):
+        assert found(K.merge_topk(K.grid_topk(keyed, keyed, 7, ["_key"], skip_table, block=block), 7)) == want
+
+
+def test_shards_that_hold_the_same_column(spark):
+    lake = spark.createDataFrame([("a", 0, [1.0, 0.0], 1), ("b", 0, [1.0, 0.1], 1), ("b", 0, [0.0, 1.0], 2), ("c", 0, [0.9, 0.5], 2)],
+                                 "table_id string, col_idx int, vec array<double>, shard int")
+    query = spark.createDataFrame([("q", 0, [1.0, 0.0])], VECTORS)
+    got = {(r.shard, r["rank"]): (r.cand_table, round(r.score, 4)) for r in K.knn_by_shard(query, lake, 2).collect()}
+    assert got == {(1, 1): ("a", 1.0), (1, 2): ("b", 0.995), (2, 1): ("c", 0.8742), (2, 2): ("b", 0.0)}
+
+
+def test_first_occurrence_of_a_repeated_query(spark):
+    lake = spark.createDataFrame([("x", 0, [1.0, 0.0]), ("y", 0, [0.0, 1.0])], VECTORS)
+    twice = spark.createDataFrame([("q", 0, [0.0, 1.0], 1), ("q", 0, [1.0, -1.0], 2)], VECTORS + ", at int")
+    assert [r.cand_table for r in K.joinable(twice, lake, 1, position="at").collect()] == ["y"]
+
+
+def test_index_parameters_follow_the_lake():
+    assert K.derived_bits(500) < K.derived_bits(10**6) < K.derived_bits(10**9)
+    assert (K.derived_lists(100), K.derived_lists(10**8)) == (10, 10**4)
 
 
 def test_hot_key_is_cut_into_blocks(spark):
