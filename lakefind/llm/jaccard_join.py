@@ -10,9 +10,11 @@ A document is the set of its distinct word shingles.  Equal sets form one class,
    share l prefix shingles.  l minimises the estimated cost of the lists met
    and of the candidates left for verification.
 3. In the list of a shingle the most typical class leads; all others are
-   verified against it.  Pairs that this leaves, in lists that still hold more
-   than one component, are joined where their first shared shingle can lie and
-   then held to the same l-match rule.  So a group of
+   verified against it. Twice more, the most typical class outside the
+   leader's component does the same.  Pairs that this leaves, in lists that still hold more
+   than one component, are joined and held to the same l-match rule; in long lists they are formed
+   only where their first shared shingle can lie and where the parities of the two sets
+   allow a link (a bound that never excludes one).  So a group of
    thousands of near copies costs pairs in proportion to its size.
 4. Verification compares whole sets: 100 * intersection >= PERCENT * union.
 
@@ -49,8 +51,9 @@ PERCENT = 80
 MAX_MATCHES = 8
 VERIFY_COST = 16  # what one candidate costs, in list entries met
 MIN_BITS, MAX_BITS, PART_BITS = 12, 24, 14
+LEADERS = 3  # rounds in which a list's most typical class outside its first component is compared
 CHANCE = 0.05  # entries that the list of a rare shingle is expected to hold besides copies
-LONG_LIST = 64  # a list that may hold more entries than this is met by the one-match rule first
+LONG_LIST = 16  # a list that may hold more entries than this and chance is met by the one-match rule first
 BROADCAST_ROWS = 500_000  # of 16 bytes; more are joined by a shuffle
 MEMBERS = 256  # pairs of one leader that one group verifies
 
@@ -60,6 +63,15 @@ def class_id(tokens: np.ndarray) -> int:
     return int(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def parity(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits: whether an odd number of the set's hashes fall on each.
+
+    Two sets differ in at least as many hashes as their parities differ in bits.
+    """
+    odd = np.bincount((mix(tokens ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return tuple(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+
+
 def token_sets(batch: pa.RecordBatch, known: WordHash) -> list[np.ndarray]:
     """The distinct shingle hashes of each row's ``text``, ascending."""
     texts = [words_of(t or "") for t in batch.column("text").to_pylist()]
@@ -141,14 +153,15 @@ def matches(levels: np.ndarray, n: int, usual: float) -> int:
 
 
 def postings(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
-    """(tok, cls, n, need, pos, typ, long, mixed): the prefix of every class, once per task that meets the class.
+    """(tok, cls, n, need, pos, typ, long, mixed, p, q): the prefix of every class, once per task that meets the class.
 
+    ``p`` and ``q`` are the parity of the whole set, given where the list may be long.
     ``long`` tells whether the list of the shingle may be long: a sketch never counts too little, so other lists are
     short for certain.  ``mixed`` tells whether the class has a long list.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     usual = float(np.mean(np.exp2(levels / 2.0) - 1))
-    long_level = int(2 * np.log2(1.0 + LONG_LIST))
+    long_level = int(2 * np.log2(1.0 + LONG_LIST + 2 * usual))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, level = WordHash(), set(), shared.value
@@ -168,20 +181,23 @@ def postings(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
                 size = n - -(-PERCENT * n // 100) + m
                 toks.append(s[order[:size]].view(np.int64))
                 longs.append(ordered[:size] >= long_level)
-                rows.append((cls, n, m, int(ordered.mean() * 16), size, bool(longs[-1].any())))
+                mixed = bool(longs[-1].any())
+                rows.append((cls, n, m, int(ordered.mean() * 16), size, mixed, *(parity(s) if mixed else (0, 0))))
             if toks:
                 sizes = [r[4] for r in rows]
                 of = [np.repeat(np.array([r[k] for r in rows], np.int64), sizes) for k in range(4)]
                 pos = np.concatenate([np.arange(1, k + 1) for k in sizes])
+                short = ~np.concatenate(longs)
+                bits_of = [pa.array(np.repeat(np.array([r[k] for r in rows], np.int64), sizes), mask=short) for k in (6, 7)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(toks)), pa.array(of[0]), pa.array(of[1].astype(np.int32)),
                     pa.array(of[2].astype(np.int32)), pa.array(pos.astype(np.int32)),
                     pa.array(of[3].astype(np.int32)), pa.array(np.concatenate(longs)),
-                    pa.array(np.repeat(np.array([r[5] for r in rows]), sizes))],
-                    ["tok", "cls", "n", "need", "pos", "typ", "long", "mixed"])
+                    pa.array(np.repeat(np.array([r[5] for r in rows]), sizes)), *bits_of],
+                    ["tok", "cls", "n", "need", "pos", "typ", "long", "mixed", "p", "q"])
 
     return docs.select("text").mapInArrow(run, "tok bigint, cls bigint, n int, need int, pos int, typ int, "
-                                              "long boolean, mixed boolean")
+                                              "long boolean, mixed boolean, p bigint, q bigint")
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
@@ -191,7 +207,7 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     rows = rows.repartition("tok").withColumn("copy", F.row_number().over(each)).where("copy = 1")
     rows = rows.withColumn("lead", lead).withColumn("low", F.min("cls").over(whole)).withColumn(
         "high", F.max("cls").over(whole)).where("low <> high")
-    return materialize(rows.select("tok", "cls", "n", "need", "pos", "long", "mixed", "lead"))
+    return materialize(rows.select("tok", "cls", "n", "need", "pos", "typ", "long", "mixed", "p", "q", "lead"))
 
 
 def meets(n: Column, pos: Column, other_n: Column, other_pos: Column, need: Column) -> Column:
@@ -202,6 +218,15 @@ def meets(n: Column, pos: Column, other_n: Column, other_pos: Column, need: Colu
             & (pos <= n - overlap + need) & (other_pos <= other_n - overlap + need))
 
 
+def near_parity(x: str, y: str) -> Column:
+    """Whether two sets may differ in few enough hashes for a link; true where parities are not given."""
+    both = F.col(f"{x}.n").cast("long") + F.col(f"{y}.n")
+    overlap = F.ceil(both * PERCENT / (100 + PERCENT) - 1e-9)
+    differ = F.bit_count(F.col(f"{x}.p").bitwiseXOR(F.col(f"{y}.p"))) + F.bit_count(
+        F.col(f"{x}.q").bitwiseXOR(F.col(f"{y}.q")))
+    return F.coalesce(differ <= both - 2 * overlap, F.lit(True))
+
+
 def leader_pairs(lists: DataFrame) -> DataFrame:
     """(a, b): each class with the leaders of its lists, where enough prefix shingles are shared."""
     need = F.least("need", "lead.need")
@@ -217,18 +242,36 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings with the component of their class and whether it is outside that of the list's leader."""
+    name = bounded(labels.select(F.col("node").alias("cls"), "label"))
+    led = bounded(labels.select(F.col("node").alias("top"), F.col("label").alias("top_label")))
+    rows = lists.withColumn("top", F.col("lead.cls")).drop("lead").join(name, "cls", "left").join(led, "top", "left")
+    rows = rows.select("tok", "cls", "n", "need", "pos", "typ", "long", "mixed", "p", "q", F.coalesce("label", "cls").alias("label"),
+                       F.coalesce("top_label", "top").alias("top_label"))
+    return rows.withColumn("outside", F.col("label") != F.col("top_label")).drop("top_label")
+
+
+def further_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """(a, b): in each list, the most typical class outside the leader's component against all other components' classes.
+
+    The measure belongs to the class, so the lists of a group of copies agree on whom to compare with.
+    """
+    rows = labelled(lists, labels)
+    lead = F.max(F.when(F.col("outside"), F.struct("typ", "cls", "n", "need", "pos", "label"))).over(Window.partitionBy("tok"))
+    rows = rows.withColumn("lead", lead).where(F.col("label") != F.col("lead.label"))
+    known = bounded(tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = leader_pairs(rows).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(known, ["a", "b"], "left_anti")
+
+
 def remaining_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     """(a, b) of different components that share enough prefix shingles and were not tested.
 
     Within a list, classes of the leader's component are met only by classes
     outside it, so the pairs inside a large component are never formed.
     """
-    name = bounded(labels.select(F.col("node").alias("cls"), "label"))
-    led = bounded(labels.select(F.col("node").alias("top"), F.col("label").alias("top_label")))
-    rows = lists.withColumn("top", F.col("lead.cls")).drop("lead").join(name, "cls", "left").join(led, "top", "left")
-    rows = rows.select("tok", "cls", "n", "need", "pos", "long", "mixed", F.coalesce("label", "cls").alias("label"),
-                       F.coalesce("top_label", "top").alias("top_label"))
-    rows = materialize(rows.withColumn("outside", F.col("label") != F.col("top_label")).drop("top_label"))
+    rows = materialize(labelled(lists, labels))
     x = rows.where("outside").alias("x")
     y = rows.alias("y")
     # of l shared prefix shingles the first lies l - 1 places before the prefix ends: the rule for one match
@@ -236,7 +279,7 @@ def remaining_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> D
     rule = F.when(F.col("x.long"), F.lit(1)).otherwise(least)
     met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.label") != F.col("y.label"))
                  & (~F.col("y.outside") | (F.col("x.cls") < F.col("y.cls")))
-                 & meets(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), rule))
+                 & meets(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), rule) & near_parity("x", "y"))
     pairs = met.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).agg(
         F.count("*").alias("hits"), F.min(least).alias("need"),
         F.bool_or(F.col("x.mixed") & F.col("y.mixed")).alias("unsure"))  # may share more in long lists
@@ -330,6 +373,10 @@ def similarity_components(docs: DataFrame) -> DataFrame:
 
     near = materialize(leader_pairs(lists))
     links = verified(docs, near, first_doc)
+    for _ in range(LEADERS - 1):
+        again = materialize(further_pairs(lists, components(links), near))
+        links = materialize(links.unionByName(verified(docs, again, first_doc)))
+        near = materialize(near.unionByName(again))
     rest = materialize(remaining_pairs(lists, components(links), near))
     more = verified(docs, rest, first_doc)
     labels = components(links.unionByName(more)).select(F.col("node").alias("cls"), "label")
