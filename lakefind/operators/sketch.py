@@ -21,6 +21,7 @@ LOW = (1 << 31) - 1
 ROWS_PER_STEP = 2048  # values hashed at a time
 HELD_COLUMNS = 4096  # signatures a task holds before it hands them on
 MAX_BAND_ROWS = 8
+SAMPLED = 128  # values of a column that ask for its containing columns
 
 
 def permutations(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +178,37 @@ def candidate_pairs(sigs: DataFrame, rows: int = 2) -> DataFrame:
     return met.join(q, "x").join(c, "y").filter(F.col("query_table") != F.col("cand_table")).select(*PAIR)
 
 
+def containment_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``(PAIR, containment)``: columns of other tables that hold at least ``threshold`` of a column's values.
+
+    Signatures of sets of very different size hardly ever agree, so no banding finds a small column inside a
+    large one.  Here the ``SAMPLED`` values of a column with the smallest hashes are looked up in all value
+    sets, at a cost and with a recall that do not depend on the size of the containing column.  A column
+    of at most ``SAMPLED`` values is looked up whole and loses nothing; a larger one asks for half the
+    hits it expects, which a pair at the threshold 0.5 misses with probability 4e-9.  The commonest
+    values are left out as far as that number allows, and the pairs found are verified exactly.
+    """
+    column = ["table_id", "col_idx"]
+    sets = materialize(sets.select(*column, "value"))
+    drawn = rank_within(sets.withColumn("h", base_hash("value")), column, [F.col("h"), F.col("value")], "at", limit=SAMPLED)
+    commonness = sets.groupBy("value").agg(F.count(F.lit(1)).alias("n_columns"))
+    asked = rank_within(drawn.select(*column, "value").join(commonness, "value"), column,
+                        [F.col("n_columns"), F.col("value")], "at", limit=SAMPLED)
+    sizes = set_sizes(sets).withColumn("n_drawn", F.least("n_distinct", F.lit(SAMPLED)))
+    share = F.when(F.col("n_distinct") <= SAMPLED, F.lit(threshold)).otherwise(F.lit(threshold / 2))
+    sizes = sizes.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n_drawn") * share - 1e-9)))
+    # of ``need`` hits at most ``spare`` can lie among the ``spare`` commonest values
+    sizes = sizes.withColumn("spare", F.floor((F.col("need") - 1) / 2))
+    rare = asked.join(sizes, column).filter(F.col("at") <= F.col("n_drawn") - F.col("spare"))
+    q = rare.select(F.col("table_id").alias("query_table"), F.col("col_idx").alias("query_col"), "value",
+                    (F.col("need") - F.col("spare")).alias("need"))
+    c = sets.select(F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"), "value")
+    hits = q.join(c, "value").filter(F.col("query_table") != F.col("cand_table")).groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
+    found = hits.filter(F.col("hits") >= F.col("need"))
+    return containment(sets, found).filter(F.col("containment") >= threshold)
+
+
 def containment_filter(sigs: DataFrame, sizes: DataFrame, candidates: DataFrame, threshold: float = 0.8,
                        num_part: int = 32, num_perm: int = 128) -> DataFrame:
     """Keep the candidates of each query that probably contain ``threshold`` of it.

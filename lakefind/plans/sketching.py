@@ -8,7 +8,7 @@ from lakefind.functions.ranking import rank_within
 from lakefind.operators import overlap as O
 from lakefind.operators import sketch as S
 from lakefind.plans.registry import query
-from lakefind.plans.searching import MINHASH, NUM_PERM, OVERLAP, OVERLAP_IDS, PAIRS, _ids, found_pairs, sigs
+from lakefind.plans.searching import MINHASH, NUM_PERM, OVERLAP, OVERLAP_IDS, PAIRS, VALUES, _ids, found_pairs, sigs
 from lakefind.plans.views import cells, with_views
 from lakefind.session import materialize
 
@@ -109,6 +109,23 @@ def _(spark, sf):
     return _ids(found_pairs(spark, sf))
 
 
+# Every pair of columns that share a value, whatever an index finds.
+HELD = [
+    VALUES,
+    ("sizes", "SELECT table_id, col_idx, count(*) AS n FROM vals GROUP BY 1, 2"),
+    ("held", "SELECT a.table_id AS query_table, a.col_idx AS query_col, b.table_id AS cand_table, b.col_idx AS cand_col, "
+             "count(*) AS join_size FROM vals a JOIN vals b ON a.value = b.value AND a.table_id <> b.table_id GROUP BY 1, 2, 3, 4"),
+]
+
+
+@query("containment_pairs", with_views(["cells"], *HELD, select=(
+    f"SELECT {OVERLAP_IDS}, round(join_size / n, 6) AS containment FROM held JOIN sizes ON table_id = query_table AND "
+    "col_idx = query_col WHERE join_size / n >= 0.5")))
+def _(spark, sf):
+    """Containing columns whatever the sizes; ``candidate_pairs`` finds columns of similar size."""
+    return _ids(S.containment_pairs(O.value_sets(cells(spark, sf)), 0.5), F.round("containment", 6).alias("containment"))
+
+
 @query("search_filter_rerank", with_views(["cells"], *FILTER, *ESTIMATE[-2:], ("again", "SELECT e.*, row_number() OVER (PARTITION BY query_table, "
     "query_col ORDER BY round(containment, 9) DESC, cand_table, cand_col) AS rank FROM contained e JOIN kept USING (query_table, query_col, "
     "cand_table, cand_col)"), select=f"SELECT {OVERLAP_IDS}, round(containment + 1e-9, 6) AS containment, rank FROM again"))

@@ -81,3 +81,19 @@ def test_value_sets_skip_missing(spark):
     assert [r.value for r in O.value_sets(cells).collect()] == ["x"]
     assert O.set_sizes(O.value_sets(cells)).first().n_distinct == 1
     assert O.value_sets(cells).filter(F.col("value").isNull()).isEmpty()
+
+
+def test_containment_pairs_whatever_the_sizes(spark):
+    rng = np.random.default_rng(5)
+    columns = {"big": range(20000), "mid": range(3000, 3900), "flag": ["0", "1", "x", "y"], "copy": range(3000, 3900)}
+    for i, n in enumerate(rng.integers(1, 600, 40)):
+        inside = int(round(n * float(rng.choice([0.3, 0.5, 0.7, 1.0]))))
+        columns[f"q{i}"] = [*rng.choice(20000, inside, replace=False), *[f"own{i}_{k}" for k in range(n - inside)]]
+    df = sets(spark, **columns).cache()
+    held = {t: {str(v) for v in values} for t, values in columns.items()}
+    want = {(q, c): len(held[q] & held[c]) / len(held[q]) for q in held for c in held if q != c}
+    want = {pair: share for pair, share in want.items() if share >= 0.5}
+    got = {(r.query_table, r.cand_table): r.containment for r in S.containment_pairs(df, 0.5).collect()}
+    assert got == pytest.approx(want) and len(got) > 30
+    banded = {(r.query_table, r.cand_table) for r in S.candidate_pairs(S.minhash(df)).collect()}
+    assert len(banded & set(want)) < 0.5 * len(want)
