@@ -12,8 +12,10 @@ labelled by construction (menus, headers, footers, sidebars, notices, adverts, f
 comments are not main text), filled with words of at most ``MAX_PAGES`` given pages.
 This bounded fit runs on the driver; extraction reads every whole page where it lies, without a shuffle.
 
-Defined results: null, empty and textless pages give an empty text.  Scripts, styles, templates, comments and the
-head are not text.  A line break counts as white space; all Unicode white space inside a block becomes
+Defined results: null, empty and textless pages give an empty text.  Scripts, styles, templates, comments, the head,
+frames, vector drawings and text fields are not text; mathematics and what stands inside objects, media, noscript and
+choice lists is inline text like any other.  A head without end tag ends at its first text or at the first tag that
+cannot stand in a head.  A line break counts as white space; all Unicode white space inside a block becomes
 one space.  Markup that never closes ends with the page.  Repeated rows get equal results; further
 columns are kept in ``row``.  An empty table gives an empty result.
 """
@@ -38,8 +40,10 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td "
     "tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template head title noscript iframe svg math object canvas audio video textarea select".split())
-RAW = frozenset("script style title textarea iframe noscript".split())
+HIDDEN = frozenset("script style template head title iframe svg textarea".split())
+RAW = frozenset("script style title textarea iframe".split())
+#: What may stand in a head; any other opening tag ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: What an opening tag closes: the open element, and the elements beyond which it does not look.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -89,15 +93,28 @@ def leaf_blocks(page: str) -> list[Block]:
             hidden -= tag in HIDDEN
         del stack[to:]
 
+    def end_head() -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == "template":  # its tags are not the head's
+                break
+            if stack[k][0] == "head":
+                pop(k)
+                break
+
     while True:
         m = TAG.search(page, at)
-        add(page[at:m.start() if m else len(page)])
+        text = page[at:m.start() if m else len(page)]
+        if hidden and stack[-1][0] == "head" and text.strip():
+            end_head()
+        add(text)
         if m is None:
             break
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
+        if hidden and not m[1] and tag not in IN_HEAD:
+            end_head()
         if tag == "br":
             add(" ")
             continue

@@ -31,6 +31,20 @@ def test_leaf_blocks():
     assert texts("<script>never closed <p>x") == []
 
 
+def test_head_without_end_tag():
+    head = "<html><head><meta charset=utf-8><title>t</title><style>p{}</style><script>x</script><template><p>no</p></template>"
+    for start in ("<body><article>", "<article>", "<BODY class=a>", "\n<div>", "</head><body>"):
+        assert texts(f"{head}{start}<p>Hi</p>") == ["Hi"]
+    assert texts(head + "Hi <b>there</b><p>x") == ["Hi there", "x"] and texts(head + "<noscript><link></noscript>") == []
+
+
+def test_mathematics_and_fallback_text_stay():
+    page = ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object>an object</object> <canvas>drawn</canvas> "
+            "<audio>heard</audio> <video src=v>seen</video></p><noscript><p>no script</p></noscript><select><option>one</select>")
+    assert texts(page) == ["Let x=1 be an object drawn heard seen", "no script", "one"]
+    assert texts("<p>a<svg><text>no</text></svg><iframe>no</iframe><textarea>no</textarea>b") == ["ab"]
+
+
 def test_links_and_ancestors():
     b = X.leaf_blocks('<div class="Side-Bar x"><p>ab <a href=1>cdef</a></p></div>')[0]
     assert b.linked == 4 and b.path == (("div", ("side", "bar", "x")), ("p", ()))
