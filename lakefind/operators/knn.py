@@ -24,6 +24,12 @@ from lakefind.session import materialize
 
 BLOCK = 8192  # vectors per block of the grid
 CHUNK = 1024  # queries multiplied at a time
+RECALL = 0.9  # share of the true neighbours that the bucketed methods are set to find
+MARGIN = 0.02  # added to it, for the chance of the sample
+SAMPLE, SAMPLE_PAIRS = 256, 10_000  # queries, and about so many pairs with neighbours, on which they are set
+MIN_BITS = 4
+COPY = 1024  # comparisons that cost as much as one more copy of a vector
+JOINED = 64  # comparisons that cost as much as one shortlisted pair joined with its vectors
 PAIR = "query_table string, query_col int, cand_table string, cand_col int, score double"
 PAIR_COLS = ["query_table", "query_col", "cand_table", "cand_col", "score"]
 
@@ -220,31 +226,120 @@ def codebooks(lake: DataFrame, n_sub: int, n_codes: int, seed: int = 42) -> np.n
     return np.stack(books)
 
 
+def _codes(books: np.ndarray, vec: np.ndarray) -> np.ndarray:
+    """Nearest center of each slice of unit vectors."""
+    parts = vec.reshape(len(vec), len(books), books.shape[2])
+    return ((books**2).sum(axis=2)[None] - 2 * np.einsum("nsw,scw->nsc", parts, books)).argmin(axis=2)
+
+
 def _encode(books: np.ndarray):
     """Codes of a vector: the nearest center of each slice."""
-    n_sub, _, width = books.shape
+    n_sub = len(books)
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def codes(vec: pa.Array) -> pa.Array:
         if len(vec) == 0:
             return pa.array([], pa.list_(pa.int32()))
-        parts = normalized(matrix(vec)).reshape(len(vec), n_sub, width)
-        far = ((books**2).sum(axis=2)[None] - 2 * np.einsum("nsw,scw->nsc", parts, books))
-        near = far.argmin(axis=2).astype(np.int32)
+        near = _codes(books, normalized(matrix(vec))).astype(np.int32)
         return pa.ListArray.from_arrays(np.arange(len(vec) + 1) * n_sub, near.ravel())
 
     return codes
 
 
+def sampled_pairs(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of hash-drawn queries and of their true neighbours (not themselves), row by row."""
+    n = max(16, min(SAMPLE, SAMPLE_PAIRS // max(1, k)))
+    sample = materialize(queries.orderBy(F.xxhash64("table_id", "col_idx"), "table_id", "col_idx").limit(n))
+    near = merge_topk(exact_topk(sample, lake, k, skip_table), k).filter(
+        (F.col("query_table") != F.col("cand_table")) | (F.col("query_col") != F.col("cand_col")))
+    q = sample.select(F.col("table_id").alias("query_table"), F.col("col_idx").alias("query_col"), F.col("vec").alias("_qv"))
+    c = lake.select(F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"), F.col("vec").alias("_cv"))
+    both = near.join(q, ["query_table", "query_col"]).join(F.broadcast(near).select("cand_table", "cand_col").distinct().join(
+        c, ["cand_table", "cand_col"]), ["cand_table", "cand_col"]).select("_qv", "_cv").toArrow()
+    return normalized(matrix(both.column("_qv"))), normalized(matrix(both.column("_cv")))
+
+
+def tuned_hashing(cosines: np.ndarray, n_vectors: int, recall: float, bits: int | None = None) -> tuple[int, int]:
+    """Cheapest ``(bits, tables)`` that find pairs of these cosines with at least ``recall``.
+
+    A hyperplane parts a pair with probability angle / pi.  Where no choice gets there with less than twice the
+    comparisons of an exact search, all vectors go to one bucket (no bits).
+    """
+    together = 1 - np.arccos(np.clip(cosines, -1, 1)) / np.pi
+    best = (np.inf, 0, 1)
+    for b in [bits] if bits else range(MIN_BITS, derived_bits(n_vectors) + 1):
+        def reached(tables: int, b: int = b) -> bool:
+            return np.mean(1 - (1 - together**b) ** tables) >= recall
+
+        low, high = 1, 2 << b
+        if not reached(high):
+            continue
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if reached(mid) else (mid + 1, high)
+        best = min(best, (low * (n_vectors / 2**b + COPY), b, low))
+    return best[1], best[2]
+
+
+def cell_places(q: np.ndarray, c: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """How many cells a query probes before the one that holds its neighbour."""
+    order = np.argsort(-(q @ centers.T), axis=1, kind="stable")
+    own = np.argsort(-(c @ centers.T), axis=1, kind="stable")[:, :1]
+    return (order == own).argmax(axis=1)
+
+
+def _least(places: np.ndarray, share: float) -> int:
+    """Smallest n such that at least ``share`` of the places are below n."""
+    return int(np.sort(places)[max(0, int(np.ceil(share * len(places))) - 1)]) + 1
+
+
+def code_places(q: np.ndarray, c: np.ndarray, coded: DataFrame, books: np.ndarray) -> np.ndarray:
+    """How many vectors of the lake have better quantised scores than the neighbour; counted by the tasks."""
+    n_sub, _, width = books.shape
+    queries, of = np.unique(q, axis=0, return_inverse=True)
+    of = of.ravel()
+    products = [queries.reshape(-1, n_sub, width)[:, s] @ books[s].T for s in range(n_sub)]
+    own = _codes(books, c)
+    limits = np.round(sum(products[s][of, own[:, s]] for s in range(n_sub)), SCORE_DIGITS)
+
+    def count(batches):
+        total = np.zeros(len(limits), np.int64)
+        for batch in batches:
+            codes = matrix(batch.column("codes")).astype(int)
+            for at in range(0, len(codes), CHUNK):
+                step = codes[at:at + CHUNK]
+                scores = np.sort(np.round(sum(products[s][:, step[:, s]] for s in range(n_sub)), SCORE_DIGITS), axis=1)
+                for i in range(len(queries)):
+                    mine = of == i
+                    total[mine] += len(step) - np.searchsorted(scores[i], limits[mine], side="right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
+
+    rows = coded.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()
+    return np.array([r["n"] for r in rows])
+
+
+def _ivf(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool, centers: np.ndarray, n_probe: int) -> DataFrame:
+    return _bucketed(queries, lake, k, skip_table, _nearest_cells(centers, n_probe)("vec"), _nearest_cells(centers, 1)("vec"))
+
+
 def _ivfpq(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool, n_lists: int, n_probe: int, n_sub: int,
-           n_codes: int, refine: int, seed: int) -> DataFrame:
+           n_codes: int, refine: int, seed: int, pairs: tuple[np.ndarray, np.ndarray] | None, recall: float) -> DataFrame:
     """Shortlist by quantised codes inside the probed cells, then exact scores of the shortlist.
 
     Only codes travel to the cells; full vectors are joined back for the
-    ``refine * k`` best of each query.
+    ``refine * k`` best of each query.  With ``pairs`` the probes and the shortlist grow until ``recall`` of them is
+    found; where such a shortlist costs more than the cells themselves, these are compared whole.
     """
     centers, books = coarse_centers(lake, n_lists, seed), codebooks(lake, n_sub, n_codes, seed)
     n_sub, _, width = books.shape
+    if pairs:
+        cell = cell_places(*pairs, centers)
+        n_probe = max(n_probe, _least(cell, (1 + recall) / 2))
+        depth = code_places(*pairs, lake.select(_encode(books)("vec").alias("codes")), books)
+        needed = -(-_least(np.where(cell < n_probe, depth, np.iinfo(np.int64).max - 1), recall) // k)
+        if needed > refine and needed * k * JOINED > lake.count() * n_probe / len(centers):
+            return _ivf(queries, lake, k, skip_table, centers, max(n_probe, _least(cell, recall)))
+        refine = max(refine, needed)
 
     def approximate(q: pa.Table, coded: pa.Table) -> pa.Table:
         if not q.num_rows or not coded.num_rows:
@@ -279,7 +374,7 @@ def _ivfpq(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool, n_list
 
 def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", exclude_same_table: bool = False,
         tables: int = 16, bits: int | None = None, n_lists: int | None = None, n_probe: int = 10, n_sub: int = 8, n_codes: int = 256,
-        refine: int = 4, seed: int = 42) -> DataFrame:
+        refine: int = 4, seed: int = 42, recall: float | None = RECALL) -> DataFrame:
     """``(query_table, query_col, cand_table, cand_col, score, rank)``: the ``k`` nearest columns.
 
     ``exact`` compares every query with every vector in a grid of blocks,
@@ -287,11 +382,22 @@ def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", excl
     ``lsh``, ``ivf`` and ``ivfpq`` compare only inside shared buckets
     (``tables`` x ``bits`` hyperplanes; ``n_probe`` of ``n_lists`` cells; cells
     with ``n_sub`` codes per vector) and are the way to run a whole lake
-    against itself; ``bits`` and ``n_lists`` follow the lake's size unless given.  A small lake
+    against itself; ``bits`` and ``n_lists`` follow the lake's size unless given.  ``tables``, ``n_probe`` and ``refine``
+    are the least that is used: they grow until ``recall`` of the true neighbours of hash-drawn
+    queries is found, so recall does not fall as the lake grows (``recall=None`` takes them as they are).  A small lake
     returns fewer than ``k``.
     """
     queries, lake = _vectors(queries), _vectors(lake)
-    if method == "lsh" and bits is None:
+    pairs = None
+    if method in ("lsh", "ivf", "ivfpq") and recall is not None:
+        lake = materialize(lake)
+        pairs = sampled_pairs(queries, lake, k, exclude_same_table)
+        pairs = pairs if len(pairs[0]) else None
+        recall = min(1.0, recall + MARGIN)
+    if method == "lsh" and pairs:
+        bits, needed = tuned_hashing(np.einsum("ij,ij->i", *pairs), lake.count(), recall, bits)
+        tables = max(tables, needed) if bits else 1
+    elif method == "lsh" and bits is None:
         bits = derived_bits(lake.count())
     if method in ("ivf", "ivfpq") and n_lists is None:
         n_lists = derived_lists(lake.count())
@@ -302,10 +408,12 @@ def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", excl
         parts = _bucketed(queries, lake, k, exclude_same_table, keys("vec"), keys("vec"))
     elif method == "ivf":
         centers = coarse_centers(lake, n_lists, seed)
-        parts = _bucketed(queries, lake, k, exclude_same_table,
-                          _nearest_cells(centers, n_probe)("vec"), _nearest_cells(centers, 1)("vec"))
+        if pairs:
+            n_probe = max(n_probe, _least(cell_places(*pairs, centers), recall))
+        parts = _ivf(queries, lake, k, exclude_same_table, centers, n_probe)
     elif method == "ivfpq":
-        parts = _ivfpq(queries, lake, k, exclude_same_table, n_lists, n_probe, n_sub, n_codes, refine, seed)
+        parts = _ivfpq(queries, lake, k, exclude_same_table, n_lists, n_probe, n_sub, n_codes, refine, seed, pairs,
+                       recall)
     else:
         raise ValueError(f"unknown search method: {method}")
     return merge_topk(parts, k)

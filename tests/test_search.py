@@ -109,6 +109,25 @@ def test_approximate_recall(spark, method, options):
     assert recall > 0.9
 
 
+@pytest.mark.parametrize("method,options", [("lsh", {}), ("ivf", {"n_lists": 32, "n_probe": 8}),
+    ("ivfpq", {"n_lists": 32, "n_probe": 8, "n_codes": 32})])
+def test_recall_of_registered_parameters_without_clusters(spark, method, options):
+    x = np.random.default_rng(4).standard_normal((1200, 64))
+    df = spark.createDataFrame([(f"t{i:04d}", 0, [float(v) for v in r]) for i, r in enumerate(x)], VECTORS)
+    exact, approx = found(K.knn(df, df, 10)), found(K.knn(df, df, 10, method=method, **options))
+    others = {q: set(near) - {q} for q, near in exact.items()}
+    assert np.mean([len(others[q] & set(approx[q])) / len(others[q]) for q in exact]) >= 0.9
+
+
+def test_tables_grow_with_the_lake():
+    cosines = np.full(100, 0.4)
+    for n in (500, 50_000, 10**7):
+        bits, tables = K.tuned_hashing(cosines, n, 0.92)
+        assert 1 - (1 - (1 - np.arccos(0.4) / np.pi) ** bits) ** tables >= 0.92 and bits >= K.MIN_BITS
+    assert K.tuned_hashing(np.full(9, -1.0), 500, 0.92) == (0, 1)
+    assert K.tuned_hashing(cosines, 500, 0.92, bits=8)[1] > K.tuned_hashing(cosines, 500, 0.92, bits=4)[1]
+
+
 def test_unknown_method(spark):
     df = spark.createDataFrame(lake_rows(4), VECTORS)
     with pytest.raises(ValueError):
