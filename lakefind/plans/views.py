@@ -53,7 +53,7 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """All rows and columns of the keyed tables as one lake."""
+    """All rows and the listed columns of the tables in ``LAKE`` as one lake; ``lineitem`` is left out (README)."""
     return reduce(DataFrame.unionByName, [
         table_cells(read(spark, sf, t), t, key, {c: F.expr(e) for c, e in cols.items()})
         for t, (key, cols) in LAKE.items()])
