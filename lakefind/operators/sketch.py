@@ -21,7 +21,10 @@ LOW = (1 << 31) - 1
 ROWS_PER_STEP = 2048  # values hashed at a time
 HELD_COLUMNS = 4096  # signatures a task holds before it hands them on
 MAX_BAND_ROWS = 8
-SAMPLED = 128  # values of a column that ask for its containing columns
+MIN_BAND_ROWS = 2  # one position alone is one shared value: a list as long as the value is common
+INDEX_RECALL = 0.95  # chance with which the worst pair at the threshold meets in a band of the index
+LONG_LIST = 1024  # columns of one band key that one task compares with a query
+LEAST_SAMPLE = 64  # values of a column, at least, that ask for its containing columns
 
 
 def permutations(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,56 +162,133 @@ def _bands(threshold: float, num_perm: int):
     return choose
 
 
-def candidate_pairs(sigs: DataFrame, rows: int = 2) -> DataFrame:
-    """``PAIR`` rows: columns of different tables whose signatures agree in all positions of some band.
+def size_part(n: str | Column) -> Column:
+    """Number of the half octave in which a set size lies: floor(2 log2 n), in whole numbers."""
+    n = (F.col(n) if isinstance(n, str) else n).cast("bigint")
+    return F.length(F.bin(n * n)) - 1
 
-    A banded equi-join on (band, key).  Columns with equal signatures meet as one class, so
-    copies of a column do not multiply in the join; only the result lists their pairs.
+
+def band_shape(gap: int, threshold: float, num_perm: int) -> tuple[int, int] | None:
+    """``(bands, rows)`` for a lake part ``gap`` half octaves above the query's; None if none is sure enough.
+
+    The worst pair at the threshold has the largest set of the part and the smallest query, a size ratio
+    of 2^((gap + 1) / 2).  The most rows per band that still find it keep the candidates few.
     """
-    member = F.struct("table_id", "col_idx")
-    classes = materialize(sigs.groupBy("sig").agg(F.min(member).alias("rep")))
-    bands = F.transform(F.sequence(F.lit(0), F.floor(F.size("sig") / rows).cast("int") - 1),
-                        lambda i: F.xxhash64(F.slice("sig", i * rows + 1, F.lit(rows))))
-    keyed = classes.select("rep", F.posexplode(bands).alias("band", "key"))
-    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")))
-    met = met.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).distinct()
-    of = sigs.join(classes, "sig").select("rep", "table_id", "col_idx")
+    j = threshold / (1 + 2 ** ((gap + 1) / 2) - threshold)
+    for r in range(MAX_BAND_ROWS, MIN_BAND_ROWS - 1, -1):
+        for b in range(1, num_perm // r + 1):
+            if 1 - (1 - j**r) ** b >= INDEX_RECALL:
+                return b, r
+    return None
+
+
+def least_gap(threshold: float) -> int:
+    """The lowest part, relative to the query's, that can hold a containing set at all."""
+    return int(np.floor(2 * np.log2(threshold)))
+
+
+def _split_lists(asked: DataFrame, listed: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``key`` with ``_slice``: long lists are dealt over slices that all askers visit."""
+    long = listed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / LONG_LIST).cast("int").alias("_n")).filter("_n > 1")
+    slices = F.coalesce(F.col("_n"), F.lit(1))
+    dealt = listed.join(long, key, "left").withColumn("_slice", F.pmod(F.xxhash64("rep"), slices).cast("int")).drop("_n")
+    visits = asked.join(long, key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_n")
+    return visits, dealt
+
+
+def banded_pairs(sigs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """``PAIR`` rows of columns whose sizes are near enough for bands, from an index by set size.
+
+    The lake is cut into parts of half an octave of set size.  A query asks every part that may hold its
+    containing columns with the band shape tuned to (its own part, that part), in one equi-join on (part, rows, band, key).
+    Columns with equal signature and part meet as one class, so copies do not multiply in the join; only the result lists them.
+    """
+    spark = sigs.sparkSession
+    column = ["table_id", "col_idx"]
+    sized = materialize(sigs.join(sizes, column).select(*column, "sig", size_part("n_distinct").alias("part")))
+    known = sized.groupBy("part").agg(F.max(F.size("sig")).alias("n")).collect()  # at most 126 rows
+    num_perm, parts = max((r["n"] for r in known), default=0), sorted(r["part"] for r in known)
+    shapes = {gap: band_shape(gap, threshold, num_perm) for gap in range(least_gap(threshold), 126)}
+    asks = [(q, p, *shapes[p - q]) for q in parts for p in parts if shapes.get(p - q)]
+    lists = {}
+    for _, p, b, r in asks:
+        lists[p, r] = max(b, lists.get((p, r), 0))
+    classes = materialize(sized.groupBy("sig", "part").agg(F.min(F.struct(*column)).alias("rep")))
+    asks = spark.createDataFrame(asks, "part int, to int, b int, r int")
+    lists = spark.createDataFrame([(p, p, b, r) for (p, r), b in lists.items()], "part int, to int, b int, r int")
+
+    def keyed(plan: DataFrame) -> DataFrame:  # a plan has one row per pair of parts
+        bands = F.transform(F.sequence(F.lit(0), F.col("b") - 1),
+                            lambda i: F.xxhash64(F.slice("sig", i * F.col("r") + 1, F.col("r"))))
+        return classes.join(F.broadcast(plan), "part").select("rep", "to", "r", F.posexplode(bands).alias("band", "key"))
+
+    key = ["to", "r", "band", "key"]
+    asked, listed = _split_lists(keyed(asks), keyed(lists), key)
+    met = asked.withColumnRenamed("rep", "x").join(listed.withColumnRenamed("rep", "y"), [*key, "_slice"]).select("x", "y").distinct()
+    of = sized.join(classes, ["sig", "part"]).select("rep", *column)
     q = of.select(F.col("rep").alias("x"), F.col("table_id").alias("query_table"), F.col("col_idx").alias("query_col"))
     c = of.select(F.col("rep").alias("y"), F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"))
     return met.join(q, "x").join(c, "y").filter(F.col("query_table") != F.col("cand_table")).select(*PAIR)
 
 
-def containment_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
+def sampled(threshold: float) -> int:
+    """Values to draw so that half of the expected hits is 5.6 deviations below a pair at the threshold."""
+    return max(LEAST_SAMPLE, int(np.ceil(128 * (1 - threshold) / threshold - 1e-9)))
+
+
+def containment_pairs(sets: DataFrame, threshold: float = 0.5, from_gap: int | None = None) -> DataFrame:
     """``(PAIR, containment)``: columns of other tables that hold at least ``threshold`` of a column's values.
 
     Signatures of sets of very different size hardly ever agree, so no banding finds a small column inside a
-    large one.  Here the ``SAMPLED`` values of a column with the smallest hashes are looked up in all value
+    large one.  Here the ``sampled(threshold)`` values of a column with the smallest hashes are looked up in all value
     sets, at a cost and with a recall that do not depend on the size of the containing column.  A column
-    of at most ``SAMPLED`` values is looked up whole and loses nothing; a larger one asks for half the
-    hits it expects, which a pair at the threshold 0.5 misses with probability 4e-9.  The commonest
-    values are left out as far as that number allows, and the pairs found are verified exactly.
+    with no more values is looked up whole and loses nothing; a larger one asks for half the
+    hits it expects, which a pair at the threshold misses with probability 4e-9 at 0.5 and about 1e-8 elsewhere.  The commonest
+    values are left out as far as that number allows, and the pairs found are verified exactly.  With
+    ``from_gap`` only columns at least so many half octaves larger are looked for.
     """
     column = ["table_id", "col_idx"]
+    n_drawn = sampled(threshold)
     sets = materialize(sets.select(*column, "value"))
-    drawn = rank_within(sets.withColumn("h", base_hash("value")), column, [F.col("h"), F.col("value")], "at", limit=SAMPLED)
+    drawn = rank_within(sets.withColumn("h", base_hash("value")), column, [F.col("h"), F.col("value")], "at", limit=n_drawn)
     commonness = sets.groupBy("value").agg(F.count(F.lit(1)).alias("n_columns"))
     asked = rank_within(drawn.select(*column, "value").join(commonness, "value"), column,
-                        [F.col("n_columns"), F.col("value")], "at", limit=SAMPLED)
-    sizes = set_sizes(sets).withColumn("n_drawn", F.least("n_distinct", F.lit(SAMPLED)))
-    share = F.when(F.col("n_distinct") <= SAMPLED, F.lit(threshold)).otherwise(F.lit(threshold / 2))
-    sizes = sizes.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n_drawn") * share - 1e-9)))
+                        [F.col("n_columns"), F.col("value")], "at", limit=n_drawn)
+    sizes = materialize(set_sizes(sets).withColumn("part", size_part("n_distinct")))
+    needs = sizes.withColumn("n_drawn", F.least("n_distinct", F.lit(n_drawn)))
+    share = F.when(F.col("n_distinct") <= n_drawn, F.lit(threshold)).otherwise(F.lit(threshold / 2))
+    needs = needs.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n_drawn") * share - 1e-9)))
     # of ``need`` hits at most ``spare`` can lie among the ``spare`` commonest values
-    sizes = sizes.withColumn("spare", F.floor((F.col("need") - 1) / 2))
-    rare = asked.join(sizes, column).filter(F.col("at") <= F.col("n_drawn") - F.col("spare"))
+    needs = needs.withColumn("spare", F.floor((F.col("need") - 1) / 2))
+    rare = asked.join(needs, column).filter(F.col("at") <= F.col("n_drawn") - F.col("spare"))
     q = rare.select(F.col("table_id").alias("query_table"), F.col("col_idx").alias("query_col"), "value",
-                    (F.col("need") - F.col("spare")).alias("need"))
+                    (F.col("need") - F.col("spare")).alias("need"), F.col("part").alias("q_part"))
     c = sets.select(F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"), "value")
-    hits = q.join(c, "value").filter(F.col("query_table") != F.col("cand_table")).groupBy(*PAIR).agg(
+    far = F.col("query_table") != F.col("cand_table")
+    if from_gap is not None:
+        c = c.join(sizes.select(F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"),
+                                F.col("part").alias("c_part")), ["cand_table", "cand_col"])
+        far &= F.col("c_part") - F.col("q_part") >= from_gap
+    hits = q.join(c, "value").filter(far).groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
     found = hits.filter(F.col("hits") >= F.col("need"))
     return containment(sets, found).filter(F.col("containment") >= threshold)
 
 
+def candidate_pairs(sets: DataFrame, sigs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``PAIR`` rows: the columns of other tables that may contain ``threshold`` of a column, whatever the sizes.
+
+    Columns of similar size come from the bands of the size index, unverified; parts so much larger
+    that no band shape is sure enough are asked by drawn values, which are verified.
+    """
+    first = sigs.select(F.size("sig")).first()
+    gap, num_perm = least_gap(threshold), first[0] if first else 0
+    while band_shape(gap, threshold, num_perm):
+        gap += 1
+    near = banded_pairs(sigs, set_sizes(sets), threshold)
+    return near.unionByName(containment_pairs(sets, threshold, gap).select(*PAIR))
+
+
 def containment_filter(sigs: DataFrame, sizes: DataFrame, candidates: DataFrame, threshold: float = 0.8,
                        num_part: int = 32, num_perm: int = 128) -> DataFrame:
     """Keep the candidates of each query that probably contain ``threshold`` of it.

@@ -12,6 +12,7 @@ from lakefind.operators import union_search as U
 from lakefind.operators import vectors as V
 from lakefind.plans.registry import query
 from lakefind.plans.views import cells, clusters, col_vectors, read, with_views
+from lakefind.session import materialize
 
 # --- vectors ---------------------------------------------------------------------------------
 
@@ -302,15 +303,32 @@ MINHASH = [
     ("sigs!", "SELECT table_id, col_idx, i, min(CAST((a::HUGEINT * h + b) % 2305843009213693951 AS BIGINT)) AS low FROM hashed, "
              "perms GROUP BY 1, 2, 3"),
 ]
-# Column pairs of different tables that agree in both positions of some band of two.
+# Columns of different tables: near sizes by bands tuned to the pair of size parts, far sizes by their shared values.
+CONTAINED = 0.5
+_LOW, _RECALL = S.least_gap(CONTAINED), S.INDEX_RECALL
 PAIRS = [
-    ("sketch_bands", "SELECT table_id, col_idx, i // 2 AS band, string_agg(low, ',' ORDER BY i) AS key FROM sigs GROUP BY 1, 2, 3"),
-    ("pairs!", "SELECT DISTINCT q.table_id AS query_table, q.col_idx AS query_col, c.table_id AS cand_table, c.col_idx AS cand_col "
-               "FROM sketch_bands q JOIN sketch_bands c ON q.band = c.band AND q.key = c.key WHERE q.table_id <> c.table_id"),
+    ("sizes", "SELECT table_id, col_idx, count(*) AS n FROM vals GROUP BY 1, 2"),
+    ("parts", "SELECT *, length(bin(n * n)) - 1 AS part FROM sizes"),
+    ("index_shapes", f"SELECT gap, r, b FROM (SELECT gap, r, b, row_number() OVER (PARTITION BY gap ORDER BY r DESC, b) AS rn FROM "
+                     f"(SELECT unnest(range({_LOW}, 60)) AS gap), (SELECT r, unnest(range(1, {NUM_PERM} // r + 1)) AS b FROM "
+                     f"(SELECT unnest(range({S.MIN_BAND_ROWS}, {S.MAX_BAND_ROWS + 1})) AS r)) WHERE "
+                     f"1 - (1 - ({CONTAINED}::DOUBLE / (1 + 2 ** ((gap + 1) / 2.0::DOUBLE) - {CONTAINED})) ** r) ** b >= {_RECALL}) WHERE rn = 1"),
+    ("sketch_bands", "SELECT table_id, col_idx, r, i // r AS band, string_agg(low, ',' ORDER BY i) AS key FROM sigs, "
+                     "(SELECT DISTINCT r FROM index_shapes) GROUP BY 1, 2, 3, 4"),
+    ("near_pairs", "SELECT DISTINCT x.table_id AS query_table, x.col_idx AS query_col, y.table_id AS cand_table, y.col_idx AS cand_col "
+                   "FROM parts x JOIN parts y ON x.table_id <> y.table_id JOIN index_shapes s ON s.gap = y.part - x.part "
+                   "JOIN sketch_bands q ON q.table_id = x.table_id AND q.col_idx = x.col_idx AND q.r = s.r AND q.band < s.b "
+                   "JOIN sketch_bands c ON c.table_id = y.table_id AND c.col_idx = y.col_idx AND c.r = s.r AND c.band = q.band "
+                   "AND c.key = q.key"),
+    ("far_pairs", "SELECT x.table_id AS query_table, x.col_idx AS query_col, y.table_id AS cand_table, y.col_idx AS cand_col "
+                  "FROM (SELECT a.table_id AS qt, a.col_idx AS qc, b.table_id AS ct, b.col_idx AS cc, count(*) AS shared FROM vals a "
+                  "JOIN vals b ON a.value = b.value AND a.table_id <> b.table_id GROUP BY 1, 2, 3, 4) JOIN parts x ON x.table_id = qt "
+                  "AND x.col_idx = qc JOIN parts y ON y.table_id = ct AND y.col_idx = cc WHERE y.part - x.part > "
+                  f"(SELECT max(gap) FROM index_shapes) AND shared / x.n >= {CONTAINED}"),
+    ("pairs!", "SELECT * FROM near_pairs UNION ALL SELECT * FROM far_pairs"),
 ]
 OVERLAP = [
     *MINHASH,
-    ("sizes", "SELECT table_id, col_idx, count(*) AS n FROM vals GROUP BY 1, 2"),
     *PAIRS,
     ("shared", "SELECT query_table, query_col, cand_table, cand_col, count(*) AS join_size FROM pairs p JOIN vals a ON "
                "a.table_id = query_table AND a.col_idx = query_col JOIN vals b ON b.table_id = cand_table AND "
@@ -328,8 +346,9 @@ def sigs(spark, sf):
 
 
 def found_pairs(spark, sf):
-    """Column pairs that the sketch index finds in the whole lake."""
-    return S.candidate_pairs(sigs(spark, sf))
+    """Column pairs that the containment index finds in the whole lake."""
+    sets = materialize(O.value_sets(cells(spark, sf)))
+    return materialize(S.candidate_pairs(sets, materialize(S.minhash(sets, NUM_PERM)), CONTAINED))
 
 
 def _ids(df, *more):

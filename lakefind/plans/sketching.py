@@ -8,7 +8,7 @@ from lakefind.functions.ranking import rank_within
 from lakefind.operators import overlap as O
 from lakefind.operators import sketch as S
 from lakefind.plans.registry import query
-from lakefind.plans.searching import MINHASH, NUM_PERM, OVERLAP, OVERLAP_IDS, PAIRS, VALUES, _ids, found_pairs, sigs
+from lakefind.plans.searching import CONTAINED, MINHASH, NUM_PERM, OVERLAP, OVERLAP_IDS, PAIRS, VALUES, _ids, found_pairs, sigs
 from lakefind.plans.views import cells, with_views
 from lakefind.session import materialize
 
@@ -122,7 +122,7 @@ HELD = [
     f"SELECT {OVERLAP_IDS}, round(join_size / n, 6) AS containment FROM held JOIN sizes ON table_id = query_table AND "
     "col_idx = query_col WHERE join_size / n >= 0.5")))
 def _(spark, sf):
-    """Containing columns whatever the sizes; ``candidate_pairs`` finds columns of similar size."""
+    """Containing columns with their exact containment."""
     return _ids(S.containment_pairs(O.value_sets(cells(spark, sf)), 0.5), F.round("containment", 6).alias("containment"))
 
 
@@ -130,10 +130,10 @@ def _(spark, sf):
     "query_col ORDER BY round(containment, 9) DESC, cand_table, cand_col) AS rank FROM contained e JOIN kept USING (query_table, query_col, "
     "cand_table, cand_col)"), select=f"SELECT {OVERLAP_IDS}, round(containment + 1e-9, 6) AS containment, rank FROM again"))
 def _(spark, sf):
-    """Candidates found by bands, filtered by size-tuned bands, ordered by estimated containment."""
-    sets = O.value_sets(cells(spark, sf))
+    """Candidates found by the containment index, filtered by size-tuned bands, ordered by estimated containment."""
+    sets = materialize(O.value_sets(cells(spark, sf)))
     signatures = materialize(S.minhash(sets, NUM_PERM))
-    kept = S.containment_filter(signatures, O.set_sizes(sets), S.candidate_pairs(signatures), 0.5, num_perm=NUM_PERM)
+    kept = S.containment_filter(signatures, O.set_sizes(sets), S.candidate_pairs(sets, signatures, CONTAINED), 0.5, num_perm=NUM_PERM)
     listed = rank_within(kept, ["query_table", "query_col"], [F.col("cand_table"), F.col("cand_col")], "rank")
     ranked = S.rerank(listed, S.estimate(signatures, kept))
     return _ids(ranked, F.round(F.col("containment") + 1e-9, 6).alias("containment"), "rank")

@@ -95,5 +95,57 @@ def test_containment_pairs_whatever_the_sizes(spark):
     want = {pair: share for pair, share in want.items() if share >= 0.5}
     got = {(r.query_table, r.cand_table): r.containment for r in S.containment_pairs(df, 0.5).collect()}
     assert got == pytest.approx(want) and len(got) > 30
-    banded = {(r.query_table, r.cand_table) for r in S.candidate_pairs(S.minhash(df)).collect()}
-    assert len(banded & set(want)) < 0.5 * len(want)
+    sigs, sizes = S.minhash(df).cache(), O.set_sizes(df)
+    banded = {(r.query_table, r.cand_table) for r in S.banded_pairs(sigs, sizes, 0.5).collect()}
+    assert len(banded & set(want)) < 0.5 * len(want)  # what bands alone can find
+    found = [(r.query_table, r.cand_table) for r in S.candidate_pairs(df, sigs, 0.5).collect()]
+    assert len(found) == len(set(found)) and len(set(found) & set(want)) >= 0.9 * len(want)
+    gap = S.least_gap(0.5)
+    while S.band_shape(gap, 0.5, 128):
+        gap += 1
+    part = {t: int(2 * np.log2(len(v))) for t, v in held.items()}
+    far = {p for p in want if part[p[1]] - part[p[0]] >= gap}
+    assert {(r.query_table, r.cand_table) for r in S.containment_pairs(df, 0.5, gap).collect()} == far
+    assert far <= set(found)
+
+
+def test_band_index_finds_similar_sizes(spark):
+    rng = np.random.default_rng(7)
+    columns = {}
+    for i in range(60):
+        n = int(rng.integers(30, 400))
+        columns[f"q{i}"] = [f"{i}_{k}" for k in range(n)]
+        share = float(rng.choice([0.2, 0.5, 0.75, 1.0]))
+        more = int(n * rng.uniform(0, 0.4))
+        columns[f"c{i}"] = columns[f"q{i}"][: int(np.ceil(share * n))] + [f"x{i}_{k}" for k in range(more)]
+    df = sets(spark, **columns).cache()
+    held = {t: set(v) for t, v in columns.items()}
+    part = {t: int(2 * np.log2(len(v))) for t, v in held.items()}
+    want = {(q, c) for q in held for c in held if q != c and len(held[q] & held[c]) >= 0.5 * len(held[q])
+            and S.band_shape(part[c] - part[q], 0.5, 128)}
+    got = {(r.query_table, r.cand_table) for r in S.banded_pairs(S.minhash(df), O.set_sizes(df), 0.5).collect()}
+    assert len(want) > 50 and len(got & want) >= 0.95 * len(want)
+    assert len(got) < 4 * len(want)
+
+
+def test_copies_and_long_lists_of_a_band(spark, monkeypatch):
+    monkeypatch.setattr(S, "LONG_LIST", 3)
+    columns = {f"t{i}": [f"v{k}" for k in range(20 + i % 2)] for i in range(24)}
+    columns["near"] = [f"v{k}" for k in range(18)] + ["own"]
+    df = sets(spark, **columns).cache()
+    got = [(r.query_table, r.cand_table) for r in S.candidate_pairs(df, S.minhash(df), 0.5).collect()]
+    assert len(got) == len(set(got)) == 25 * 24
+
+
+def test_size_parts_and_shapes(spark):
+    sizes = [1, 2, 3, 4, 5, 7, 8, 1000, 2**30, 2**31 - 1]
+    got = spark.createDataFrame([(n,) for n in sizes], "n bigint").select(S.size_part("n")).collect()
+    assert [r[0] for r in got] == [(n * n).bit_length() - 1 for n in sizes]
+    assert S.least_gap(0.5) == -2 and S.least_gap(1.0) == 0
+    for t in (0.5, 0.8):
+        for gap in range(S.least_gap(t), 10):
+            if shape := S.band_shape(gap, t, 128):
+                b, r = shape
+                j = t / (1 + 2 ** ((gap + 1) / 2) - t)
+                assert b * r <= 128 and r >= 2 and 1 - (1 - j**r) ** b >= 0.95
+    assert S.sampled(0.5) == 128 and S.sampled(0.1) == 1152 and S.sampled(0.9) == 64
