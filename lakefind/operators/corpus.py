@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakefind.functions import text as T
-from lakefind.functions.ranking import rank_within, running, seeded, unit
+from lakefind.functions.ranking import lowest, rank_within, running, seeded, share, unit
 from lakefind.session import materialize
 
 STEPS = {
@@ -112,19 +114,14 @@ def top_lexicon(lex: DataFrame, frac: float = 0.05, kind: str = "cell") -> DataF
     weighed = lex.withColumn("cnt", F.when(F.col("text") == T.MISSING[kind], 0).otherwise(F.col("cnt")))
     ranked = rank_within(weighed, [], [F.desc("cnt"), F.col("text")])
     size = lex.agg(F.count(F.lit(1))).scalar()
-    kept = materialize(ranked.filter(F.col("rank") <= F.floor(size * F.lit(frac))))
+    kept = materialize(ranked.filter(F.col("rank") <= F.floor(share(F.lit(size), frac))))
     return kept.select("text", "cnt", "rank", (F.col("cnt") / kept.agg(F.sum("cnt")).scalar()).alias("p"))
 
 
 def _picked(items: DataFrame, ids: list[str], ratio: float, seed: int, salt: str) -> DataFrame:
     """Mark ``round(ratio * n)`` items per table, chosen by hash."""
-    n = items.groupBy("table_id").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_within(items, ["table_id"], [seeded(f"{seed}{salt}", "table_id", *ids), *map(F.col, ids)], "_rank")
-    return (
-        ranked.join(n, "table_id")
-        .withColumn("picked", F.col("_rank") <= F.bround(F.col("_n") * F.lit(ratio)))
-        .drop("_n", "_rank")
-    )
+    hashed = seeded(f"{seed}{salt}", "table_id", *ids)
+    return lowest(items, ["table_id"], hashed, ids, lambda n: F.bround(share(n, ratio)), "picked")
 
 
 def _with_picks(cells: DataFrame, ratio: float, seed: int) -> DataFrame:
@@ -188,18 +185,15 @@ def corrupt_replace(cells: DataFrame, cell_lex: DataFrame, head_lex: DataFrame,
 
 def edge_views(incidence: DataFrame, drop: float = 0.3, seeds: tuple[int, int] = (1, 2)) -> DataFrame:
     """Two independent random keeps of ``floor(n * (1 - drop))`` incidences per table."""
-    n = incidence.groupBy("table_id").agg(F.count(F.lit(1)).alias("_n"))
-    out = incidence.join(n, "table_id")
+    keep = Decimal(1) - Decimal(str(drop))
     for view, seed in enumerate(seeds, 1):
-        order = [seeded(seed, "table_id", "node_id", "edge_id"), F.col("node_id"), F.col("edge_id")]
-        out = rank_within(out, ["table_id"], order, "_rank").withColumn(
-            f"view_{view}", (F.col("_rank") <= F.floor(F.col("_n") * F.lit(1 - drop))).cast("int")).drop("_rank")
-    return out.drop("_n")
+        hashed = seeded(seed, "table_id", "node_id", "edge_id")
+        incidence = lowest(incidence, ["table_id"], hashed, ["node_id", "edge_id"], lambda n: F.floor(share(n, keep)), "_in")
+        incidence = incidence.withColumn(f"view_{view}", F.col("_in").cast("int")).drop("_in")
+    return incidence
 
 
 def split(df: DataFrame, ids: list[str], valid_ratio: float = 0.05, seed: int = 42) -> DataFrame:
     """Mark ``floor(n * valid_ratio)`` rows as ``valid``, the same ones on every run."""
-    size = df.agg(F.count(F.lit(1))).scalar()
-    ranked = rank_within(df, [], [seeded(seed, *ids), *map(F.col, ids)], "_rank")
-    valid = F.col("_rank") <= F.floor(size * F.lit(valid_ratio))
-    return ranked.withColumn("part", F.when(valid, F.lit("valid")).otherwise(F.lit("train"))).drop("_rank")
+    marked = lowest(df, [], seeded(seed, *ids), ids, lambda n: F.floor(share(n, valid_ratio)), "_valid")
+    return marked.withColumn("part", F.when(F.col("_valid"), F.lit("valid")).otherwise(F.lit("train"))).drop("_valid")

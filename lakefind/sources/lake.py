@@ -229,7 +229,7 @@ def to_cells(df: DataFrame, columns: dict[str, Column], headers: dict[str, Colum
     return (
         wide.unpivot(["table_id", "row_idx", *heads], list(slots), "slot", "value")
         .withColumn("col_idx", F.col("slot").cast("int"))
-        .select("table_id", "row_idx", "col_idx", F.element_at(names, F.col("col_idx") + 1).alias("col_name"), "value")
+        .select("table_id", "row_idx", "col_idx", F.get(names, F.col("col_idx")).alias("col_name"), "value")
     )
 
 

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakefind.functions.ranking import rank_within, running, seeded, unit
+from lakefind.functions.ranking import lowest, rank_within, running, seeded, share, unit
+from lakefind.functions import ranking as R
+from lakefind.operators import corpus as C
 
 
 @pytest.fixture(params=["1", "4", "13"])
@@ -55,3 +57,32 @@ def test_hash_does_not_depend_on_partitions(spark):
     df = spark.range(100).withColumn("h", seeded(42, "id")).withColumn("u", unit(F.col("h")))
     once, again = ({r.id: (r.h, r.u) for r in df.repartition(n).collect()} for n in (1, 8))
     assert once == again and all(0 <= u < 1 for _, u in once.values())
+
+
+def test_shares_are_exact(spark):
+    df = spark.createDataFrame([(n,) for n in (0, 1, 10, 22_500, 10**15 + 10)], "n bigint")
+    got = [(r[0], r[1], r[2]) for r in df.select("n", F.floor(share("n", 0.7)), F.bround(share("n", 0.15))).collect()]
+    assert [g[1] for g in got] == [g[0] * 7 // 10 for g in got]
+    assert [int(g[2]) for g in got] == [0, 0, 2, 3375, 15 * 10**13 + 2]
+
+
+@pytest.mark.parametrize("bucket", [1024, 4])
+def test_lowest_is_the_sorted_choice(spark, monkeypatch, bucket):
+    monkeypatch.setattr(R, "BUCKET_ROWS", bucket)
+    df = rows(spark).withColumn("g", F.when(F.col("g") != "few", F.col("g"))).withColumn("_n", F.lit("x"))  # and a null group
+    hashed = seeded(3, "x", "id")
+    for part in (0.0, 0.07, 0.5, 1.0):
+        got = lowest(df.withColumnRenamed("_n", "n"), ["g"], hashed, ["x", "id"], lambda n: F.floor(share(n, part)), "low")
+        got = got.withColumn("h", hashed).toPandas()
+        assert len(got) == 900
+        for _, own in got.groupby("g", dropna=False):
+            first = own.sort_values(["h", "x", "id"])[: int(round(len(own) * part * 100)) // 100]
+            assert set(own[own["low"]]["id"]) == set(first["id"])
+    alone = lowest(df.select("id"), [], seeded(1, "id"), ["id"], lambda n: F.lit(7), "low")
+    assert alone.columns == ["id", "low"] and alone.filter("low").count() == 7
+
+
+def test_edge_views_keep_an_exact_share(spark):
+    graph = spark.range(22_500).select(F.lit("t").alias("table_id"), F.col("id").alias("node_id"), (F.col("id") % 7).alias("edge_id"))
+    views = C.edge_views(graph, 0.3).agg(F.sum("view_1"), F.sum("view_2")).first()
+    assert tuple(views) == (15_750, 15_750)
