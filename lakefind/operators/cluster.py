@@ -15,12 +15,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lakefind.functions.ranking import rank_within, running
 from lakefind.functions.vectors import SCORE_DIGITS, has_nan, l2_normalize, matrix, normalized
-from lakefind.operators.knn import CHUNK, exact_topk, grid_apply, merge_topk, table_codes
+from lakefind.operators.knn import BLOCK, CHUNK, grid_apply, table_codes
 from lakefind.session import materialize
 
 METRICS = ("cosine", "euclidean")
@@ -56,11 +56,6 @@ def roots(parents: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 # --- average linkage -------------------------------------------------------------------------
 
 
-def _as_vectors(state: DataFrame) -> DataFrame:
-    return state.select(F.col("id").alias("table_id"), F.lit(0).alias("col_idx"),
-                        F.transform("total", lambda x: x / F.col("size")).alias("vec"))
-
-
 TREE = "round int, a string, b string, height double, size long"
 
 
@@ -87,6 +82,46 @@ def _merge_rest(number: int):
     return merge
 
 
+_STATE = ["id", "total", "size", "near", "score", "other", "height"]
+
+
+def _nearest_of_open(state: DataFrame, n: int, n_open: int) -> DataFrame:
+    """``(id, near, score)``: for the clusters without a known neighbour, the one with the largest mean cosine.
+
+    Blocks of open clusters meet blocks of all clusters; a task holds two blocks and hands on one row per open cluster.
+    """
+
+    def best(q: pa.Table, others: pa.Table) -> pa.Table:
+        ids, other_ids = q.column("id").to_numpy(), others.column("id").to_numpy()
+        order = np.argsort(other_ids)  # ties to the smaller id
+        other_ids, vec, other_vec = other_ids[order], matrix(q.column("vec")), matrix(others.column("vec"))[order]
+        own = np.searchsorted(other_ids, ids)
+        own[own == len(other_ids)] = 0
+        near, scores = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        for at in range(0, len(ids), CHUNK):
+            part = slice(at, at + CHUNK)
+            score = np.round(vec[part] @ other_vec.T, SCORE_DIGITS)
+            mine = np.flatnonzero(other_ids[own[part]] == ids[part])
+            score[mine, own[part][mine]] = -np.inf
+            near[part] = score.argmax(axis=1)
+            scores[part] = score[np.arange(len(score)), near[part]]
+        found = np.isfinite(scores)
+        return pa.table({"id": pa.array(ids[found], pa.string()), "near": pa.array(other_ids[near[found]], pa.string()),
+                         "score": pa.array(scores[found], pa.float64())})
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        mean = F.transform("total", lambda x: x / F.col("size"))
+        blocks = df.select("id", mean.alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own))
+        return blocks.withColumn(other, F.explode(F.array(*[F.lit(k) for k in range(n_other)])) if n_other < 64
+                                 else F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    n_q, n_l = -(-n_open // BLOCK), -(-n // BLOCK)
+    parts = dealt(state.filter("near IS NULL"), "_q", n_q, "_l", n_l).groupBy("_q", "_l").cogroup(
+        dealt(state, "_l", n_l, "_q", n_q).groupBy("_q", "_l")).applyInArrow(best, "id string, near string, score double")
+    first = F.min(F.struct((-F.col("score")).alias("far"), "near", "score")).alias("e")
+    return parts if n_l == 1 else parts.groupBy("id").agg(first).select("id", "e.near", "e.score")
+
+
 def merge_tree(pts: DataFrame, rest: int = 128) -> DataFrame:
     """All merges of average linkage with cosine distance: ``(round, a, b, height, size)``.
 
@@ -94,29 +129,43 @@ def merge_tree(pts: DataFrame, rest: int = 128) -> DataFrame:
     of their mean unit vectors, so a cluster is just a vector sum and a size.
     Every round merges all pairs of clusters that are each other's nearest;
     average linkage is reducible, so these merges are those of the sequential
-    tree.  A cluster is named by its smallest member and ``b`` joins ``a``.
-    The last ``rest`` clusters, a fixed small number, are merged in one task.
+    tree, and a cluster keeps its neighbour until that neighbour merges: no merged pair can be nearer than the nearer
+    of its parts.  So only merged clusters and those that lost their neighbour search again.
+    A cluster is named by its smallest member and ``b`` joins ``a``.
+    The last ``rest`` clusters, a fixed number whatever the lake, are too few to be worth a job per round: one task
+    merges them (``rest=0`` makes rounds to the end, with the same result).
     """
-    state = materialize(pts.select("id", l2_normalize("vec").alias("total"), F.lit(1).cast("long").alias("size")))
-    log, number = [], 1
-    while state.count() > max(1, rest):
-        vectors = _as_vectors(state)
-        near = materialize(merge_topk(exact_topk(vectors, vectors, 1, skip_table=True, unit=False), 1).select(
-            F.col("query_table").alias("a"), F.col("cand_table").alias("b"), "score"))
-        other = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        mutual = near.filter("a < b").join(other, ["a", "b"], "left_semi")
-        members = state.select(F.col("id").alias("b"), F.col("total").alias("b_total"), F.col("size").alias("b_size"))
-        merged = materialize(
-            mutual.join(state.withColumnRenamed("id", "a"), "a").join(members, "b").select(
-                F.lit(number).alias("round"), "a", "b", F.round(1 - F.col("score"), SCORE_DIGITS).alias("height"),
-                (F.col("size") + F.col("b_size")).alias("size"),
-                F.zip_with("total", "b_total", lambda x, y: x + y).alias("total")))
-        log.append(merged.drop("total"))
-        gone = merged.select(F.explode(F.array("a", "b")).alias("id"))
-        state = materialize(
-            state.join(gone, "id", "left_anti").unionByName(merged.select(F.col("a").alias("id"), "total", "size")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(_STATE[3:], ("string", "double", "string", "double"))]
+    state = materialize(pts.select("id", l2_normalize("vec").alias("total"), F.lit(1).cast("long").alias("size"), *none))
+    log, number, n = [], 1, state.count()
+    n_open = n
+    while n > max(1, rest):
+        searched = _nearest_of_open(state, n, n_open)
+        kept = state.filter("near IS NOT NULL").select("id", "near", "score")
+        near = materialize(kept.unionByName(searched))
+        x, y = near.alias("x"), near.alias("y")
+        pairs = x.join(y, (F.col("x.near") == F.col("y.id")) & (F.col("x.id") == F.col("y.near"))).filter("x.id < x.near")
+        gone = pairs.select(F.explode(F.array("x.id", "x.near")).alias("member"), F.col("x.id").alias("into"))
+        lost = gone.select(F.col("member").alias("near"), F.lit(True).alias("lost"))
+        known = near.join(gone.withColumnRenamed("member", "id"), "id", "left").join(lost, "near", "left")
+        rows = state.select("id", "total", "size").join(known, "id")
+        member = F.struct("id", "total", "size", F.when(F.col("lost").isNull(), F.col("near")).alias("near"), "score")
+        m = F.sort_array(F.collect_list(member)).alias("m")  # one or two
+        grouped = rows.groupBy(F.coalesce("into", "id").alias("id")).agg(m).withColumns(
+            {"p": F.col("m")[0], "q": F.get("m", F.lit(1))})
+        two = F.col("q").isNotNull()
+        left = Observation()
+        merged = grouped.select(
+            "id", F.when(two, F.zip_with("p.total", "q.total", lambda u, v: u + v)).otherwise(F.col("p.total")).alias("total"),
+            (F.col("p.size") + F.coalesce("q.size", F.lit(0))).alias("size"), F.when(~two, F.col("p.near")).alias("near"),
+            F.when(~two, F.col("p.score")).alias("score"), F.col("q.id").alias("other"),
+            F.when(two, F.round(1 - F.col("p.score"), SCORE_DIGITS)).alias("height"))
+        state = materialize(merged.observe(left, F.count(F.lit(1)).alias("n"), F.count_if(F.col("near").isNull()).alias("open")))
+        log.append(state.filter("other IS NOT NULL").select(
+            F.lit(number).alias("round"), F.col("id").alias("a"), F.col("other").alias("b"), "height", "size"))
+        n, n_open = left.get["n"], left.get["open"]
         number += 1
-    log.append(state.coalesce(1).mapInPandas(_merge_rest(number), TREE))
+    log.append(state.select("id", "total", "size").coalesce(1).mapInPandas(_merge_rest(number), TREE))
     return materialize(reduce(DataFrame.unionByName, log))
 
 
