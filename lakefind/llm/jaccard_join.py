@@ -26,8 +26,8 @@ Shingles and classes are known by 64-bit hashes; the chance that a join of
 10**9 classes meets one class collision is about 3 %.
 
 Defined results: null, empty or blank texts have the empty set, link with
-nothing and are their own component (their own doc_id).  Rows that share
-doc_id are told apart by their text.  A row with a null id takes part, but the component is
+nothing and are their own component (their own doc_id).  Very long texts are sets like others, of all their shingles.
+Rows that share doc_id are told apart by their text.  A row with a null id takes part, but the component is
 named by the smallest non-null id, and is null if there is none.  Further columns are
 ignored.  An empty table gives an empty result.
 """
@@ -42,7 +42,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lakefind.llm.common import WordHash, mix, packed, shingle_runs, short_batches, table, words_of
+from lakefind.llm.common import (
+    WordHash, mix, packed, shingle_runs, short_batches, shuffle_partitions, table, words_of)
 from lakefind.llm.components import components
 from lakefind.plans.registry import query
 from lakefind.session import materialize
@@ -82,15 +83,20 @@ def sketch_bits(n_docs: int) -> int:
     return int(min(MAX_BITS, max(MIN_BITS, n_docs.bit_length() + 6)))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, body, text): rows known by id and text, so that equal or null ids are told apart."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64("text").alias("body"), "text")
+
+
 def measured(docs: DataFrame, bits: int) -> DataFrame:
-    """Written rows (doc, n, cls) per document and (part, counts) per task and slice of the sketch."""
+    """Written rows (doc, body, n, cls) per document and (part, counts) per task and slice of the sketch; body is the text's hash."""
     import zstandard
 
     part = 1 << min(bits, PART_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sketch = WordHash(), None
-        names = ["doc", "n", "cls", "part", "counts"]
+        names = ["doc", "body", "n", "cls", "part", "counts"]
         for b in batches:
             if not b.num_rows:
                 continue
@@ -99,7 +105,7 @@ def measured(docs: DataFrame, bits: int) -> DataFrame:
             np.add.at(sketch, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), 1)
             n, none = len(sets), pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays([
-                b.column("doc"), pa.array([len(s) for s in sets], pa.int64()),
+                b.column("doc"), b.column("body"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([class_id(s) for s in sets], pa.int64()),
                 none.cast(pa.int32()), none.cast(pa.binary())], names)
         if sketch is not None:
@@ -107,12 +113,11 @@ def measured(docs: DataFrame, bits: int) -> DataFrame:
             slices = [k for k in range(len(sketch) // part) if sketch[k * part:(k + 1) * part].any()]
             n, none = len(slices), pa.nulls(len(slices)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([
-                none, none, none, pa.array(slices, pa.int32()),
+                none, none, none, none, pa.array(slices, pa.int32()),
                 pa.array([pack.compress(sketch[k * part:(k + 1) * part].tobytes()) for k in slices], pa.binary())],
                 names)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
-    return materialize(rows.mapInArrow(run, "doc bigint, n bigint, cls bigint, part int, counts binary"))
+    return materialize(keyed(docs).mapInArrow(run, "doc bigint, body bigint, n bigint, cls bigint, part int, counts binary"))
 
 
 def sketch_levels(rows: DataFrame, bits: int) -> np.ndarray:
@@ -201,13 +206,24 @@ def postings(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
-    """Written postings of shingles that more than one class has, each with the class that leads the list."""
-    each, whole = Window.partitionBy("tok", "cls").orderBy("pos"), Window.partitionBy("tok")
-    lead = F.max(F.struct("typ", "cls", "n", "need", "pos")).over(whole)
-    rows = rows.repartition("tok").withColumn("copy", F.row_number().over(each)).where("copy = 1")
-    rows = rows.withColumn("lead", lead).withColumn("low", F.min("cls").over(whole)).withColumn(
-        "high", F.max("cls").over(whole)).where("low <> high")
-    return materialize(rows.select("tok", "cls", "n", "need", "pos", "typ", "long", "mixed", "p", "q", "lead"))
+    """Written postings of shingles that more than one class has, each with the class that leads the list.
+
+    Lists that may be long are dealt over slices by class, so a shingle of a third of all classes is no single
+    task; their leader is the grouped maximum of the slices' leaders, joined back.
+    """
+    slices = shuffle_partitions(rows.sparkSession)
+    part = F.when(F.col("long"), F.pmod(F.xxhash64("cls"), F.lit(slices)).cast("int")).otherwise(F.lit(0))
+    each, whole = Window.partitionBy("tok", "slice", "cls").orderBy("pos"), Window.partitionBy("tok", "slice")
+    rows = rows.withColumn("slice", part).repartition("tok", "slice")
+    rows = rows.withColumn("copy", F.row_number().over(each)).where("copy = 1")
+    rows = rows.withColumn("lead", F.max(F.struct("typ", "cls", "n", "need", "pos")).over(whole)).withColumn(
+        "low", F.min("cls").over(whole)).withColumn("high", F.max("cls").over(whole)).where("long or low <> high")
+    names = ["tok", "cls", "n", "need", "pos", "typ", "long", "mixed", "p", "q", "lead"]
+    rows = materialize(rows.select(*names, "low", "high"))
+    led = rows.where("long").groupBy("tok").agg(F.max("lead").alias("lead"), F.min("low").alias("low"), F.max("high").alias("high"))
+    led = bounded(materialize(led.where("low <> high").select("tok", "lead")))
+    long = materialize(rows.where("long").drop("lead").join(led, "tok").select(*names))
+    return rows.where("not long").select(*names).unionByName(long)
 
 
 def meets(n: Column, pos: Column, other_n: Column, other_pos: Column, need: Column) -> Column:
@@ -258,8 +274,9 @@ def further_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> Dat
     The measure belongs to the class, so the lists of a group of copies agree on whom to compare with.
     """
     rows = labelled(lists, labels)
-    lead = F.max(F.when(F.col("outside"), F.struct("typ", "cls", "n", "need", "pos", "label"))).over(Window.partitionBy("tok"))
-    rows = rows.withColumn("lead", lead).where(F.col("label") != F.col("lead.label"))
+    lead = F.max(F.struct("typ", "cls", "n", "need", "pos", "label"))  # grouped and joined back: lists may be long
+    led = rows.where("outside").groupBy("tok").agg(lead.alias("lead"))
+    rows = rows.join(led, "tok").where(F.col("label") != F.col("lead.label"))
     known = bounded(tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = leader_pairs(rows).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(known, ["a", "b"], "left_anti")
@@ -307,20 +324,21 @@ def enough_matches(pairs: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Written (cls, tokens) for the (doc, cls) rows of ``wanted``, from whole texts."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").join(bounded(wanted), "doc")
+    """Written (cls, tokens) for the (doc, body, cls) rows of ``wanted``, from whole texts; repeated rows count once a task."""
+    r, w = keyed(docs).alias("r"), bounded(wanted).alias("w")
+    rows = r.join(w, F.col("r.doc").eqNullSafe(F.col("w.doc")) & (F.col("r.body") == F.col("w.body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, done = WordHash(), set()
         for b in batches:
             if b.num_rows:
                 pairs = zip(token_sets(b, known), b.column("cls").to_pylist(), strict=True)
-                own = [(c, s.tobytes()) for s, c in pairs if class_id(s) == c]  # not another text of this id
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())],
-                    ["cls", "tokens"])
+                own = {c: s.tobytes() for s, c in pairs if c not in done and class_id(s) == c}
+                done.update(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["cls", "tokens"])
 
-    return materialize(rows.select("text", "cls").mapInArrow(run, "cls bigint, tokens binary"))
+    return materialize(rows.select("r.text", "w.cls").mapInArrow(run, "cls bigint, tokens binary"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, first_doc: DataFrame) -> DataFrame:
@@ -330,7 +348,7 @@ def verified(docs: DataFrame, pairs: DataFrame, first_doc: DataFrame) -> DataFra
     dealt over several groups, each with its own copy of the leader's set.
     """
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = class_sets(docs, materialize(ends.join(first_doc, "cls").select("doc", "cls")))
+    sets = class_sets(docs, materialize(ends.join(first_doc, "cls").select(F.col("at.doc").alias("doc"), F.col("at.body").alias("body"), "cls")))
     groups = bounded(materialize(pairs.groupBy("a").agg(F.count("*").alias("members")).select(
         "a", F.floor(F.col("members") / MEMBERS).cast("int").alias("last"))))
     leaders = groups.join(sets.withColumnRenamed("cls", "a"), "a").select(
@@ -361,14 +379,16 @@ def verified(docs: DataFrame, pairs: DataFrame, first_doc: DataFrame) -> DataFra
     return materialize(streams.mapInArrow(run, "a bigint, b bigint"))
 
 
-def similarity_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id integer, text)."""
+def classified(docs: DataFrame) -> DataFrame:
+    """(doc, body, n, label, component_id) for every row of ``docs``; ``label`` names the component, null for empty sets."""
     short_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     bits = sketch_bits(docs.count())
     rows = measured(docs, bits)
-    of_doc = rows.where("part is null").select("doc", "n", "cls")
-    first_doc = materialize(of_doc.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc")))
+    of_doc = rows.where("part is null").select("doc", "body", "n", "cls")
+    # a class is loaded from one of its rows: with an id if there is one
+    at = F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "body"))
+    first_doc = materialize(of_doc.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), at.alias("at")))
     lists = shared_postings(postings(docs, sketch_levels(rows, bits), bits))
 
     near = materialize(leader_pairs(lists))
@@ -381,23 +401,33 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     more = verified(docs, rest, first_doc)
     labels = components(links.unionByName(more)).select(F.col("node").alias("cls"), "label")
 
-    named = first_doc.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = first_doc.select("cls", "doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    names = named.join(smallest, "label").select("cls", "component_id")
+    names = named.join(smallest, "label").select("cls", "label", "component_id")
     out = of_doc.join(names, "cls", "left")
-    return out.select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+    return out.select("doc", "body", "n", F.when(F.col("n") > 0, F.col("label")).alias("label"),
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def similarity_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id integer, text)."""
+    return classified(docs).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id names their component; rows that share an id stay or go together."""
-    found = similarity_components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    stay = found.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("stays")).distinct()
-    rows = packed(docs, id=F.col("doc_id").cast("bigint"))
-    named = rows.join(stay, rows["id"] == stay["stays"], "left_semi").select("row")
-    nameless = rows.where("id is null").select("row")  # cannot stand for a group, is never dropped
-    return named.unionByName(nameless).select("row.*")
+    """One row of each component: that with the smallest id, null ids last, then the smallest hash of the text.
+
+    Documents with the empty set link with nothing and stay, but of rows that repeat an id (or have none) one stays.
+    """
+    alone = F.when(F.col("label").isNull(), F.col("doc"))
+    rows = classified(docs).groupBy("label", alone.alias("alone"), "doc", "body").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "body", "copies")).alias("w")
+    stay = bounded(materialize(rows.groupBy("label", "alone").agg(first).select("w.doc", "w.body", "w.copies")))
+    whole = packed(docs, id=F.col("doc_id").cast("bigint"), text_hash=F.xxhash64("text")).alias("r")
+    kept = whole.join(stay.alias("w"), F.col("r.id").eqNullSafe(F.col("w.doc")) & (F.col("r.text_hash") == F.col("w.body")))
+    once = kept.where("w.copies = 1").select("r.row")
+    repeated = kept.where("w.copies > 1").groupBy("w.doc", "w.body").agg(F.first("r.row").alias("row")).select("row")
+    return once.unionByName(repeated).select("row.*")
 
 
 @query("op3_ngram_jaccard_join")

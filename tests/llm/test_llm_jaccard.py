@@ -86,6 +86,57 @@ def test_one_of_each_keeps_the_smallest_id_and_all_columns(spark):
     assert kept == [(False, k) for k in (1, 2, 3, 4, 6, 6, 7, 8, 10)] + [(True, 0)]
 
 
+def test_links_through_rows_without_an_id(spark):
+    """A and C are linked by N alone, whatever N's id is."""
+    base = words(21, 104).split()
+    a, c = list(base), list(base)
+    a[5:8], c[60:63] = ["edit1", "edit2", "edit3"], ["edit4", "edit5", "edit6"]
+    texts = [" ".join(x) for x in (a, base, c)]
+
+    def alike(x, y):
+        x, y = shingles(x), shingles(y)
+        return len(x & y) / len(x | y)
+
+    assert alike(texts[0], texts[1]) >= 0.8 and alike(texts[1], texts[2]) >= 0.8 > alike(texts[0], texts[2])
+    rows = [(1, texts[0]), (None, texts[1]), (None, texts[1]), (9, texts[2]), (None, words(3, 20)), (None, words(4, 20))]
+    assert sorted(repr(tuple(r)) for r in J.similarity_components(documents(spark, rows)).collect()) == brute(rows)
+
+
+def test_one_of_each_drops_repeated_rows(spark):
+    rows = [(2, words(8, 30))] * 3 + [(None, words(9, 30))] * 2 + [(3, "")] * 2 + [(4, None), (None, None), (None, None)]
+    rows += [(6, words(10, 50)), (6, words(10, 50) + " end")]  # one id, two texts that are near copies
+    out = [(r["doc_id"], r["text"]) for r in J.one_of_each(documents(spark, rows)).collect()]
+    assert len(out) == len(set(out)) and {d for d, _ in out} == {2, 3, 4, 6, None}
+    assert sorted(map(repr, (r for r in out if r[0] is None))) == sorted(map(repr, [(None, None), (None, words(9, 30))]))
+    assert sum(d == 6 for d, _ in out) == 1
+
+
+def test_a_third_of_all_rows_without_an_id(spark):
+    doc = None
+    copies = near_copies(31, 40, 60, 0)
+    rows = [(doc if k % 3 == 0 else 100 + k, t) for k, (_, t) in enumerate(copies)]
+    rows += [(doc, words(500 + k, 12)) for k in range(20)]
+    assert sorted(repr(tuple(r)) for r in J.similarity_components(documents(spark, rows)).collect()) == brute(rows)
+
+
+def test_long_lists_are_dealt_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(J, "LONG_LIST", 1)
+    rows = near_copies(41, 50, 80, 0) + [(100 + k, f"{words(77, 30)} {words(k, 60)}") for k in range(25)]
+    rows += near_copies(42, 10, 40, 200)
+    docs = documents(spark, rows)
+    assert sorted(repr(tuple(r)) for r in J.similarity_components(docs).collect()) == brute(rows)
+    bits = J.sketch_bits(len(rows))
+    lists = J.shared_postings(J.postings(docs, J.sketch_levels(J.measured(docs, bits), bits), bits)).collect()
+    assert any(r["long"] for r in lists)
+    own = defaultdict(list)
+    for r in lists:
+        own[r["tok"]].append(r)
+    for of_tok in own.values():
+        assert len({r["cls"] for r in of_tok}) == len(of_tok) > 1
+        top = max((r["typ"], r["cls"]) for r in of_tok)
+        assert {(r["lead"]["typ"], r["lead"]["cls"]) for r in of_tok} == {top}
+
+
 def test_empty_table(spark):
     assert J.similarity_components(documents(spark, [])).count() == 0
 
