@@ -16,7 +16,7 @@ shuffled once.
 
 Defined results: a null text is empty; an empty text has the all-zero digest,
 and two empty texts are alike (1.0), an empty and another text are not (0.0).  Rows that share an id come in the order of their
-text.  A null id sorts first.  A single document is its own next one.
+64-bit text hash, then their text.  A null id sorts first.  A single document is its own next one.
 Further columns are ignored.  An empty table gives an empty result.
 """
 
@@ -105,8 +105,9 @@ def neighbours(docs: DataFrame, compare: Callable[[int | None, str, str], tuple]
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    rows = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    # ranges of id and text hash: rows that share an id, or have none, spread over slices too
+    rows = rows.repartitionByRange(shuffle_partitions(spark), *order[:2]).sortWithinPartitions(*order)
     rows = rows.withColumn("slice", F.spark_partition_id())
     done = spark.createDataFrame([], schema).schema
     arrow = [(f.name, f.dataType.simpleString()) for f in done.fields]

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from lakefind.llm import fingerprint as D
 from lakefind.plans.registry import QUERIES
@@ -34,8 +35,14 @@ def test_digests_and_likeness():
     assert all(0 <= D.likeness(D.digest(a), D.digest(b)) <= 1 for a in ("a", "é", "x" * 99) for b in ("b", text))
 
 
+def text_hash(text):
+    """Spark's 64-bit hash of a text, as it orders rows that share an id."""
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (h >> 63 << 64)
+
+
 def direct(rows):
-    full = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    full = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1]), r[1].encode()))
     return [D.edit_report(i, t, full[(k + 1) % len(full)][1]) for k, (i, t) in enumerate(full)]
 
 
@@ -60,6 +67,6 @@ def test_edited_texts_are_nearer_than_other_texts(spark):
     got = QUERIES["op8_document_fingerprints"](spark, SF).collect()
     docs = sorted(tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     assert sorted(map(tuple, got)) == sorted(direct(docs))
-    assert len({hashlib.sha256(t.encode()).hexdigest() for _, t in docs}) == len({r["fingerprint"] for r in got}) or len(got)
+    assert len({hashlib.sha256(t.encode()).hexdigest() for _, t in docs}) >= len({r["fingerprint"] for r in got})
     sure = [r for r in got if r["n_chars"] >= 200]
     assert sum(r["near_edited"] > r["near_next"] for r in sure) >= 0.97 * len(sure)
