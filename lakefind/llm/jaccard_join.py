@@ -221,7 +221,7 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     names = ["tok", "cls", "n", "need", "pos", "typ", "long", "mixed", "p", "q", "lead"]
     rows = materialize(rows.select(*names, "low", "high"))
     led = rows.where("long").groupBy("tok").agg(F.max("lead").alias("lead"), F.min("low").alias("low"), F.max("high").alias("high"))
-    led = bounded(materialize(led.where("low <> high").select("tok", "lead")))
+    led = led.where("low <> high").select("tok", "lead")
     long = materialize(rows.where("long").drop("lead").join(led, "tok").select(*names))
     return rows.where("not long").select(*names).unionByName(long)
 
@@ -273,7 +273,7 @@ def further_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> Dat
 
     The measure belongs to the class, so the lists of a group of copies agree on whom to compare with.
     """
-    rows = labelled(lists, labels)
+    rows = materialize(labelled(lists, labels))
     lead = F.max(F.struct("typ", "cls", "n", "need", "pos", "label"))  # grouped and joined back: lists may be long
     led = rows.where("outside").groupBy("tok").agg(lead.alias("lead"))
     rows = rows.join(led, "tok").where(F.col("label") != F.col("lead.label"))
@@ -422,9 +422,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     alone = F.when(F.col("label").isNull(), F.col("doc"))
     rows = classified(docs).groupBy("label", alone.alias("alone"), "doc", "body").agg(F.count("*").alias("copies"))
     first = F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "body", "copies")).alias("w")
-    stay = bounded(materialize(rows.groupBy("label", "alone").agg(first).select("w.doc", "w.body", "w.copies")))
+    stay = rows.groupBy("label", "alone").agg(first).select("w.doc", "w.body", "w.copies")
     whole = packed(docs, id=F.col("doc_id").cast("bigint"), text_hash=F.xxhash64("text")).alias("r")
-    kept = whole.join(stay.alias("w"), F.col("r.id").eqNullSafe(F.col("w.doc")) & (F.col("r.text_hash") == F.col("w.body")))
+    kept = whole.join(materialize(stay).alias("w"), F.col("r.id").eqNullSafe(F.col("w.doc")) & (F.col("r.text_hash") == F.col("w.body")))
     once = kept.where("w.copies = 1").select("r.row")
     repeated = kept.where("w.copies > 1").groupBy("w.doc", "w.body").agg(F.first("r.row").alias("row")).select("row")
     return once.unionByName(repeated).select("row.*")
