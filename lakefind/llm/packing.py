@@ -5,7 +5,8 @@ cut into full pieces and a rest; nothing else is cut.  A piece goes where the
 sum over residual gaps of (open sequences with this gap) squared becomes
 smallest: into an open sequence, or into a new one.  Ties take the smallest gap left, so a perfect fit comes first.
 
-Scale: pieces are dealt by hash over shards of about ``SHARD`` pieces, and each
+Scale: pieces are numbered and dealt by number over shards of about ``SHARD`` pieces, so a third of all
+rows under one id (or none) still fills all shards alike, and each
 shard is packed on its own from (id, piece, length) alone; the waste of a shard
 is a few open sequences, a fixed small share.  Token ids never go through a
 shuffle for packing.  A long text is tokenised segment by segment.
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakefind.functions.ranking import rank_within
 from lakefind.llm.common import short_batches, table
 from lakefind.plans.registry import query
+from lakefind.session import materialize
 
 CAPACITY, END = 2048, 0
 SHARD = 24_000
 SEGMENT = 1 << 20  # characters tokenised at once
-CACHE = 1_000_000  # blocks, about 200 MB
+CACHE = 150_000  # blocks, and runs of blocks, of one generation; two generations of both take about 100 MB
 #: Blocks that are one run of Latin letters and one run of ASCII signs: each run is a word of the tokenizer's model.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 
@@ -52,24 +55,39 @@ def default_tokenizer() -> str:
 
 
 class BlockEncoder:
-    """Ids of texts (little-endian uint32 bytes), each distinct block between white space encoded once."""
+    """Ids of texts (little-endian uint32 bytes), each distinct block between white space encoded once.
+
+    What is known is kept in two generations: when the young one is full it becomes the old one, and what is
+    met again moves back, so frequent blocks stay and memory is bounded.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
-        for word, k in self.tokenizer.get_vocab().items():
-            self.last[k] = word.endswith("</w>")
+        self.forget()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(len(vocabulary), bool)  # ids that end a word
+        self.last[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         # plain runs in lower case are what the normaliser would make of them, and blanks part them
-        self.simple = Tokenizer.from_file(path)
+        self.simple = Tokenizer(self.tokenizer.model)  # the same model, not a copy
         self.simple.normalizer = normalizers.Sequence([])
         self.simple.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self.known) > CACHE:
+            self.old_known, self.known = self.known, {}
+        if len(self.runs) > CACHE:
+            self.old_runs, self.runs = self.runs, {}
+
     @staticmethod
     def encode(tokenizer, text: str) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -88,9 +106,7 @@ class BlockEncoder:
             lo = hi
 
     def learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            self.runs.clear()
+        self.age()
         plain, other = [], []
         for b in new:
             m = PLAIN.fullmatch(b)
@@ -98,7 +114,14 @@ class BlockEncoder:
                 plain.append((b, m[1].lower(), m[2]))
             else:
                 other.append(b)
-        self.learn_runs({r for _, word, signs in plain for r in (word, signs) if r and r not in self.runs})
+        unknown = set()
+        for r in {r for _, word, signs in plain for r in (word, signs) if r and r not in self.runs}:
+            ids = self.old_runs.get(r)
+            if ids is None:
+                unknown.add(r)
+            else:
+                self.runs[r] = ids
+        self.learn_runs(unknown)
         for b, word, signs in plain:
             self.known[b] = self.runs.get(word, b"") + self.runs.get(signs, b"")
         for b in other:
@@ -121,9 +144,16 @@ class BlockEncoder:
             found = list(map(self.known.get, blocks))
             missing = [i for i, ids in enumerate(found) if ids is None]
             if missing:
-                self.learn({blocks[i] for i in missing})
+                new = set()
+                for block in {blocks[i] for i in missing}:
+                    ids = self.old_known.get(block)
+                    if ids is None:
+                        new.add(block)
+                    else:
+                        self.known[block] = ids
+                self.learn(new)
                 for i in missing:
-                    found[i] = self.known[blocks[i]]
+                    found[i] = self.known.get(blocks[i]) or self.old_known.get(blocks[i], b"")
             yield b"".join(found)
 
 
@@ -206,7 +236,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def placed(rows: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
-    """``rows`` of pieces with sequence_id and offset."""
+    """``rows`` of pieces, a written table, with sequence_id and offset."""
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
     def pack(shard: pd.DataFrame) -> pd.DataFrame:
@@ -216,7 +246,10 @@ def placed(rows: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
         shard["offset"] = offset
         return shard.drop(columns="shard")
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # equal shards whatever the ids: pieces are numbered over slices of a range, and copies told apart by their place
+    order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("_at")]
+    numbered = rank_within(rows.withColumn("_at", F.monotonically_increasing_id()), [], order, "_number").drop("_at")
+    dealt = numbered.withColumn("shard", F.pmod("_number", F.lit(shards))).drop("_number")
     return dealt.groupBy("shard").applyInPandas(pack, schema)
 
 
@@ -225,7 +258,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """Every piece of every document with its place."""
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     shards = -(-(size["n"] + (size["b"] or 0) // (4 * capacity)) // shard) or 1
-    return placed(pieces(docs, tokenizer, capacity), shards, capacity)
+    return placed(materialize(pieces(docs, tokenizer, capacity)), shards, capacity)
 
 
 def sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -42,6 +42,30 @@ def test_block_ids_are_the_tokenizers_ids(monkeypatch):
     assert [len(p) // 4 for p in P.cut(encoder, "a " * 2048, 2048)] == [2048, 1]
 
 
+def test_blocks_are_forgotten_in_generations(monkeypatch):
+    encoder = P.BlockEncoder(P.default_tokenizer())
+    text = " ".join([words(k, 40) + " the, of. " + words(k % 3, 9) for k in range(30)])
+    want = ids(encoder.tokenizer, text)
+    monkeypatch.setattr(P, "CACHE", 20)
+    monkeypatch.setattr(P, "SEGMENT", 90)
+    assert np.frombuffer(b"".join(P.cut(encoder, text, 16)), "<u4").tolist() == want
+    assert max(map(len, (encoder.known, encoder.old_known, encoder.runs, encoder.old_runs))) < 120
+    encoder.forget()
+    assert not encoder.known and not encoder.old_runs
+
+
+@pytest.mark.parametrize("doc", [None, 7])
+def test_one_id_for_a_third_of_all_rows_fills_all_shards_alike(spark, doc):
+    rows = [(k if k % 3 else doc, words(k % 3, 12 + k % 5)) for k in range(300)]
+    got = P.pack_documents(documents(spark, rows), capacity=64, shard=50).collect()
+    assert len(got) >= 300
+    shards = defaultdict(int)
+    for r in got:
+        shards[r["sequence_id"] >> 32] += 1
+    assert len(shards) > 5 and max(shards.values()) - min(shards.values()) <= 1
+    check_places(got, 64)
+
+
 def test_pieces_and_places_of_odd_rows(spark):
     rows = odd_rows()
     tokenizer = P.BlockEncoder(P.default_tokenizer()).tokenizer
