@@ -16,7 +16,8 @@ Defined results: null, empty and textless pages give an empty text.  Scripts, st
 frames, vector drawings and text fields are not text; mathematics and what stands inside objects, media, noscript and
 choice lists is inline text like any other.  A head without end tag ends at its first text or at the first tag that
 cannot stand in a head.  A line break counts as white space; all Unicode white space inside a block becomes
-one space.  Markup that never closes ends with the page.  Repeated rows get equal results; further
+one space.  An element that never closes ends with the page, a tag that never ends is text.  Very long and broken pages take time and
+memory in proportion to their length.  Repeated rows get equal results; further
 columns are kept in ``row``.  An empty table gives an empty result.
 """
 
@@ -25,7 +26,9 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,104 +51,172 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select"})}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>""", re.S)
+OPENING = re.compile(r"<(?:!--|/?[a-zA-Z]|[!?/])")
+NAME_END = re.compile(r"[\s/>]|\Z")
+ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+QUOTED = re.compile(r""""[^"]*+"|'[^']*+'""")
+#: Decimal references: leading zeros, and numbers of eight digits or more, beyond all code points.
+ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 WORD = re.compile(r"[a-z]+")
 MAX_PAGES, TRAINING_PAGES = 200, 400
 
 
-class Block:
-    """One leaf block: its text, its ancestors (tag, names) and how much of it is links."""
+class Node:
+    """An open element: its tag, class, id and role words, parent and nearest block-level tag."""
+
+    __slots__ = ("tag", "names", "up", "near")
+
+    def __init__(self, tag: str, names: tuple[str, ...], up: Node | None):
+        self.tag, self.names, self.up = tag, names, up
+        self.near = tag if tag in BLOCKS else up.near if up else ""
 
-    __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple, linked: int):
-        self.text, self.path, self.linked = text, path, linked
+class Block:
+    """One leaf block: its text, its innermost element and how much of it is links."""
+
+    __slots__ = ("text", "node", "linked")
+
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
+
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """The ancestors (tag, words), outermost first."""
+        found, node = [], self.node
+        while node:
+            found.append((node.tag, node.names))
+            node = node.up
+        return tuple(reversed(found))
+
+
+class Tags:
+    """The tags and comments of a page from left to right, in time linear in its length whatever the page holds.
+
+    A tag ends at the first ``>`` outside quotes.  One that never ends is text, and finding that out takes a pass to the
+    end of the page.  Later tags that begin outside the quotes of such a pass never end either; as a quote
+    character only swaps two of the states (outside, in double, in single quotes), three passes settle all.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.name_end = page, page.rfind(">"), -1
+        self.endless: list[tuple[int, int, list[int], list[int]]] = []
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` has its ``>``, or -1."""
+        if at > self.last:
+            return -1
+        for first, stop, opened, closed in self.endless:
+            if first <= at <= stop:
+                k = bisect_left(opened, at) - 1
+                if k < 0 or at >= closed[k]:
+                    return -1
+        end = ATTRIBUTES.match(self.page, at).end()
+        if self.page[end:end + 1] == ">":
+            return end
+        spans = [m.span() for m in QUOTED.finditer(self.page, at, end)]
+        self.endless.append((at, end, [a for a, _ in spans], [b for _, b in spans]))
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The first one from ``at`` on: (start, end, closing, name, attributes); comments and declarations have no name."""
+        page = self.page
+        while m := OPENING.search(page, at):
+            at = m.start()
+            if m[0] == "<!--":
+                end = page.find("-->", m.end())
+                return at, len(page) if end < 0 else end + 3, False, "", ""
+            if m[0][-1].isalpha():
+                if m.end() > self.name_end:
+                    self.name_end = NAME_END.search(page, m.end()).start()
+                end = self._end(self.name_end)
+                if end >= 0:
+                    return at, end + 1, m[0][1] == "/", page[m.end() - 1:self.name_end].lower(), page[self.name_end:end]
+            if m[0][1] in "!?/" and at < self.last:
+                return at, page.index(">", at) + 1, False, "", ""
+            at += 1
+        return None
+
+
+def plain_text(text: str) -> str:
+    """``text`` with its character references decoded; decimal numbers may be of any length."""
+    if "&#" in text:
+        text = TOO_LARGE.sub("\ufffd", ZEROS.sub("&#", text))
+    return html.unescape(text)
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page with text, in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by tag
     parts: list[str] = []
-    linked, links, hidden, at = 0, 0, 0, 0
+    linked, hidden, at = 0, 0, 0
+    tags = Tags(page)
 
     def add(text: str) -> None:
         nonlocal linked
         if text and not hidden:
-            plain = html.unescape(text)
+            plain = plain_text(text)
             parts.append(plain)
-            if links:
+            if places["a"]:
                 linked += len("".join(plain.split()))
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append(Block(text, tuple(stack), linked))
+            blocks.append(Block(text, stack[-1] if stack else None, linked))
         parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal links, hidden
-        for tag, _ in stack[to:]:
-            links -= tag == "a"
+        nonlocal hidden
+        while len(stack) > to:
+            tag = stack.pop().tag
+            places[tag].pop()
             hidden -= tag in HIDDEN
-        del stack[to:]
 
-    def end_head() -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == "template":  # its tags are not the head's
-                break
-            if stack[k][0] == "head":
-                pop(k)
-                break
+    def innermost(*names: str) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
+
+    def pop_within(names: set[str], limit: set[str]) -> None:
+        """End the innermost of ``names`` unless one of ``limit`` lies within it."""
+        k = innermost(*names)
+        if k > innermost(*limit):
+            pop(k)
 
     while True:
-        m = TAG.search(page, at)
-        text = page[at:m.start() if m else len(page)]
-        if hidden and stack[-1][0] == "head" and text.strip():
-            end_head()
+        found = tags.after(at)
+        text = page[at:found[0] if found else len(page)]
+        if hidden and stack[-1].tag == "head" and text.strip():
+            pop_within({"head"}, {"template"})  # what a template holds is not the head's
         add(text)
-        if m is None:
+        if found is None:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, closing, tag, attributes = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        if hidden and not m[1] and tag not in IN_HEAD:
-            end_head()
+        if hidden and not closing and tag not in IN_HEAD:
+            pop_within({"head"}, {"template"})
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCKS and not hidden:
             close()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+        if closing:
+            if places[tag]:
+                pop(places[tag][-1])
             continue
-        if tag in BLOCKS and not hidden:
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+        if tag in BLOCKS and not hidden and stack and stack[-1].near == "p":  # a block ends an open paragraph
+            pop(places["p"][-1])
         if tag in CLOSES:
-            same, limit = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in same:
-                    pop(k)
-                    break
-                if stack[k][0] in limit:
-                    break
-        if tag in VOID or m[3].endswith("/"):
+            pop_within(*CLOSES[tag])
+        if tag in VOID or attributes.endswith("/"):
             continue
-        names = tuple(w for n in NAMES.findall(m[3]) for w in WORD.findall(n.lower()))
-        stack.append((tag, names))
-        links += tag == "a"
+        names = tuple(w for n in NAMES.findall(attributes) for w in WORD.findall(n.lower()))
+        places[tag].append(len(stack))
+        stack.append(Node(tag, names, stack[-1] if stack else None))
         hidden += tag in HIDDEN
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -155,19 +226,34 @@ def leaf_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def features(blocks: list[Block]) -> list[set[str]]:
-    """The binary features of each block."""
+def ancestor_features(nodes: Iterable[Node | None], known: Container[str] | None) -> dict[Node | None, frozenset[str]]:
+    """The features of each node's ancestors and itself; those of a parent are shared, not built again."""
+    seen: dict[Node | None, frozenset[str]] = {None: frozenset()}
+    for node in nodes:
+        fresh = []
+        while node not in seen:
+            fresh.append(node)
+            node = node.up
+        base = seen[node]
+        for node in reversed(fresh):
+            own = {f"name:{w}" for w in node.names}
+            if node.tag in BLOCKS and node.tag not in ("html", "body"):
+                own.add(f"in:{node.tag}")
+            if known is not None:
+                own = {f for f in own if f in known}
+            seen[node] = base = base if own <= base else base | own
+    return seen
+
+
+def features(blocks: list[Block], known: Container[str] | None = None) -> list[set[str]]:
+    """The binary features of each block; of its ancestors' only ``known`` ones where these are given."""
     out = []
     n = len(blocks)
+    above = ancestor_features((b.node for b in blocks), known)
     for i, b in enumerate(blocks):
-        f = {"bias"}
-        for tag, names in b.path:
-            if tag in BLOCKS and tag not in ("html", "body"):
-                f.add(f"in:{tag}")
-            f.update(f"name:{w}" for w in names)
-        last = b.path[-1][0] if b.path else ""
-        near = next((t for t, _ in reversed(b.path) if t in BLOCKS), "")
-        f.add(f"near:{near}")
+        f = {"bias", *above[b.node]}
+        last = b.node.tag if b.node else ""
+        f.add(f"near:{b.node.near if b.node else ''}")
         if last in ("button", "label", "a"):
             f.add(f"last:{last}")
         size, share = len(b.text), b.linked / max(1, len(b.text))
@@ -195,7 +281,7 @@ class Chain:
     def decode(self, blocks: list[Block]) -> list[int]:
         """The most likely labels (Viterbi); ties go to main text."""
         score, back = None, []
-        for ids in self.rows(features(blocks)):
+        for ids in self.rows(features(blocks, self.index)):
             e = self.emit[ids].sum(0).tolist()
             if score is None:
                 score = e
