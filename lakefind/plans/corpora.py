@@ -275,21 +275,25 @@ def _(spark, sf):
     return parts.select("table_id", "node_id", F.col("dim").cast("long"), F.round("x", 6).alias("x"))
 
 
+# Vectors of nodes enter only as sums per edge: a join of incidences with vectors has a row per node, edge and dimension.
 ROUND = [
     *_components("cell_vec", "nodes", "table_id, node_id"), *_components("edge_vec", "edges", "table_id, edge_id"),
     ("degree!", "SELECT table_id, edge_id, count(*) AS n FROM links GROUP BY 1, 2"),
-    ("gathered!", "SELECT l.table_id, l.edge_id, dim, sum(x) / any_value(n) AS x FROM links l JOIN cell_vec c ON l.table_id = "
-                 "c.table_id AND l.node_id = c.node_id JOIN degree d ON d.table_id = l.table_id AND d.edge_id = l.edge_id "
-                 "GROUP BY 1, 2, 3"),
+    ("at_place!", "SELECT c.table_id, dim, x, node_id % n_cols + 1 AS col_edge, node_id // n_cols + 1 + n_cols AS row_edge FROM "
+                  "cell_vec c JOIN widths USING (table_id)"),
+    ("of_edge", "SELECT table_id, 0 AS edge_id, dim, sum(x) AS x FROM at_place GROUP BY ALL UNION ALL SELECT table_id, col_edge, dim, "
+                "sum(x) FROM at_place GROUP BY ALL UNION ALL SELECT table_id, row_edge, dim, sum(x) FROM at_place GROUP BY ALL"),
+    ("gathered", "SELECT table_id, edge_id, dim, x / n AS x FROM of_edge JOIN degree USING (table_id, edge_id)"),
     ("fused!", "SELECT table_id, edge_id, dim, sum(x) / 2 AS x FROM (SELECT * FROM edge_vec UNION ALL SELECT * FROM gathered) "
-              "GROUP BY 1, 2, 3"),
+               "GROUP BY 1, 2, 3"),
 ]
 TWO_ROUNDS = [
     *ROUND,
-    ("node_2!", "SELECT l.table_id, l.node_id, dim, sum(x) / 3 AS x FROM links l JOIN fused f ON l.table_id = f.table_id AND "
-               "l.edge_id = f.edge_id GROUP BY 1, 2, 3"),
-    ("gathered_2", "SELECT l.table_id, l.edge_id, dim, sum(x) / any_value(n) AS x FROM links l JOIN node_2 c ON l.table_id = "
-                   "c.table_id AND l.node_id = c.node_id JOIN degree d ON d.table_id = l.table_id AND d.edge_id = l.edge_id "
+    ("col_edges!", "SELECT table_id, edge_id, n FROM edges JOIN degree USING (table_id, edge_id) WHERE kind = 'column'"),
+    ("brought", "SELECT e.table_id, e.edge_id, dim, x * n AS x FROM col_edges e JOIN fused f ON f.table_id = e.table_id AND f.edge_id "
+                "IN (0, e.edge_id) UNION ALL SELECT s.table_id, s.col_idx + 1, dim, sum(x) FROM numbered s JOIN fused f ON f.table_id = "
+                "s.table_id AND f.edge_id = s.row_idx + 1 + s.n_cols GROUP BY ALL"),
+    ("gathered_2", "SELECT table_id, edge_id, dim, sum(x) / 3 / any_value(n) AS x FROM brought JOIN col_edges USING (table_id, edge_id) "
                    "GROUP BY 1, 2, 3"),
     ("fused_2", "SELECT table_id, edge_id, dim, sum(x) / 2 AS x FROM (SELECT * FROM fused UNION ALL SELECT * FROM gathered_2) "
                 "GROUP BY 1, 2, 3"),
