@@ -144,6 +144,13 @@ def sketch_levels(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def mean_count(levels: np.ndarray) -> float:
+    """Mean count of a bucket, from how often each level occurs; slice by slice, as a wide copy would take 128 MB on the driver."""
+    part = 1 << PART_BITS
+    often = sum(np.bincount(levels[k:k + part], minlength=256) for k in range(0, len(levels), part))
+    return float(often @ (np.exp2(np.arange(256) / 2.0) - 1)) / len(levels)
+
+
 def matches(levels: np.ndarray, n: int, usual: float) -> int:
     """How many prefix shingles a partner must share; ``levels`` are those of the set in global order.
 
@@ -165,7 +172,7 @@ def postings(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
     short for certain.  ``mixed`` tells whether the class has a long list.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    usual = float(np.mean(np.exp2(levels / 2.0) - 1))
+    usual = mean_count(levels)
     long_level = int(2 * np.log2(1.0 + LONG_LIST + 2 * usual))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

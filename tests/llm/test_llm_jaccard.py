@@ -173,3 +173,8 @@ def test_components_of_chains_stars_and_loops(spark):
         groups[label].add(node)
     assert sorted(map(len, groups.values())) == [2, 30, 41]
     assert components(edges.where("a < 0")).count() == 0
+
+
+def test_mean_count_of_a_sketch():
+    levels = np.random.default_rng(3).integers(0, 40, 1 << 16).astype(np.uint8)
+    assert np.isclose(J.mean_count(levels), np.mean(np.exp2(levels / 2.0) - 1))
