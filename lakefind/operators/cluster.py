@@ -433,29 +433,52 @@ def condensed_tree(nodes: DataFrame, min_size: int) -> DataFrame:
     return materialize(known.join(gained, "cluster"))
 
 
+def tree_worth(tree: DataFrame) -> DataFrame:
+    """Written ``(cluster, parent, stability, best)``: a cluster is worth its stability or its parts together, whichever is more.
+
+    Tree contraction.  Where the worth of all parts is known, so is the cluster's.  With one part left open it is
+    ``max(base, plus + worth of at)`` with ``at`` that part; such a form put into another one is again such a form, so
+    in each round a chain of them reaches twice as far down.  A tree of depth d takes about log d rounds.
+    """
+    none = F.lit(None)
+    state = materialize(tree.select(
+        "cluster", "parent", "stability", none.cast("double").alias("best"), none.cast(tree.schema["cluster"].dataType).alias("at"),
+        none.cast("double").alias("base"), none.cast("double").alias("plus")))
+    while not state.filter("best IS NULL").isEmpty():
+        unknown = F.col("best").isNull()
+        parts = state.groupBy(F.col("parent").alias("cluster")).agg(
+            F.count_if(unknown).alias("open"), F.sum("best").alias("parts"), F.max(F.when(unknown, F.col("cluster"))).alias("part"))
+        below = state.filter("best IS NOT NULL OR at IS NOT NULL").select(
+            F.col("cluster").alias("at"), F.col("best").alias("at_best"), F.col("at").alias("next"),
+            F.col("base").alias("at_base"), F.col("plus").alias("at_plus"))
+        both = state.join(parts, "cluster", "left").join(below, "at", "left").withColumn(
+            "parts", F.coalesce("parts", F.lit(0.0))).withColumn("open", F.coalesce("open", F.lit(0)))
+        fresh, longer = F.col("at").isNull(), F.col("next").isNotNull()
+        state = materialize(both.select(
+            "cluster", "parent", "stability",
+            F.when(F.col("best").isNotNull(), F.col("best"))
+            .when(fresh & (F.col("open") == 0), F.greatest("stability", "parts"))
+            .when(F.col("at_best").isNotNull(), F.greatest("base", F.col("plus") + F.col("at_best"))).alias("best"),
+            F.when(fresh & (F.col("open") == 1), F.col("part")).otherwise(F.coalesce("next", "at")).alias("at"),
+            F.when(fresh, F.col("stability")).when(longer, F.greatest("base", F.col("plus") + F.col("at_base")))
+            .otherwise(F.col("base")).alias("base"),
+            F.when(fresh, F.col("parts")).when(longer, F.col("plus") + F.col("at_plus")).otherwise(F.col("plus")).alias("plus")))
+    return state.select("cluster", "parent", "stability", "best")
+
+
 def _selected(tree: DataFrame) -> DataFrame:
     """``(cluster, top)``: the outermost selected cluster around every cluster, if any.
 
-    Bottom-up rounds keep a cluster when it is at least as stable as its
-    parts; pointer doubling then finds the outermost kept one.
+    A cluster is kept when it is at least as stable as its parts are worth;
+    pointer doubling then finds the outermost kept one.
     """
-    done = tree.filter(F.col("parent").isNotNull()).select(
-        "cluster", "parent", "stability", F.lit(None).cast("double").alias("best"), F.lit(None).cast("boolean").alias("kept"))
-    if done.isEmpty():
+    worth = tree_worth(tree.filter(F.col("parent").isNotNull()))
+    if worth.isEmpty():
         return tree.select("cluster", F.col("cluster").alias("top")).limit(0)
-    while True:
-        # Per parent: how many parts still wait, and what the others are worth.
-        inner = done.groupBy(F.col("parent").alias("cluster")).agg(
-            F.count_if(F.col("best").isNull()).alias("open"), F.sum("best").alias("parts"))
-        ready = F.col("best").isNull() & (F.coalesce("open", F.lit(0)) == 0)
-        parts = F.coalesce("parts", F.lit(0.0))
-        done = materialize(done.join(inner, "cluster", "left").select(
-            "cluster", "parent", "stability",
-            F.when(ready, F.greatest("stability", parts)).otherwise(F.col("best")).alias("best"),
-            F.when(ready, F.col("stability") >= parts).otherwise(F.col("kept")).alias("kept")))
-        if done.filter("best IS NULL").isEmpty():
-            break
-    reach = materialize(done.select("cluster", F.col("parent").alias("up"), F.when(F.col("kept"), F.col("cluster")).alias("top")))
+    parts = worth.groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("parts"))
+    kept = F.col("stability") >= F.coalesce("parts", F.lit(0.0))
+    reach = materialize(worth.join(parts, "cluster", "left").select(
+        "cluster", F.col("parent").alias("up"), F.when(kept, F.col("cluster")).alias("top")))
     while True:
         higher = reach.select(F.col("cluster").alias("up"), F.col("up").alias("next"), F.col("top").alias("higher"))
         reach = materialize(reach.join(higher, "up", "left").select(
