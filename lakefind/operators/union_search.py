@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakefind.functions.ranking import rank_within
 from lakefind.operators.knn import grid_topk, knn, merge_topk
 from lakefind.operators.vectors import pool
+from lakefind.session import materialize
 
 TABLE_ORDER = ["query_table", "cand_table", "rank", "score"]
 
@@ -68,15 +69,66 @@ def _classes(clusters: DataFrame) -> DataFrame:
     return grouped.select("table_id", "set", F.size("set").cast("long").alias("n"))
 
 
-def _class_jaccard(queries: DataFrame, lake: DataFrame) -> DataFrame:
-    """Jaccard of every query class and lake class that share a cluster."""
-    q = queries.select(F.col("set").alias("q_set"), F.col("n").alias("q_n")).distinct()
-    c = lake.select(F.col("set").alias("c_set"), F.col("n").alias("c_n")).distinct()
-    shared = (
-        q.withColumn("cluster", F.explode("q_set")).join(c.withColumn("cluster", F.explode("c_set")), "cluster")
-        .groupBy("q_set", "c_set", "q_n", "c_n").agg(F.count(F.lit(1)).alias("both"))
-    )
-    return shared.select("q_set", "c_set", (F.col("both") / (F.col("q_n") + F.col("c_n") - F.col("both"))).alias("score"))
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """Written ``(set, n, at, cluster)``: the clusters of each distinct set, those that few sets hold first (``at`` from 1)."""
+    each = sets.select("set", "n").distinct().withColumn("cluster", F.explode("set"))
+    often = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("often"))
+    order = F.sort_array(F.collect_list(F.struct("often", "cluster")))  # a set's clusters are at most its columns
+    placed = each.join(often, "cluster").groupBy("set", "n").agg(order.alias("order"))
+    return materialize(placed.select("set", "n", F.posexplode("order").alias("at", "o")).select(
+        "set", "n", (F.col("at") + 1).alias("at"), F.col("o.cluster").alias("cluster")))
+
+
+def _jaccard(pairs: DataFrame) -> DataFrame:
+    both = F.size(F.array_intersect("q_set", "c_set"))
+    return pairs.withColumn("score", both / (F.size("q_set") + F.size("c_set") - both))
+
+
+def first_candidates(asked: DataFrame, placed: DataFrame, offers: DataFrame, k: int) -> DataFrame:
+    """``(q_set, c_set, cand_table)``: of each cluster of a query the ``k`` tables with the smallest sets, ties by id.
+
+    A table further down the list that shares nothing else with the query scores no more than any of these, and
+    comes later if it scores the same: it is never among the best ``k``.
+    """
+    entries = placed.select("set", "n", "cluster").join(offers, "set")
+    heads = rank_within(entries, ["cluster"], [F.col("n"), F.col("table_id")], "_place", limit=k)
+    heads = heads.select("cluster", F.col("set").alias("c_set"), F.col("table_id").alias("cand_table"))
+    return placed.join(asked, "set", "left_semi").select("cluster", F.col("set").alias("q_set")).join(heads, "cluster").select(
+        "q_set", "c_set", "cand_table").distinct()
+
+
+def prefix_pairs(placed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``(q_set, c_set)`` that share two clusters or more and may score at least the ``bound`` of the query's set.
+
+    With ``need`` shared clusters the first one in a common order is within the first n - need + 1 of both sets.
+    As ``need`` is two or more, the most frequent cluster of a set is never looked up.
+    """
+    q = placed.join(bounds, "set").alias("q")
+    c = placed.filter(F.col("at") < F.col("n")).alias("c")
+    bound, sizes = F.col("q.bound"), F.col("q.n") + F.col("c.n")
+    need = F.greatest(F.lit(2), F.ceil(bound / (1 + bound) * sizes - 1e-9))
+    near = F.least("q.n", "c.n") >= bound * F.greatest("q.n", "c.n") - 1e-9
+    alone = F.greatest(F.lit(2), F.ceil(bound * F.col("q.n") - 1e-9))
+    met = q.filter(F.col("q.at") <= F.col("q.n") - alone + 1).join(
+        c, (F.col("q.cluster") == F.col("c.cluster")) & near & (F.col("q.at") <= F.col("q.n") - need + 1)
+        & (F.col("c.at") <= F.col("c.n") - need + 1))
+    return met.select(F.col("q.set").alias("q_set"), F.col("c.set").alias("c_set")).distinct()
+
+
+def _best_sets(asked: DataFrame, sets: DataFrame, offers: DataFrame, k: int) -> DataFrame:
+    """``(q_set, c_set, score)``: every pair of sets that can offer one of the best ``k`` tables of a query.
+
+    The heads of the lists give each query a bound, the score of its k-th table so far; only sets that
+    may reach it are joined through rare prefixes and compared.
+    """
+    placed = _rare_first(sets)
+    near = materialize(_jaccard(first_candidates(asked, placed, offers, k)))
+    kth = rank_within(near, ["q_set"], [F.desc("score"), F.col("cand_table")], "_place", limit=k).filter(F.col("_place") == k)
+    bounds = asked.join(kth.select(F.col("q_set").alias("set"), F.col("score").alias("bound")), "set", "left").select(
+        "set", F.coalesce("bound", F.lit(0.0)).alias("bound"))
+    heads = near.select("q_set", "c_set", "score").distinct()
+    far = prefix_pairs(placed, bounds).join(heads, ["q_set", "c_set"], "left_anti")
+    return heads.unionByName(_jaccard(far))
 
 
 def cluster_jaccard(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -96,14 +148,16 @@ def union_by_cluster(queries: DataFrame, clusters: DataFrame, k: int = 10, fill:
 
     Scores depend on the cluster set alone, so they are computed once per pair
     of distinct sets, and a set offers only its ``k`` smallest table ids: no
-    more can reach a top-k.  With ``fill`` zero-score tables complete a short
+    more can reach a top-k.  Pairs come from the heads of the clusters' lists and from rare
+    prefixes, so a cluster that every table has makes no pairs of all tables.  With ``fill`` zero-score tables complete a short
     list; the ``k`` smallest table ids of the lake are enough for that.
     """
     sets = _classes(clusters)
     asked = queries.select("table_id").distinct()
     q = asked.join(sets, "table_id")
     offers = rank_within(sets, ["set"], [F.col("table_id")], "_at", limit=k)
-    top_sets = _class_jaccard(q, sets).join(
+    offers = offers.select("set", "table_id")
+    top_sets = _best_sets(q.select("set").distinct(), sets, offers, k).join(
         offers.select(F.col("set").alias("c_set"), F.col("table_id").alias("cand_table")), "c_set")
     ranked = rank_within(top_sets, ["q_set"], [F.desc("score"), F.col("cand_table")], "rank", limit=k)
     scored = q.join(ranked, F.col("set") == F.col("q_set")).select(

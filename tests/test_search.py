@@ -168,6 +168,41 @@ def test_union_by_cluster_fills_and_breaks_ties(spark):
     assert take(short, "a") == ["a", "b", "f", "c"] and take(short, "d") == []
 
 
+def best_by_cluster(sets, k, fill):
+    """{table: [(candidate, score)]} over all pairs."""
+    out = {}
+    for q, own in sets.items():
+        scores = [(len(own & s) / len(own | s) if own and s else 0.0, t) for t, s in sets.items()]
+        out[q] = [(t, v) for v, t in sorted(scores, key=lambda x: (-x[0], x[1])) if fill or v > 0][:k]
+    return out
+
+
+@pytest.mark.parametrize("seed,fill", [(1, True), (2, False), (3, True)])
+def test_union_by_cluster_equals_all_pairs(spark, seed, fill):
+    draw = np.random.default_rng(seed)
+    sets = {f"t{i:03d}": set((draw.zipf(1.3 + 0.2 * seed, draw.integers(0, 9)) % 25).tolist()) for i in range(120)}
+    rows = [(t, i, c) for t, s in sets.items() for i, c in enumerate([-1, *s])]
+    clusters = spark.createDataFrame(rows, "table_id string, col_idx int, cluster int")
+    got = {t: [] for t in sets}
+    for r in U.union_by_cluster(clusters.select("table_id"), clusters, 6, fill).orderBy("query_table", "rank").collect():
+        got[r.query_table].append((r.cand_table, r.score))
+    assert got == best_by_cluster(sets, 6, fill)
+
+
+def test_a_cluster_of_every_table_makes_no_pairs_of_all(spark):
+    n, k = 400, 5
+    sets = {f"t{i:03d}": {0, 1 + i // 2, 1000 + i // 4} for i in range(n)}
+    clusters = spark.createDataFrame([(t, i, c) for t, s in sets.items() for i, c in enumerate(sorted(s))],
+                                     "table_id string, col_idx int, cluster int")
+    distinct = U._classes(clusters)
+    bounds = distinct.select("set", F.lit(0.0).alias("bound")).distinct()
+    assert U.prefix_pairs(U._rare_first(distinct), bounds).count() <= 4 * n
+    got = {t: [] for t in sets}
+    for r in U.union_by_cluster(clusters.select("table_id"), clusters, k, False).orderBy("query_table", "rank").collect():
+        got[r.query_table].append((r.cand_table, r.score))
+    assert got == best_by_cluster(sets, k, False)
+
+
 def test_join_profile_hand_cases(spark):
     sets = spark.createDataFrame(
         [("q", 0, str(i)) for i in range(4)] + [("same", 0, str(i)) for i in range(4)] + [("half", 0, "0"), ("half", 0, "1")]
