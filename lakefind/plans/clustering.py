@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakefind.operators import cluster as C
+from lakefind.operators import vectors as V
 from lakefind.operators.knn import knn
 from lakefind.plans.registry import query
 from lakefind.plans.searching import SCORED
-from lakefind.plans.views import clusters, col_vectors, with_views
+from lakefind.plans.views import clusters, col_vectors, read, with_views
 
 THRESHOLDS = [0.8, 0.6, 0.4, 0.2, 0.195, 0.19, 0.18, 0.1]
 
@@ -161,7 +162,13 @@ def _(spark, sf):
 
 
 @query("cluster_summary", """
-SELECT count(DISTINCT label) FILTER (label <> 9) AS n_clusters, count(*) FILTER (label = 9) AS n_noise_points,
-  0::BIGINT AS n_nan_rows FROM embeddings""")
+SELECT count(DISTINCT label) FILTER (label NOT IN (8, 9)) AS n_clusters, count(*) FILTER (label IN (8, 9)) AS n_noise_points,
+  count(*) FILTER (label = 8) AS n_nan_rows FROM embeddings""")
 def _(spark, sf):
-    return C.cluster_summary(clusters(spark, sf))
+    """Vectors of label 8 hold a NaN: they have no cluster and count as noise."""
+    nan = F.array_insert("embedding", 3, F.lit(float("nan")).cast("float"))
+    rows = read(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.expr(f"CASE WHEN label = 9 THEN {C.NOISE} ELSE label END").alias("cluster"),
+        F.when(F.col("label") == 8, nan).otherwise(F.col("embedding")).alias("vec"))
+    labels = C.scatter_labels(rows.select("id"), V.drop_nan(rows))
+    return C.cluster_summary(labels, V.nan_counts(rows).first().n_nan)
