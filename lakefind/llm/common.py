@@ -10,27 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakefind.session import short_batches  # noqa: F401  (for the operators of this subpackage)
+
 #: ASCII white space: 0x20 and 0x09 to 0x0D (fixed values).
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows that one Arrow batch may hold. Texts differ widely in length, so batches are kept short.
-BATCH_ROWS = 256
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table."""
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of this session hold at most ``BATCH_ROWS`` rows, so that long texts fit a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(key, "10000"))
-    if rows <= 0 or rows > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z, and nothing else, lower-cased."""
     return F.translate(text, UPPER, UPPER.lower())

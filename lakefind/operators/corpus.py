@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakefind.functions import text as T
-from lakefind.functions.ranking import lowest, rank_within, running, seeded, share, unit
+from lakefind.functions.ranking import attach, lowest, rank_within, running, seeded, share, unit
 from lakefind.session import materialize
 
 STEPS = {
@@ -78,6 +78,7 @@ def linearize(cells: DataFrame, part_rows: int = 100, max_words: int | None = No
 
 def parse_text(table_text: DataFrame, part_rows: int = 100) -> DataFrame:
     """Tagged parts of table texts back to cells; a table with a row of the wrong width is skipped."""
+    table_text = materialize(table_text.select("table_id", "part", "text"))  # read for the broken tables and for the cells
     body = F.split("text", T.HEADER_TAG)[1]
     lines = F.split(body, T.ROW_TAG)
     parsed = table_text.select(
@@ -87,7 +88,7 @@ def parse_text(table_text: DataFrame, part_rows: int = 100) -> DataFrame:
         F.transform(F.slice(lines, 2, F.size(lines)), lambda line: F.split(F.trim(line), r" \| ")).alias("data"))
     parsed = parsed.withColumn("_sound", F.forall("data", lambda row: F.size(row) == F.size("header")))
     broken = parsed.filter(~F.col("_sound")).select("table_id").distinct()
-    rows = parsed.join(broken, "table_id", "left_anti").select(
+    rows = attach(parsed, broken, ["table_id"], ["part"], "left_anti").select(
         "table_id", "part", "caption", "header", F.posexplode("data").alias("at", "row"))
     cells = rows.select("table_id", "caption", (F.col("part") * part_rows + F.col("at")).cast("long").alias("row_idx"),
                         F.posexplode(F.arrays_zip("header", "row")).alias("col_idx", "c"))
@@ -131,7 +132,8 @@ def _with_picks(cells: DataFrame, ratio: float, seed: int) -> DataFrame:
         "table_id", "col_idx", (F.col("picked") & (F.trim("col_name") != "")).alias("label_head"))
     chosen = _picked(cells, ["row_idx", "col_idx"], ratio, seed, "cell")
     known = F.coalesce(F.trim("value") != "", F.lit(False))
-    return chosen.withColumn("label_cell", F.col("picked") & known).drop("picked").join(heads, ["table_id", "col_idx"])
+    labelled = chosen.withColumn("label_cell", F.col("picked") & known).drop("picked")
+    return attach(labelled, heads, ["table_id", "col_idx"], ["row_idx"])
 
 
 def corrupt_mask(cells: DataFrame, ratio: float = 0.15, seed: int = 42) -> DataFrame:
@@ -175,8 +177,9 @@ def corrupt_replace(cells: DataFrame, cell_lex: DataFrame, head_lex: DataFrame,
     heads = draw(heads, head_lex, seeded(f"{seed}head-draw", "table_id", "col_idx"), "_head")
     drawn = draw(picked.filter("label_cell").select("table_id", "row_idx", "col_idx"), cell_lex,
                  seeded(f"{seed}cell-draw", "table_id", "row_idx", "col_idx"), "_cell")
+    replaced = picked.join(drawn, ["table_id", "row_idx", "col_idx"], "left")
     return (
-        picked.join(drawn, ["table_id", "row_idx", "col_idx"], "left").join(heads, ["table_id", "col_idx"], "left")
+        attach(replaced, heads, ["table_id", "col_idx"], ["row_idx"], "left")
         .select("table_id", "row_idx", "col_idx", F.coalesce("_head", "col_name").alias("col_name"),
                 F.coalesce("_cell", "value").alias("value"), F.col("label_head").cast("int").alias("label_head"),
                 F.col("label_cell").cast("int").alias("label_cell"))

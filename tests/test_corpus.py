@@ -138,3 +138,38 @@ def test_steps_by_name(spark):
     assert sorted(r.value for r in done.collect()) == ["1 scinotexp 2", "[CELL]"]
     with pytest.raises(ValueError):
         C.normalize_cells(cells(spark, [["1", "2"]]), ["stem"])
+
+
+@pytest.mark.parametrize("operator", [
+    lambda lake: H.hyperedges(H.numbered_cells(lake)),
+    lambda lake: H.hashed_components(H.nodes(H.numbered_cells(lake)), ["table_id", "node_id"]),
+    lambda lake: C.corrupt_mask(lake, 0.3),
+    lambda lake: C.parse_text(C.linearize(lake)),
+])
+def test_no_task_gets_all_rows_of_a_table(spark, operator):
+    """Nothing is dealt by table (or column) alone, which puts the largest table of a lake into one task."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = operator(cells(spark, [["1", "x"]] * 300)).select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    for keys in dealt:
+        names = {k.split("#")[0].strip() for k in keys.split(",") if "#" in k}
+        assert not names <= {"table_id", "col_idx"}, keys
+
+
+def test_two_rounds_of_ragged_and_repeated_rows(spark):
+    rows = [("t", 0, 0, "a", "x"), ("t", 0, 1, "b", "y"), ("t", 1, 1, "b", "z"), ("t", 2, 0, "a", "x"), ("t", 2, 0, "a", "w")]
+    nodes = [(r, c, token_vector(v, 16)) for _, r, c, _, v in rows]
+    edges = {0: token_vector("[TAB]", 16), 1: token_vector("a", 16), 2: token_vector("b", 16),
+             **{3 + r: token_vector("[ROW]", 16) for r in range(3)}}
+    for _ in range(2):
+        mean = lambda k: np.mean([v for r, c, v in nodes if k in (0, 1 + c, 3 + r)], axis=0)
+        edges = {k: (e + mean(k)) / 2 for k, e in edges.items()}
+        nodes = [(r, c, (edges[0] + edges[1 + c] + edges[3 + r]) / 3) for r, c, _ in nodes]
+    got = H.column_vectors(spark.createDataFrame(rows, CELLS), 16, 2).orderBy("col_idx").collect()
+    # a place held by two cells is one node with the sum of their vectors and counts as two
+    assert len(got) == 2 and np.isfinite([r.vec for r in got]).all()
+    assert np.allclose(got[1].vec, edges[2])

@@ -86,3 +86,18 @@ def test_edge_views_keep_an_exact_share(spark):
     graph = spark.range(22_500).select(F.lit("t").alias("table_id"), F.col("id").alias("node_id"), (F.col("id") % 7).alias("edge_id"))
     views = C.edge_views(graph, 0.3).agg(F.sum("view_1"), F.sum("view_2")).first()
     assert tuple(views) == (15_750, 15_750)
+
+
+def test_attach_deals_a_hot_group_over_tasks(spark, monkeypatch):
+    rows = spark.range(6000).select(F.when(F.col("id") < 5900, "hot").otherwise("cold").alias("table_id"), F.col("id").alias("row_idx"))
+    facts = spark.createDataFrame([("hot", 7), ("other", 1)], "table_id string, n int")
+    for limit in (R.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(R, "BROADCAST_ROWS", limit)
+        inner = R.attach(rows, facts, ["table_id"], ["row_idx"])
+        assert inner.columns == ["table_id", "row_idx", "n"]
+        assert sorted(inner.collect()) == sorted(rows.join(facts, "table_id").collect())
+        left = R.attach(rows, facts, ["table_id"], ["row_idx"], "left")
+        assert left.filter("n IS NULL").count() == 100 and left.count() == 6000
+        assert R.attach(rows, facts, ["table_id"], ["row_idx"], "left_anti").count() == 100
+    plan = inner._jdf.queryExecution().executedPlan().toString()  # many facts: dealt by slice too
+    assert "BroadcastHashJoin" not in plan and "_slice" in plan.split("hashpartitioning(")[1].split(")")[0]
