@@ -44,7 +44,7 @@ def drop_header_rows(cells: DataFrame) -> DataFrame:
         (F.bool_and(same) & F.bool_or(plain("col_name") != "")).alias("_repeats"))
     first = rows.filter(~F.col("_repeats")).groupBy("table_id").agg(F.min("row_idx").alias("_first"))
     return (
-        cells.join(first, "table_id").filter(F.col("row_idx") >= F.col("_first"))
+        attach(cells, first, ["table_id"], ["row_idx"]).filter(F.col("row_idx") >= F.col("_first"))
         .withColumn("row_idx", F.col("row_idx") - F.col("_first")).drop("_first")
     )
 

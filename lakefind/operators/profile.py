@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakefind.functions.ranking import attach
 from lakefind.functions.text import words
 
 INT = r"^[+-]?[0-9]+$"
@@ -129,7 +130,7 @@ def _complete_text_cells(cells: DataFrame) -> DataFrame:
     """
     gaps = cells.filter(F.col("value").isNull()).select("table_id", "row_idx").distinct()
     other = column_types(cells).filter(F.col("dtype") != "object").select("table_id", "col_idx")
-    return cells.join(gaps, ["table_id", "row_idx"], "left_anti").join(other, ["table_id", "col_idx"], "left_anti")
+    return attach(cells.join(gaps, ["table_id", "row_idx"], "left_anti"), other, ["table_id", "col_idx"], ["row_idx"], "left_anti")
 
 
 def word_counts(cells: DataFrame, stop_words: list[str] | None = None, top: int | None = None) -> DataFrame:

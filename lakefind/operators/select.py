@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakefind.functions.ranking import rank_within, seeded
+from lakefind.functions.ranking import attach, rank_within, seeded
 from lakefind.functions.text import TOKEN, first_words, squeeze, words
 from lakefind.operators.profile import column_types
 from lakefind.session import materialize
@@ -64,8 +64,7 @@ def row_tfidf(cells: DataFrame, dropna: bool = False) -> DataFrame:
     )
     counts = materialize(counts)  # read for the frequencies and for the scores
     weights = (
-        counts.groupBy("table_id", "token").agg(F.count(F.lit(1)).alias("df"))
-        .join(n_rows, "table_id")
+        attach(counts.groupBy("table_id", "token").agg(F.count(F.lit(1)).alias("df")), n_rows, ["table_id"], ["token"])
         .select("table_id", "token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
     v = F.col("tf") * F.col("idf")
@@ -89,7 +88,7 @@ def sort_columns_by_value(cells: DataFrame, limit: int | None = None) -> DataFra
         "table_id", "col_idx", F.col("dtype").isin("int", "float").alias("_numeric"))
     number = F.when(F.col("_numeric"), F.expr("try_cast(value AS double)"))
     order = [F.col("value").isNull(), number, F.col("value"), F.col("row_idx")]
-    ranked = rank_within(cells.join(numeric, ["table_id", "col_idx"]), ["table_id", "col_idx"], order, "_rank", limit)
+    ranked = rank_within(attach(cells, numeric, ["table_id", "col_idx"], ["row_idx"]), ["table_id", "col_idx"], order, "_rank", limit)
     return ranked.withColumn("row_idx", F.col("_rank") - 1).select(*CELL)
 
 
@@ -104,10 +103,10 @@ def cell_idf(cells: DataFrame) -> DataFrame:
     values = materialize(  # read for the totals, the frequencies and the words
         known.groupBy("table_id", "key").agg(F.count(F.lit(1)).alias("n"), F.any_value("value").alias("value")))
     n_cells = values.groupBy("table_id").agg(F.sum("n").alias("total"))
+    found = values.select("table_id", "n", F.explode(F.array_distinct(words(F.col("value"), TOKEN))).alias("word")).groupBy(
+        "table_id", "word").agg(F.sum("n").alias("df"))
     idf = (
-        values.select("table_id", "n", F.explode(F.array_distinct(words(F.col("value"), TOKEN))).alias("word"))
-        .groupBy("table_id", "word").agg(F.sum("n").alias("df"))
-        .join(n_cells, "table_id")
+        attach(found, n_cells, ["table_id"], ["word"])
         .select("table_id", "word", (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
     # Repeated words of a value are counted before the join, and the long text itself stays behind.
@@ -172,7 +171,7 @@ def rate_sample(cells: DataFrame, n: int = 30) -> DataFrame:
     rate = cells.groupBy("table_id").agg(
         F.greatest(F.lit(1), F.floor((F.max("row_idx") + 1) / n)).cast("long").alias("_rate"))
     return (
-        cells.join(rate, "table_id")
+        attach(cells, rate, ["table_id"], ["row_idx"])
         .filter(F.col("row_idx") % F.col("_rate") == 0)
         .withColumn("row_idx", F.expr("row_idx div _rate"))
         .select(*CELL)

@@ -345,10 +345,16 @@ def sigs(spark, sf):
     return S.minhash(O.value_sets(cells(spark, sf)), NUM_PERM)
 
 
+def signed_pairs(spark, sf):
+    """Signatures of the whole lake and the column pairs that the containment index finds with them, both written."""
+    sets = materialize(O.value_sets(cells(spark, sf)))
+    signatures = materialize(S.minhash(sets, NUM_PERM))
+    return signatures, materialize(S.candidate_pairs(sets, signatures, CONTAINED))
+
+
 def found_pairs(spark, sf):
     """Column pairs that the containment index finds in the whole lake."""
-    sets = materialize(O.value_sets(cells(spark, sf)))
-    return materialize(S.candidate_pairs(sets, materialize(S.minhash(sets, NUM_PERM)), CONTAINED))
+    return signed_pairs(spark, sf)[1]
 
 
 def _ids(df, *more):

@@ -8,7 +8,7 @@ from lakefind.functions.ranking import rank_within
 from lakefind.operators import overlap as O
 from lakefind.operators import sketch as S
 from lakefind.plans.registry import query
-from lakefind.plans.searching import CONTAINED, MINHASH, NUM_PERM, OVERLAP, OVERLAP_IDS, PAIRS, VALUES, _ids, found_pairs, sigs
+from lakefind.plans.searching import CONTAINED, MINHASH, NUM_PERM, OVERLAP, OVERLAP_IDS, PAIRS, VALUES, _ids, found_pairs, signed_pairs, sigs
 from lakefind.plans.views import cells, with_views
 from lakefind.session import materialize
 
@@ -25,7 +25,7 @@ FROM pairs JOIN sigs q ON q.table_id = query_table AND q.col_idx = query_col JOI
 
 
 def estimates(spark, sf):
-    return S.estimate(sigs(spark, sf), found_pairs(spark, sf))
+    return S.estimate(*signed_pairs(spark, sf))
 
 
 @query("minhash_signatures", with_views(["cells"], *MINHASH, select=(
@@ -99,8 +99,9 @@ OLD = "row_number() OVER (PARTITION BY query_table, query_col ORDER BY cand_tabl
 SELECT {OVERLAP_IDS}, old_rank, round(containment + 1e-9, 6) AS containment, row_number() OVER (PARTITION BY query_table, query_col
   ORDER BY round(containment, 9) DESC, old_rank) AS rank FROM listed"""))
 def _(spark, sf):
-    listed = rank_within(found_pairs(spark, sf), ["query_table", "query_col"], [F.col("cand_table"), F.col("cand_col")], "rank")
-    ranked = S.rerank(listed, estimates(spark, sf))
+    signatures, pairs = signed_pairs(spark, sf)
+    listed = rank_within(pairs, ["query_table", "query_col"], [F.col("cand_table"), F.col("cand_col")], "rank")
+    ranked = S.rerank(listed, S.estimate(signatures, pairs))
     return _ids(ranked, "old_rank", F.round(F.col("containment") + 1e-9, 6).alias("containment"), "rank")
 
 

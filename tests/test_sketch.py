@@ -149,3 +149,18 @@ def test_size_parts_and_shapes(spark):
                 j = t / (1 + 2 ** ((gap + 1) / 2) - t)
                 assert b * r <= 128 and r >= 2 and 1 - (1 - j**r) ** b >= 0.95
     assert S.sampled(0.5) == 128 and S.sampled(0.1) == 1152 and S.sampled(0.9) == 64
+
+
+@pytest.mark.parametrize("name", ["containment_estimates", "rerank_by_containment"])
+def test_signatures_are_made_once(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from lakefind.plans import searching
+
+    made, minhash = [], S.minhash
+    rows = [(t, r, 0, "c", f"v{r}") for t, n in (("a", 40), ("b", 50)) for r in range(n)]
+    lake = spark.createDataFrame(rows, "table_id string, row_idx long, col_idx int, col_name string, value string")
+    monkeypatch.setattr(searching, "cells", lambda *_: lake)
+    monkeypatch.setattr(S, "minhash", lambda *a: made.append(1) or minhash(*a))
+    got = {(r.query_table, r.cand_table): r.containment for r in entry.queries()[name](spark, "").collect()}
+    assert set(got) == {("a", "b"), ("b", "a")} and got["a", "b"] > 0.8
+    assert len(made) == 1
