@@ -22,8 +22,11 @@ from lakefind.functions.ranking import rank_within
 from lakefind.functions.vectors import SCORE_DIGITS, cosine, l2_normalize, matrix, normalized
 from lakefind.session import materialize
 
-BLOCK = 8192  # vectors per block of the grid
-CHUNK = 1024  # queries multiplied at a time
+BLOCK, SPREAD = 65_536, 8  # most vectors per block of the grid, and blocks that a smaller key is cut into
+SMALL_BLOCK = 8192  # vectors that are not cut further for the sake of more tasks
+FOUND = 1 << 19  # rows that one block of queries may hand on
+CHUNK = 1024  # queries multiplied at a time in double precision
+TILE = 1 << 22  # products in single precision held at a time
 RECALL = 0.9  # share of the true neighbours that the bucketed methods are set to find
 MARGIN = 0.02  # added to it, for the chance of the sample
 SAMPLE, SAMPLE_PAIRS = 256, 10_000  # queries, and about so many pairs with neighbours, on which they are set
@@ -48,17 +51,114 @@ class Block:
         return len(self.cols)
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _first(r: np.ndarray, c: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best pairs per row, ties to the smaller column."""
+    order = np.lexsort((c, -scores, r))
+    sorted_r = r[order]
+    return order[np.arange(len(r)) - np.searchsorted(sorted_r, sorted_r) < k]
+
+
+def best_pairs(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the ``k`` best finite scores per row, ties to the smaller column."""
     m = scores.shape[1]
     keep = np.isfinite(scores)
     if m > k:
         keep &= scores >= np.partition(scores, m - k, axis=1)[:, m - k][:, None]
     r, c = np.nonzero(keep)
-    order = np.lexsort((c, -scores[r, c], r))
-    r, c = r[order], c[order]
-    place = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[place < k], c[place < k]
+    first = _first(r, c, scores[r, c], k)
+    return r[first], c[first]
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """A value per row that at least ``k`` scores reach: the k-th largest of the maxima of disjoint sets of columns."""
+    if k == 1:
+        return scores.max(axis=1)
+    n, sets = scores.shape[1], 16 * k
+    if n >= 2 * sets:
+        scores = scores[:, :n // sets * sets].reshape(len(scores), -1, sets).max(axis=1)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def _marked(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the few true places, eight looked at together."""
+    flat = mask.ravel()
+    if flat.size % 8:
+        return np.nonzero(mask)
+    words = np.flatnonzero(flat.view(np.uint64))
+    w, bit = np.nonzero(flat.reshape(-1, 8)[words])
+    return np.divmod(words[w] * 8 + bit, mask.shape[1])
+
+
+def best_products(a: np.ndarray, b: np.ndarray, k: int, skip: tuple[np.ndarray, np.ndarray] | None = None,
+                  most: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, column, product)``: per row of ``a`` the ``k`` rows of ``b`` with the best rounded inner products, best first.
+
+    Ties go to the smaller column; pairs with equal codes in ``skip`` and products that are not finite are left out.
+    Products in single precision tell which pairs may be among the best: their error is at most (dim + 8) 2^-24 |a| |b|, so
+    pairs further below the k-th best than twice that (and a unit of the rounding) cannot be.  The rest are multiplied in
+    double precision; where these are many (copies, non-finite values, few columns), the whole tile is.
+    With ``most``, a limit per row and per column, a product counts as no more than both limits.
+    """
+    found, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], len(b)
+    long_a, long_b = (np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (a, b))
+    longest = max(long_a.max(initial=0.0), long_b.max(initial=0.0))
+    single = n > 4 * k and bool(longest < 1e15)  # not so with NaN
+    if single:
+        b32 = b.astype(np.float32)
+        slack = 2 * (a.shape[1] + 8) * 2.0**-24 * long_a * long_b.max() + 1.01 * 10.0**-SCORE_DIGITS
+        if most is not None:  # put into single precision, a limit errs by no more than 2^-24 of itself
+            most32, slack = most[1].astype(np.float32), slack + 2.0**-22 * max(1.0, np.abs(most[1]).max())
+    if skip is not None:
+        by_code = np.argsort(skip[1], kind="stable")
+        codes = skip[1][by_code]
+    step = max(8, min(CHUNK, TILE // max(1, n) // 8 * 8))
+    for at in range(0, len(a) if n else 0, step):
+        part = a[at:at + step]
+        out = None
+        if skip is not None:
+            mine = skip[0][at:at + step]
+            lo, hi = np.searchsorted(codes, mine, "left"), np.searchsorted(codes, mine, "right")
+            if (hi - lo).sum() > len(part) * n // 16:
+                out = mine[:, None] == skip[1][None, :]
+            elif (hi - lo).any():
+                out_r = np.repeat(np.arange(len(part)), hi - lo)
+                within = np.arange(len(out_r)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+                out = (out_r, by_code[np.repeat(lo, hi - lo) + within])
+        r = None
+        if single:
+            scores = part.astype(np.float32) @ b32.T
+            if most is not None:
+                np.minimum(scores, most32, out=scores)
+            if out is not None:
+                scores[out] = -np.inf
+            low = _kth(scores, k)
+            if most is not None:
+                low = np.minimum(low, most[0][at:at + step])
+            # one step down, as the limit itself is put into single precision; what is left out is -inf
+            low = np.nextafter((low - slack[at:at + step]).astype(np.float32), np.float32(-np.inf))
+            mask = scores >= np.maximum(low, np.finfo(np.float32).min)[:, None]
+            if np.count_nonzero(mask) <= mask.size // 32 + k * len(part):
+                r, c = _marked(mask)
+                exact = np.einsum("ij,ij->i", part[r], b[c])
+                if most is not None:
+                    exact = np.minimum(exact, np.minimum(most[0][at + r], most[1][c]))
+        if r is not None:
+            first = _first(r, c, np.round(exact, SCORE_DIGITS), k)
+            found.append((r[first] + at, c[first], exact[first]))
+            continue
+        if isinstance(out, tuple):
+            mask = np.zeros((len(part), n), bool)
+            mask[out] = True
+            out = mask
+        for lo in range(0, len(part), 64):  # the plain way
+            scores = part[lo:lo + 64] @ b.T
+            if most is not None:
+                scores = np.minimum(scores, np.minimum(most[0][at + lo:at + lo + 64][:len(scores), None], most[1][None, :]))
+            if out is not None:
+                scores[out[lo:lo + 64]] = -np.inf
+            r, c = best_pairs(np.round(scores, SCORE_DIGITS), k)
+            found.append((r + lo + at, c, scores[r, c]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def table_codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,19 +167,16 @@ def table_codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes[:len(left)], codes[len(left):]
 
 
-def _block_topk(q: Block, lake: Block, k: int, skip_table: bool) -> pd.DataFrame:
-    found = []
-    q_codes, l_codes = table_codes(q.names, lake.names)
-    for at in range(0, len(q), CHUNK):
-        part = slice(at, at + CHUNK)
-        scores = np.round(q.vec[part] @ lake.vec.T, SCORE_DIGITS)
-        if skip_table:
-            scores[q_codes[part][:, None] == l_codes[None, :]] = -np.inf
-        r, c = _best(scores, k)
-        found.append(pd.DataFrame({
-            "query_table": q.names[part][r], "query_col": q.cols[part][r],
-            "cand_table": lake.names[c], "cand_col": lake.cols[c], "score": scores[r, c]}))
-    return pd.concat(found) if found else pd.DataFrame(columns=PAIR_COLS)
+def _block_topk(q: Block, lake: Block, k: int, skip_table: bool) -> pa.Table:
+    r, c, products = best_products(q.vec, lake.vec, k, table_codes(q.names, lake.names) if skip_table else None)
+    return _pairs(q, r, lake.names, lake.cols, c, np.round(products, SCORE_DIGITS))
+
+
+def _pairs(q: Block, r: np.ndarray, names: np.ndarray, cols: np.ndarray, c: np.ndarray, scores: np.ndarray) -> pa.Table:
+    """Pairs of places as rows; names are copied by Arrow, not as Python objects."""
+    columns = [pa.array(q.names, pa.string()).take(pa.array(r)), pa.array(q.cols[r], pa.int32()),
+               pa.array(names, pa.string()).take(pa.array(c)), pa.array(cols[c], pa.int32()), pa.array(scores, pa.float64())]
+    return pa.table(columns, names=PAIR_COLS)
 
 
 def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
@@ -94,19 +191,25 @@ def _arrow(pairs: pd.DataFrame) -> pa.Table:
     return pa.Table.from_pandas(pairs[PAIR_COLS], schema=schema, preserve_index=False)
 
 
+def _n_blocks(n: Column, block: int) -> Column:
+    """Blocks that ``n`` vectors are cut into: few, as each is one more copy of the other side, yet enough to busy all tasks."""
+    return F.greatest(F.ceil(n / block), F.least(F.ceil(n / min(block, SMALL_BLOCK)), F.lit(SPREAD))).cast("int")
+
+
 def grid_apply(queries: DataFrame, lake: DataFrame, keys: list[str],
-               fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
+               fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK,
+               q_block: int | None = None) -> DataFrame:
     """Run ``fn(query block, lake block)`` for all blocks of queries and vectors that share ``keys``.
 
-    Each key is cut into a grid of at most ``block`` x ``block`` vectors, so a
+    Each key is cut into a grid of at most ``q_block`` x ``block`` vectors, so a
     key that holds a third of the lake is many tasks and nothing is dropped.
     """
     same = queries is lake
     queries = materialize(queries)  # counted and laid out: evaluated once
     lake = queries if same else materialize(lake)
     me = F.xxhash64("table_id", "col_idx")
-    n_q = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nq"))
-    n_l = lake.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nl"))
+    n_q = queries.groupBy(*keys).agg(_n_blocks(F.count(F.lit(1)), q_block or block).alias("_nq"))
+    n_l = lake.groupBy(*keys).agg(_n_blocks(F.count(F.lit(1)), block).alias("_nl"))
     sizes = n_q.join(n_l, keys)
     ids = [*keys, "_qb", "_lb"]
 
@@ -133,10 +236,10 @@ def grid_topk(queries: DataFrame, lake: DataFrame, k: int, keys: list[str], skip
     def pair_up(q: pa.Table, lake_block: pa.Table) -> pa.Table:
         if not q.num_rows or not lake_block.num_rows:
             return _arrow(pd.DataFrame(columns=PAIR_COLS))
-        return _arrow(_block_topk(Block(q, unit), Block(lake_block, unit), k, skip_table))
+        return _block_topk(Block(q, unit), Block(lake_block, unit), k, skip_table)
 
     cols = [*keys, "table_id", "col_idx", "vec"]
-    return grid_apply(queries.select(*cols), lake.select(*cols), keys, pair_up, PAIR, block)
+    return grid_apply(queries.select(*cols), lake.select(*cols), keys, pair_up, PAIR, block, min(block, max(1, FOUND // k)))
 
 
 def merge_topk(parts: DataFrame, k: int) -> DataFrame:
@@ -177,7 +280,10 @@ def _nearest_cells(centers: np.ndarray, n: int):
     def cells(vec: pa.Array) -> pa.Array:
         if len(vec) == 0:
             return pa.array([], pa.list_(pa.int32()))
-        near = np.argsort(-(normalized(matrix(vec)) @ centers.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+        unit, step = normalized(matrix(vec)), max(1, TILE // 8 // len(centers))
+        near = np.concatenate([  # few rows at a time: products and their order are as wide as the list of cells
+            np.argsort(-(unit[at:at + step] @ centers.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+            for at in range(0, len(unit), step)])
         return pa.ListArray.from_arrays(np.arange(len(vec) + 1) * near.shape[1], near.ravel())
 
     return cells
@@ -350,22 +456,24 @@ def _ivfpq(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool, n_list
         names, cols, codes = names[order], cols[order], matrix(coded.column("codes")).astype(int)[order]
         found = []
         q_codes, l_codes = table_codes(block.names, names)
-        for at in range(0, len(block), CHUNK):
-            part = slice(at, at + CHUNK)
+        step = max(1, min(CHUNK, TILE // 4 // len(codes)))
+        for at in range(0, len(block), step):
+            part = slice(at, at + step)
             pieces = block.vec[part].reshape(-1, n_sub, width)
             scores = sum((pieces[:, s] @ books[s].T)[:, codes[:, s]] for s in range(n_sub))
             if skip_table:
                 scores[q_codes[part][:, None] == l_codes[None, :]] = -np.inf
-            r, c = _best(np.round(scores, SCORE_DIGITS), refine * k)
-            found.append(pd.DataFrame({
-                "query_table": block.names[part][r], "query_col": block.cols[part][r], "cand_table": names[c],
-                "cand_col": cols[c], "score": scores[r, c]}))
-        return _arrow(pd.concat(found))
+            scores = np.round(scores, SCORE_DIGITS)
+            r, c = best_pairs(scores, refine * k)
+            found.append((r + at, c, scores[r, c]))
+        r, c, scores = (np.concatenate(x) for x in zip(*found))
+        return _pairs(block, r, names, cols, c, scores)
 
     probes = queries.withColumn("_key", F.explode(_nearest_cells(centers, n_probe)("vec")))
     coded = lake.select("table_id", "col_idx", F.explode(_nearest_cells(centers, 1)("vec")).alias("_key"),
                         _encode(books)("vec").alias("codes"))
-    short = merge_topk(grid_apply(probes, coded, ["_key"], approximate, PAIR), refine * k).drop("score", "rank")
+    short = merge_topk(grid_apply(probes, coded, ["_key"], approximate, PAIR, SMALL_BLOCK,
+                                  min(SMALL_BLOCK, max(1, FOUND // (refine * k)))), refine * k).drop("score", "rank")
     q = queries.select(F.col("table_id").alias("query_table"), F.col("col_idx").alias("query_col"), F.col("vec").alias("_qv"))
     c = lake.select(F.col("table_id").alias("cand_table"), F.col("col_idx").alias("cand_col"), F.col("vec").alias("_cv"))
     scored = short.join(q, ["query_table", "query_col"]).join(c, ["cand_table", "cand_col"])
@@ -445,14 +553,15 @@ def knn_by_shard(queries: DataFrame, lake: DataFrame, k: int, shard: str = "shar
     tagged = _vectors(lake, shard).withColumnRenamed(shard, "_shard")
 
     def pair_up(q: pa.Table, block: pa.Table) -> pa.Table:
-        found = pd.DataFrame(columns=PAIR_COLS)
+        found = _arrow(pd.DataFrame(columns=PAIR_COLS))
         if q.num_rows and block.num_rows:
             found = _block_topk(Block(q), Block(block), k, False)
         key = (block if block.num_rows else q).column("_shard")[:1].to_pylist()
-        return _arrow(found).append_column("_shard", pa.array(key * len(found), q.schema.field("_shard").type))
+        return found.append_column("_shard", pa.array(key * len(found), q.schema.field("_shard").type))
 
     kind = tagged.schema["_shard"].dataType.simpleString()
     cols = ["_shard", "table_id", "col_idx", "vec"]
-    parts = grid_apply(everywhere.select(*cols), tagged.select(*cols), ["_shard"], pair_up, f"{PAIR}, _shard {kind}")
+    parts = grid_apply(everywhere.select(*cols), tagged.select(*cols), ["_shard"], pair_up, f"{PAIR}, _shard {kind}",
+                       q_block=min(BLOCK, max(1, FOUND // k)))
     order = [F.desc("score"), F.col("cand_table"), F.col("cand_col")]
     return rank_within(parts.withColumnRenamed("_shard", shard), [shard, "query_table", "query_col"], order, "rank", limit=k)

@@ -9,6 +9,7 @@ from lakefind.operators import knn as K
 from lakefind.operators import overlap as O
 from lakefind.operators import union_search as U
 from lakefind.operators import vectors as V
+from lakefind.operators.knn import best_pairs, best_products
 
 VECTORS = "table_id string, col_idx int, vec array<double>"
 
@@ -234,3 +235,19 @@ def test_offsets_and_flatten(spark):
     matrices = spark.createDataFrame([("b", [[1.0], [2.0]]), ("a", [[3.0]])], "table_id string, matrix array<array<double>>")
     assert sorted((r["index"], r.col_name, r.vec[0]) for r in V.flatten(matrices).collect()) == [
         (0, "col_0", 3.0), (1, "col_0", 1.0), (1, "col_1", 2.0)]
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_best_products_are_those_of_all_products(case):
+    """Copies (ties to the smaller column), left-out pairs and limits; single precision alone would mix up near products."""
+    rng = np.random.default_rng(case)
+    a = rng.standard_normal((300, 8))
+    a = np.round(a) if case == 1 else a * 1e-3 + 1 if case == 2 else a
+    codes, most = rng.integers(0, 20, 300), (rng.random(300), rng.random(300)) if case == 3 else None
+    scores = a @ a.T if most is None else np.minimum(a @ a.T, np.minimum(most[0][:, None], most[1]))
+    scores = np.round(scores, 10)
+    scores[codes[:, None] == codes] = -np.inf
+    r, c, products = best_products(a, a, 5, (codes, codes), most)
+    want = best_pairs(scores, 5)
+    assert r.tolist() == want[0].tolist() and c.tolist() == want[1].tolist()
+    assert np.allclose(products, scores[want])
