@@ -161,6 +161,83 @@ def best_products(a: np.ndarray, b: np.ndarray, k: int, skip: tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+WIDE, HIGH = 1024, 512  # columns and rows of a tile of products that stays in a processor's cache
+
+
+def _best_of_rows(a: np.ndarray, b: np.ndarray, wide: int, tops: np.ndarray, slack: np.ndarray, skip: tuple[np.ndarray, np.ndarray]):
+    """Column (-1: none) and rounded product of the best row of ``b`` per row of ``a``.
+
+    ``tops`` has the largest product in single precision per row and tile of ``wide`` columns; only tiles that may
+    hold the best one are multiplied, in double precision.
+    """
+    best, score = np.full(len(a), -1), np.full(len(a), -np.inf)
+    low = tops.max(axis=1) - slack
+    for t in range(tops.shape[1]):
+        rows = np.flatnonzero((tops[:, t] >= low) & (tops[:, t] > -np.inf))  # -inf: nothing is left
+        if not len(rows):
+            continue
+        at = t * wide
+        products = a[rows] @ b[at:at + wide].T
+        r, c = skip[0], skip[1] - at
+        here = np.flatnonzero((c >= 0) & (c < products.shape[1]))
+        place = np.full(len(a), -1)
+        place[rows] = np.arange(len(rows))
+        here = here[place[r[here]] >= 0]
+        products[place[r[here]], c[here]] = -np.inf
+        r, c = np.nonzero(products >= (products.max(axis=1) - 1.01 * 10.0**-SCORE_DIGITS)[:, None])
+        rounded = np.round(products[r, c], SCORE_DIGITS)
+        first = _first(r, c, rounded, 1)  # ties to the smaller column
+        first, found = c[first], rounded[first]
+        better = found > score[rows]
+        best[rows[better]], score[rows[better]] = at + first[better], found[better]
+    return best, score
+
+
+def nearest_products(a: np.ndarray, b: np.ndarray, skip: tuple[np.ndarray, np.ndarray], back: bool = False):
+    """``best_products`` with one row of ``b`` per row of ``a``, as ``(row, column, rounded product)``; faster for many rows.
+
+    With ``back`` also the same of ``b`` in ``a``, from the same products.
+    """
+    long_a, long_b = (np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (a, b))
+    most_a, most_b = long_a.max(initial=0.0), long_b.max(initial=0.0)
+    if not (len(a) and len(b) > 4 and max(most_a, most_b) < 1e15):  # not so with NaN
+        ways = [(a, b, skip), (b, a, skip[::-1])][:1 + back]
+        found = [best_products(x, y, 1, codes) for x, y, codes in ways]
+        found = [(r, c, np.round(products, SCORE_DIGITS)) for r, c, products in found]
+        return found if back else found[0]
+    by_code = np.argsort(skip[1], kind="stable")
+    codes = skip[1][by_code]
+    lo, hi = np.searchsorted(codes, skip[0], "left"), np.searchsorted(codes, skip[0], "right")
+    out_r = np.repeat(np.arange(len(a)), hi - lo)
+    out_c = by_code[np.repeat(lo, hi - lo) + np.arange(len(out_r)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+    # As in best_products: the error of a product in single precision, twice, and a unit of the rounding.
+    error, unit = 2 * (a.shape[1] + 8) * 2.0**-24, 1.01 * 10.0**-SCORE_DIGITS
+    a32, tiles = a.astype(np.float32), [np.ascontiguousarray(b[at:at + WIDE].astype(np.float32).T) for at in range(0, len(b), WIDE)]
+    n_rows = -(-len(a) // HIGH)
+    tops = np.full((len(a), len(tiles)), -np.inf, np.float32)
+    tops_back = np.full((len(b) if back else 0, n_rows), -np.inf, np.float32)
+    bounds = np.searchsorted(out_r, np.arange(n_rows + 1) * HIGH)
+    held = np.empty(HIGH * WIDE, np.float32)
+    for k in range(n_rows):
+        at = k * HIGH
+        part, mine = a32[at:at + HIGH], slice(bounds[k], bounds[k + 1])
+        for t, tile in enumerate(tiles):
+            products = np.matmul(part, tile, out=held[:len(part) * tile.shape[1]].reshape(len(part), -1))
+            c = out_c[mine] - t * WIDE
+            here = (c >= 0) & (c < products.shape[1])
+            products[out_r[mine][here] - at, c[here]] = -np.inf
+            tops[at:at + HIGH, t] = products.max(axis=1)
+            if back:
+                tops_back[t * WIDE:(t + 1) * WIDE, k] = products.max(axis=0)
+    found = []
+    for x, y, wide, top, slack, out in [(a, b, WIDE, tops, error * long_a * most_b + unit, (out_r, out_c)),
+                                        (b, a, HIGH, tops_back, error * long_b * most_a + unit, (out_c, out_r))][:1 + back]:
+        best, score = _best_of_rows(x, y, wide, top, slack, out)
+        r = np.flatnonzero(best >= 0)
+        found.append((r, best[r], score[r]))
+    return found if back else found[0]
+
+
 def table_codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Table ids of two blocks as integers, equal where the ids are equal."""
     codes = pd.factorize(np.concatenate([left, right]))[0]

@@ -251,3 +251,18 @@ def test_best_products_are_those_of_all_products(case):
     want = best_pairs(scores, 5)
     assert r.tolist() == want[0].tolist() and c.tolist() == want[1].tolist()
     assert np.allclose(products, scores[want])
+
+
+def test_nearest_products_of_tiles_are_the_best(monkeypatch):
+    monkeypatch.setattr(K, "WIDE", 16)
+    monkeypatch.setattr(K, "HIGH", 8)
+    rng = np.random.default_rng(7)
+    for n, m, digits in [(30, 50, 9), (50, 30, 0), (5, 3, 9), (1, 64, 1), (64, 40, 1)]:
+        a, b = (np.round(rng.standard_normal((k, 5)), digits) for k in (n, m))
+        skip = rng.integers(0, 6, n), rng.integers(0, 6, m)
+        both = K.nearest_products(a, b, skip, back=True)
+        assert all((x == y).all() for x, y in zip(both[0], K.nearest_products(a, b, skip)))
+        for (r, c, score), (x, y, codes) in zip(both, [(a, b, skip), (b, a, skip[::-1])]):
+            rows, cols, products = best_products(x, y, 1, codes)
+            assert list(r) == list(rows) and list(c) == list(cols)
+            assert (score == np.round(products, 10)).all()
