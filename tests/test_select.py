@@ -133,3 +133,27 @@ def test_by_name(cells):
     for bad in ({"process": "sort_col_indepedent"}, {"sampler": "tail"}):
         with pytest.raises(ValueError):
             S.select_rows(cells, **bad)
+
+
+@pytest.mark.parametrize("block_texts", [1, 3, 65_536])
+def test_scores_whatever_the_blocks(spark, cells, monkeypatch, block_texts):
+    monkeypatch.setattr(S, "BLOCK_TEXTS", block_texts)
+    again = cells.filter("table_id = 'b'").withColumn("table_id", F.lit("c")).withColumn("value", F.concat("value", F.lit(" tail9")))
+    lake = cells.unionByName(again).unionByName(cells.limit(1).withColumn("table_id", F.lit(None).cast("string"))).repartition(7)
+    got = {(r.table_id, r.row_idx): r.score for r in S.row_tfidf(lake).collect()}
+    for table in ("a", "b", "one"):
+        want = tfidf([" ".join("nan" if v is None else v for v in row) for row in rows_of(table)])
+        assert [got[table, i] for i in range(len(want))] == pytest.approx(want, abs=1e-6)
+    want = tfidf([" ".join(f"{v} tail9" for v in row) for row in rows_of("b")])
+    assert [got["c", i] for i in range(len(want))] == pytest.approx(want, abs=1e-6)
+    assert [score for (table, _), score in got.items() if table is None] == [0.0]
+    assert wide(S.sort_columns_by_idf(lake), "a") == wide(S.sort_columns_by_idf(cells), "a")
+
+
+def test_words_travel_once_per_block(spark):
+    texts = spark.range(500).selectExpr("'t' AS table_id", "id", "concat('one two ', id % 5) AS text").coalesce(2)
+    blocks = S._blocks(texts, "text")
+    found = blocks.select("_block", "table_id", "text").mapInArrow(S._block_words, "_block long, table_id string, word string, n long")
+    assert blocks.select("_block").distinct().count() == 2 and found.count() == 2 * 7
+    assert {r.word: r.n for r in found.groupBy("word").agg(F.sum("n").alias("n")).collect()} == {
+        "one": 500, "two": 500, **{str(i): 100 for i in range(5)}}
