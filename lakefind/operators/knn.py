@@ -43,7 +43,7 @@ class Block:
     def __init__(self, table: pa.Table, unit: bool = True):
         names, cols = table.column("table_id").to_numpy(), table.column("col_idx").to_numpy()
         order = np.lexsort((cols, names))
-        self.names, self.cols = names[order], cols[order]
+        self.names, self.cols, self.order = names[order], cols[order], order
         vec = matrix(table.column("vec")) if len(order) else np.zeros((0, 1))
         self.vec = (normalized(vec) if unit else vec)[order]
 
@@ -316,7 +316,8 @@ def grid_topk(queries: DataFrame, lake: DataFrame, k: int, keys: list[str], skip
         return _block_topk(Block(q, unit), Block(lake_block, unit), k, skip_table)
 
     cols = [*keys, "table_id", "col_idx", "vec"]
-    return grid_apply(queries.select(*cols), lake.select(*cols), keys, pair_up, PAIR, block, min(block, max(1, FOUND // k)))
+    asked = queries.select(*cols)
+    return grid_apply(asked, asked if queries is lake else lake.select(*cols), keys, pair_up, PAIR, block, min(block, max(1, FOUND // k)))
 
 
 def merge_topk(parts: DataFrame, k: int) -> DataFrame:
@@ -373,6 +374,44 @@ def _bucketed(queries: DataFrame, lake: DataFrame, k: int, skip_table: bool, q_k
     return parts.distinct()  # a candidate may meet its query in several buckets
 
 
+def _within_buckets(kept: DataFrame, k: int, skip_table: bool) -> DataFrame:
+    """Top ``k`` of the vectors in each of their buckets (``_keys``), without pairs that score less than ``_least`` of the query."""
+    placed = kept.withColumn("_key", F.explode("_keys")).drop("_keys")
+    large = materialize(kept.select(F.explode("_keys").alias("_key")).groupBy("_key").count().filter(F.col("count") > SMALL_BLOCK).select("_key"))
+
+    def within(bucket: pa.Table) -> pa.Table:
+        block = Block(bucket)
+        r, c, products = best_products(block.vec, block.vec, k, table_codes(block.names, block.names) if skip_table else None)
+        scores, least = np.round(products, SCORE_DIGITS), bucket.column("_least").to_numpy()[block.order]
+        some = ~(scores < least[r])  # no limit is NaN
+        return _pairs(block, r[some], block.names, block.cols, c[some], scores[some])
+
+    if large.isEmpty():
+        return placed.groupBy("_key").applyInArrow(within, PAIR)
+    hot = placed.join(F.broadcast(large), "_key", "left_semi")
+    return placed.join(F.broadcast(large), "_key", "left_anti").groupBy("_key").applyInArrow(within, PAIR).unionByName(
+        grid_topk(hot, hot, k, ["_key"], skip_table))
+
+
+def _bucketed_self(lake: DataFrame, k: int, skip_table: bool, keys: Column, tables: int) -> DataFrame:
+    """``_bucketed`` of a lake in itself with one bucket per hash table, with the same top ``k``.
+
+    A bucket is sent once, not as queries and as lake, and nothing is written per bucket but pairs.  The first few hash tables tell
+    for every query a score that its ``k`` best reach; the others leave out what scores less.
+    """
+    first = max(1, round(tables**0.5))
+    kept = materialize(lake.withColumns({"_keys": keys, "_least": F.lit(None).cast("double")}))
+    some = _within_buckets(kept.withColumn("_keys", F.slice("_keys", 1, first)), k, skip_table).distinct()
+    if first == tables:
+        return some
+    found = materialize(merge_topk(some, k).drop("rank"))
+    least = found.groupBy(F.col("query_table").alias("table_id"), F.col("query_col").alias("col_idx")).agg(
+        F.min("score").alias("_least"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).drop("_n")
+    rest = kept.withColumn("_keys", F.slice("_keys", first + 1, tables - first)).drop("_least")
+    rest = materialize(rest.join(least.hint("merge"), ["table_id", "col_idx"], "left"))
+    return found.unionByName(_within_buckets(rest, k, skip_table)).distinct()
+
+
 def derived_bits(n_vectors: int, bucket: int = 256) -> int:
     """Hyperplanes per hash table so that a bucket of evenly spread vectors holds about ``bucket``."""
     return max(4, int(np.ceil(np.log2(max(1, n_vectors) / bucket))) + 4)
@@ -572,10 +611,12 @@ def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", excl
     queries is found, so recall does not fall as the lake grows (``recall=None`` takes them as they are).  A small lake
     returns fewer than ``k``.
     """
+    same = queries is lake
     queries, lake = _vectors(queries), _vectors(lake)
     pairs = None
     if method in ("lsh", "ivf", "ivfpq") and recall is not None:
         lake = materialize(lake)
+        queries = lake if same else queries
         pairs = sampled_pairs(queries, lake, k, exclude_same_table)
         pairs = pairs if len(pairs[0]) else None
         recall = min(1.0, recall + MARGIN)
@@ -590,7 +631,8 @@ def knn(queries: DataFrame, lake: DataFrame, k: int, method: str = "exact", excl
         parts = exact_topk(queries, lake, k, exclude_same_table)
     elif method == "lsh":
         keys = _hyperplane_keys(_dim(lake), tables, bits, seed)
-        parts = _bucketed(queries, lake, k, exclude_same_table, keys("vec"), keys("vec"))
+        parts = _bucketed_self(lake, k, exclude_same_table, keys("vec"), tables) if same else _bucketed(
+            queries, lake, k, exclude_same_table, keys("vec"), keys("vec"))
     elif method == "ivf":
         centers = coarse_centers(lake, n_lists, seed)
         if pairs:

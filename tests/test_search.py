@@ -266,3 +266,25 @@ def test_nearest_products_of_tiles_are_the_best(monkeypatch):
             rows, cols, products = best_products(x, y, 1, codes)
             assert list(r) == list(rows) and list(c) == list(cols)
             assert (score == np.round(products, 10)).all()
+
+
+@pytest.mark.parametrize("small_block", [K.SMALL_BLOCK, 12])
+@pytest.mark.parametrize("skip_table", [False, True])
+def test_hashing_of_a_lake_in_itself_is_that_of_its_copy(spark, monkeypatch, skip_table, small_block):
+    monkeypatch.setattr(K, "SMALL_BLOCK", small_block)
+    rows = lake_rows(90, seed=8)
+    df = spark.createDataFrame(rows + rows[:5], VECTORS).repartition(3)
+    options = {"method": "lsh", "tables": 9, "bits": 2, "recall": None, "exclude_same_table": skip_table}
+    want = K.knn(df, df.filter("true"), 6, **options)
+    got = K.knn(df, df, 6, **options)
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_hashing_sends_a_bucket_once(spark, monkeypatch):
+    """Vectors are written once with the list of their buckets, not once per bucket and side."""
+    written = []
+    write = K.materialize
+    monkeypatch.setattr(K, "materialize", lambda df, *a: written.append((df.columns, write(df, *a))) or written[-1][1])
+    df = spark.createDataFrame(lake_rows(60, seed=9), VECTORS)
+    K.knn(df, df, 5, method="lsh", tables=9, bits=2, recall=None).collect()
+    assert [t.count() for columns, t in written if "vec" in columns] == [60, 60]
