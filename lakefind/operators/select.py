@@ -55,7 +55,7 @@ def sample_rows(cells: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
     return shuffle_rows(cells, seed, limit=n)
 
 
-BLOCK_BYTES, BLOCK_TEXTS = 1 << 25, 65_536  # texts whose words are looked up together: so long or so many at most
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 23, 65_536  # texts whose words are looked up together: so long or so many at most
 
 
 def _word_codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
